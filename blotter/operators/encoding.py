@@ -200,6 +200,10 @@ class ColumnEncoderModel(Model, MLWritable, MLReadable):
                 frame = frame.withColumn(c, add_constant(F.col(c), shift).cast("int"))
         return frame
 
+    def one_hot(self, df: DataFrame) -> DataFrame:
+        """Predictors encoded, each categorical one as a sparse vector ``<name>__hot``."""
+        return self._one_hot(self.encode(df))
+
     def _one_hot(self, frame: DataFrame) -> DataFrame:
         # The slot after the last level stands for "unknown"; dropping it leaves
         # an empty vector for unseen values while every level keeps its slot.
