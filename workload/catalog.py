@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from workload import cleaning, diagnostics, eda, frames, transforms  # noqa: F401
+from workload import cleaning, diagnostics, eda, explain, frames, modelling, runs, transforms  # noqa: F401
 from workload.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
