@@ -15,10 +15,12 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blotter.functions.probability import add_all
-from blotter.models.prior import class_counts
-from blotter.operators.lookup import attach
+from blotter.operators.lookup import attach, literal
+from blotter.operators.splits import MAX_CLASSES
 from blotter.session import bounded_rows, cut_lineage, fits_broadcast
 
+INLINE_CODES = 64  # code tables up to this size become literals instead of joins
+
 
 def code_counts(df: DataFrame, columns, label: str = "label") -> DataFrame:
     """Rows per (feature, code, class); combined before the shuffle."""
@@ -38,7 +40,9 @@ class CategoricalBayes(Estimator):
     def _fit(self, dataset: DataFrame) -> "CategoricalBayesModel":
         columns = list(self.columns or [c for c in dataset.columns if c not in self.skip])
         counts = cut_lineage(code_counts(dataset, columns, self.label_col))
-        per_class = class_counts(dataset, self.label_col)
+        # Every row has one code of the first feature, so its counts give the class sizes.
+        sizes_by_class = counts.filter(F.col("feature") == columns[0]).groupBy("k").agg(F.sum("n").alias("n"))
+        per_class = {r["k"]: r["n"] for r in bounded_rows(sizes_by_class, MAX_CLASSES, "classes")}
         classes = max(per_class) + 1
         spans = bounded_rows(
             counts.groupBy("feature").agg(F.max("code").alias("top"), F.count_distinct("code").alias("rows")),
@@ -83,12 +87,37 @@ class CategoricalBayesModel(Model, MLWritable, MLReadable):
         super().__init__()
         self.columns, self.prior = list(columns), list(prior)
         self.absent, self.sizes, self.table = absent or {}, sizes or {}, table
+        self._inline = None
+
+    def inline(self) -> dict[str, list[list[float]]]:
+        """Log probabilities by code for the features with few codes, read once."""
+        if self._inline is None:
+            few = [c for c, rows in self.sizes.items() if rows <= INLINE_CODES]
+            top = {c: {} for c in few}
+            if few:
+                rows = self.table.filter(F.col("feature").isin(few)).select("feature", "level", "logp")
+                for r in bounded_rows(rows, INLINE_CODES * len(few), "codes"):
+                    if r["level"] < INLINE_CODES:
+                        top[r["feature"]][r["level"]] = list(r["logp"])
+                    else:  # a code too high for a short list
+                        top[r["feature"]] = {-1: None}
+            self._inline = {
+                c: [codes.get(i, self.absent[c]) for i in range(max(codes) + 1)] for c, codes in top.items() if -1 not in codes
+            }
+        return self._inline
 
     def log_joint(self, dataset: DataFrame) -> DataFrame:
         """Adds ``joint``: log prior plus the feature log likelihoods, per class."""
         frame, n = dataset, len(self.prior)
         names = []
         for i, c in enumerate(self.columns):
+            short = self.inline().get(c)
+            if short is not None:
+                table, code = literal([*short, self.absent[c]], "array<array<double>>"), F.col(c).cast("int")
+                slot = F.when(code.between(0, len(short) - 1), code).otherwise(len(short))
+                frame = frame.withColumn(f"_lp{i}", F.element_at(table, slot + 1))
+                names.append(f"_lp{i}")
+                continue
             side = self.table.filter(F.col("feature") == c)
             default = F.array(*[F.lit(v) for v in self.absent[c]])
             small = fits_broadcast(self.sizes[c], row_bytes=48 + 8 * n)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from blotter.functions.probability import add_all
 from blotter.models.prior import class_counts
-from blotter.session import bounded_rows, cut_lineage
+from blotter.session import bounded_rows, cut_lineage, widen
 
 MIN_HESSIAN = 1e-16
 SAMPLE_SLOTS = 1_000_000
@@ -78,7 +78,7 @@ class SoftmaxBoosting(Estimator):
         # Write the inputs once: the rounds must not rerun the feature plan, and a
         # lost executor must find the same rows again.
         state = cut_lineage(
-            dataset.select(
+            widen(dataset).select(
                 F.col(self.features_col).alias("features"),
                 F.col(self.label_col).cast("int").alias("label"),
                 F.xxhash64(*others, self.features_col).alias("row"),

@@ -10,8 +10,8 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from blotter.operators.levels import MISSING, Levels, fit_levels
-from blotter.operators.lookup import attach
-from blotter.operators.quantiles import exact_quantiles
+from blotter.operators.lookup import attach, inlined
+from blotter.operators.quantiles import imputed_quantiles, profile
 
 NUMERIC_STRATEGIES = ("standard", "robust", "passthrough", "binned")
 ENCODINGS = ("onehot", "ordinal", "frequency")
@@ -64,28 +64,34 @@ def fit_numeric(
         raise ValueError(f"numeric strategy must be one of {NUMERIC_STRATEGIES}, not {strategy!r}")
     if strategy == "binned" and bins < 2:
         raise ValueError("at least 2 bins are needed")
-    found = exact_quantiles(df, columns, [0.5])
-    fitted = {c: {"median": q[0]} for c, q in found.items() if q}
-    if not fitted or strategy == "passthrough":
-        return fitted
-    filled = df.select(*[_imputed(c, p["median"]).alias(c) for c, p in fitted.items()])
-    if strategy == "standard":
-        row = filled.agg(
-            *[f(F.col(c)).alias(f"{k}{i}") for i, c in enumerate(fitted) for k, f in (("m", F.avg), ("s", F.stddev_pop))]
-        ).first()
-        for i, params in enumerate(fitted.values()):
-            params.update(center=row[f"m{i}"], scale=row[f"s{i}"] or 1.0)
-    elif strategy == "robust":
-        quartiles = exact_quantiles(filled, fitted, [0.25, 0.5, 0.75])
-        for c, (q1, q2, q3) in quartiles.items():
+    columns = list(columns)
+    if not columns:
+        return {}
+    probs = {"robust": [0.25, 0.5, 0.75], "binned": [i / bins for i in range(bins + 1)]}.get(strategy, [])
+    method = quantile_method if strategy == "binned" else "linear"
+    stats = profile(df, columns)
+    fitted = {}
+    for c, (median, quantiles) in imputed_quantiles(df, stats, probs, method).items():
+        fitted[c] = {"median": median}
+        if strategy == "standard":
+            center, scale = _filled_moments(stats[c], median)
+            fitted[c].update(center=center, scale=scale or 1.0)
+        elif strategy == "robust":
+            q1, q2, q3 = quantiles
             fitted[c].update(center=q2, scale=(q3 - q1) or 1.0)
-    else:
-        probs = [i / bins for i in range(bins + 1)]
-        for c, q in exact_quantiles(filled, fitted, probs, quantile_method).items():
-            fitted[c]["edges"] = bin_edges(q)
+        elif strategy == "binned":
+            fitted[c]["edges"] = bin_edges(quantiles)
     return fitted
 
 
+def _filled_moments(s: dict, median: float) -> tuple[float, float]:
+    """Mean and population deviation after the gaps got the median."""
+    n, m = s["n"], s["missing"]
+    mean = (n * s["mean"] + m * median) / (n + m)
+    squares = n * (s["var"] + (s["mean"] - mean) ** 2) + m * (median - mean) ** 2
+    return mean, (squares / (n + m)) ** 0.5
+
+
 def numeric_expression(name: str, params: dict) -> Column:
     value = _imputed(name, params["median"])
     if "edges" in params:
@@ -195,7 +201,11 @@ class ColumnEncoderModel(Model, MLWritable, MLReadable):
                 value, default = "share", 0.0
             else:
                 value, default = "code", -1 if kind == "ordinal" else self.levels.count(c)
-            frame = attach(frame, key, self.levels.of(c), value, c, default, self.levels.small(c))
+            known = self.levels.inline().get(c)
+            if known is not None:
+                frame = frame.withColumn(c, inlined(key, [k for k, _, _ in known], [r[2 if value == "share" else 1] for r in known], default))
+            else:
+                frame = attach(frame, key, self.levels.of(c), value, c, default, self.levels.small(c))
             if kind == "ordinal" and shift:
                 frame = frame.withColumn(c, add_constant(F.col(c), shift).cast("int"))
         return frame

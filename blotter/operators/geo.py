@@ -83,11 +83,10 @@ class GeoEncoder(Estimator):
             raise ValueError(f"geo mode must be one of {sorted(MODES)}, not {self.mode!r}")
         if self.n_clusters < 2:
             raise ValueError("at least 2 geographic clusters are needed")
-        numbers = dataset.select(*[F.col(c).try_cast("double").alias(c) for c in (self.lon, self.lat)])
-        middle = medians(numbers, [self.lon, self.lat])
-        fill = {c: middle[c] for c in (self.lon, self.lat)}
-        centers = []
+        fill, centers = {}, []
         if self.mode in CLUSTER_MODES + DISTANCE_MODES:
+            # Other modes never use the fill values, so they need no pass over the data.
+            fill = medians(dataset.select(*[F.col(c).try_cast("double").alias(c) for c in (self.lon, self.lat)]), [self.lon, self.lat])
             if None in fill.values():
                 raise ValueError("k-means needs at least one known coordinate")
             centers = fit_centers(dataset, self.lon, self.lat, fill, self.n_clusters, self.seed, self.n_init)

@@ -10,6 +10,7 @@ from blotter.session import BROADCAST_ROWS, bounded_rows, cut_lineage, fits_broa
 
 MISSING = "UNKNOWN"
 MAX_COLUMNS = 10_000
+INLINE_LEVELS = 64  # level tables up to this size become literals instead of joins
 ROW_OFFSET = (1 << 33) - 1  # low bits of monotonically_increasing_id: row within partition
 
 
@@ -19,6 +20,7 @@ class Levels:
 
     table: DataFrame
     sizes: dict[str, tuple[int, int]]
+    _inline: dict | None = None
 
     def of(self, feature: str) -> DataFrame:
         return self.table.filter(F.col("feature") == feature)
@@ -29,6 +31,17 @@ class Levels:
     def small(self, feature: str) -> bool:
         return fits_broadcast(*self.sizes.get(feature, (0, 0)))
 
+    def inline(self) -> dict[str, list[tuple]]:
+        """(level, code, share) of the features with very few levels, read once."""
+        if self._inline is None:
+            few = [f for f, (rows, _) in self.sizes.items() if rows <= INLINE_LEVELS]
+            self._inline = {f: [] for f in few}
+            if few:
+                rows = self.table.filter(F.col("feature").isin(few)).select("feature", "level", "code", "share")
+                for r in bounded_rows(rows, INLINE_LEVELS * len(few), "levels"):
+                    self._inline[r["feature"]].append((r["level"], r["code"], r["share"]))
+        return self._inline
+
 
 def count_levels(df: DataFrame, columns, fill: str | None = MISSING) -> DataFrame:
     """Rows per (feature, level); all columns in one scan, combined before the shuffle."""

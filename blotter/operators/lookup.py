@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import json
 
-from blotter.session import fits_broadcast
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Levels with at least this share of the training rows are "hot": there can be
 # no more than 1 / HOT_SHARE of them, so they always fit a broadcast.
@@ -57,9 +57,22 @@ def attach(
     )
 
 
-def _hashable(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.typeName() not in ("map", "udt", "vector", "variant")
+def literal(values, kind: str) -> Column:
+    """A nested literal from one JSON text; the optimiser folds it into a constant."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
 
 
-def small_enough(rows: int, text_bytes: int) -> bool:
-    return fits_broadcast(rows, text_bytes)
+def inlined(key: Column, levels: list, values: list, default) -> Column:
+    """Value of a level looked up in a short literal list; null is a level like any other."""
+    kind = "array<double>" if isinstance(default, float) else "array<int>"
+    fallback = F.lit(default)
+    found = F.coalesce(F.array_position(literal([v for v in levels if v is not None], "array<string>"), key), F.lit(0))
+    known = literal([v for k, v in zip(levels, values) if k is not None], kind)
+    value = F.when(found > 0, F.element_at(known, F.greatest(found, F.lit(1)).cast("int"))).otherwise(fallback)
+    if None in levels:
+        value = F.when(key.isNull(), F.lit(values[levels.index(None)])).otherwise(value)
+    return value
+
+
+def _hashable(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.typeName() not in ("map", "udt", "vector", "variant")

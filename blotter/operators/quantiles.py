@@ -100,6 +100,37 @@ def _ranks_by_bracket(df: DataFrame, plan: dict[str, set[int]], spans: dict[str,
     return found
 
 
+def profile(df: DataFrame, columns) -> dict[str, dict]:
+    """Known and missing values, distinct estimate, range and moments per column, from one scan."""
+    columns = list(columns)
+    kinds = (
+        ("n", F.count),
+        ("distinct", F.approx_count_distinct),
+        ("low", F.min),
+        ("high", F.max),
+        ("mean", F.avg),
+        ("var", F.var_pop),
+    )
+    row = df.agg(
+        F.count("*").alias("rows"),
+        *[f(F.col(c).cast("double")).alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in kinds],
+    ).first()
+    return {
+        c: {"missing": row["rows"] - row[f"n_{i}"], **{k: row[f"{k}_{i}"] for k, _ in kinds}}
+        for i, c in enumerate(columns)
+    }
+
+
+def order_statistics(df: DataFrame, plan: dict[str, set[int]], stats: dict[str, dict], few_values: int = FEW_VALUES) -> dict:
+    """Values at the wanted zero-based ranks, keyed by (column, rank)."""
+    few = {c: k for c, k in plan.items() if stats[c]["distinct"] <= few_values}
+    many = {c: k for c, k in plan.items() if c not in few}
+    values = _ranks_by_value(df, few) if few else {}
+    if many:
+        values.update(_ranks_by_bracket(df, many, {c: (stats[c]["low"], stats[c]["high"]) for c in many}))
+    return values
+
+
 def exact_quantiles(
     df: DataFrame,
     columns,
@@ -111,27 +142,10 @@ def exact_quantiles(
     columns = list(columns)
     if not columns:
         return {}
-    stats = df.agg(
-        *[
-            f(F.col(c).cast("double")).alias(f"{k}_{i}")
-            for i, c in enumerate(columns)
-            for k, f in (("n", F.count), ("d", F.approx_count_distinct), ("a", F.min), ("z", F.max))
-        ]
-    ).first()
-    ranks, few, many, spans = {}, {}, {}, {}
-    for i, column in enumerate(columns):
-        n = stats[f"n_{i}"]
-        if not n:
-            continue
-        ranks[column] = [wanted_ranks(n, p, method) for p in probs]
-        needed = {k for low, high, _ in ranks[column] for k in (low, high)}
-        (few if stats[f"d_{i}"] <= few_values else many)[column] = needed
-        spans[column] = (stats[f"a_{i}"], stats[f"z_{i}"])
-    values = {}
-    if few:
-        values.update(_ranks_by_value(df, few))
-    if many:
-        values.update(_ranks_by_bracket(df, many, spans))
+    stats = profile(df, columns)
+    ranks = {c: [wanted_ranks(stats[c]["n"], p, method) for p in probs] for c in columns if stats[c]["n"]}
+    plan = {c: {k for r in wanted for k in r[:2]} for c, wanted in ranks.items()}
+    values = order_statistics(df, plan, stats, few_values)
     return {
         c: [_mix({k: values[c, k] for k in r[:2]}, r) for r in ranks[c]] if c in ranks else None for c in columns
     }
@@ -139,3 +153,44 @@ def exact_quantiles(
 
 def medians(df: DataFrame, columns) -> dict[str, float | None]:
     return {c: q[0] if q else None for c, q in exact_quantiles(df, columns, [0.5]).items()}
+
+
+def imputed_quantiles(
+    df: DataFrame,
+    stats: dict[str, dict],
+    probs=(),
+    method: str = "linear",
+    few_values: int = FEW_VALUES,
+) -> dict[str, tuple[float, list[float]]]:
+    """Median of each column, and quantiles of the column with its gaps filled by that median.
+
+    Filling m gaps puts m copies of the median behind the lower middle rank, so
+    a rank of the filled column is a rank of the known values, or the median.
+    All of it is read in one pass.
+    """
+    middle, ranks, plan = {}, {}, {}
+    for c, s in stats.items():
+        if not s["n"]:
+            continue
+        middle[c] = wanted_ranks(s["n"], 0.5, "linear")
+        ranks[c] = [wanted_ranks(s["n"] + s["missing"], p, method) for p in probs]
+        wanted = {k for r in ranks[c] for k in r[:2]}
+        plan[c] = set(middle[c][:2]) | {_known_rank(k, middle[c][0], s["missing"]) for k in wanted} - {None}
+    values = order_statistics(df, plan, stats, few_values) if plan else {}
+    found = {}
+    for c, m in middle.items():
+        median = _mix({k: values[c, k] for k in m[:2]}, m)
+
+        def at(k):
+            known = _known_rank(k, m[0], stats[c]["missing"])
+            return median if known is None else values[c, known]
+
+        found[c] = (median, [_mix({k: at(k) for k in r[:2]}, r) for r in ranks[c]])
+    return found
+
+
+def _known_rank(rank: int, middle: int, missing: int) -> int | None:
+    """Rank among the known values, or ``None`` inside the run of filled gaps."""
+    if rank <= middle:
+        return rank
+    return None if rank <= middle + missing else rank - missing

@@ -201,17 +201,57 @@ def summarise_folds(df: DataFrame, folds: list[Fold], ts: str = "incident_timest
     )
 
 
-def fold_records(df: DataFrame, folds: list[Fold], ts: str = "incident_timestamp", target: str = "target") -> list[dict]:
-    """One dict per fold; raises when a side of a fold has no rows."""
-    found = {r["fold"]: r.asDict() for r in bounded_rows(summarise_folds(df, folds, ts, target), len(folds), "folds")}
-    records = []
+@dataclass
+class FoldFacts:
+    """What the planning of a cross-validation needs to know, read in one scan."""
+
+    records: list[dict]
+    classes: list
+    train_classes: dict[int, list]
+    frozen_rows: int
+
+
+def fold_facts(
+    df: DataFrame,
+    folds: list[Fold],
+    test_start: str | None = None,
+    ts: str = "incident_timestamp",
+    target: str = "target",
+) -> FoldFacts:
+    """Rows, dates and classes per fold; raises when a side of a fold, or a period, is empty.
+
+    Rows from ``test_start`` on take no part. The data is aggregated by (stretch
+    between boundaries, class); only those few rows come to the driver.
+    """
+    segment, borders = _segments(folds, ts)
+    late = F.col(ts) >= instant(test_start) if test_start else F.lit(False)
+    stretches = df.groupBy(late.alias("late"), segment.alias("segment"), F.col(target).alias("target")).agg(
+        F.count("*").alias("rows"), F.min(ts).alias("first"), F.max(ts).alias("last")
+    )
+    found = bounded_rows(stretches, 2 * (len(borders) + 1) * MAX_CLASSES, "classes per stretch")
+    early = [r for r in found if not r["late"]]
+    if not early:
+        raise ValueError("the development period is empty")
+    frozen_rows = sum(r["rows"] for r in found if r["late"])
+    if test_start and not frozen_rows:
+        raise ValueError(f"the frozen test period from {test_start} on is empty")
+    place = {b: i + 1 for i, b in enumerate(borders)}
+    records, train_classes = [], {}
     for f in folds:
-        record = found.get(f.fold, {"train_rows": 0, "validation_rows": 0})
-        for side in ("train", "validation"):
-            if not record[f"{side}_rows"]:
+        sides = {
+            "train": [r for r in early if r["segment"] < place[f.start]],
+            "validation": [r for r in early if place[f.start] <= r["segment"] < place[f.end]],
+        }
+        record = asdict(f)
+        for side, rows in sides.items():
+            if not rows:
                 raise ValueError(f"fold {f.fold} ({f.start} to {f.end}) has no {side} rows")
-        records.append({**asdict(f), **record})
-    return records
+            record[f"{side}_rows"] = sum(r["rows"] for r in rows)
+            record[f"{side}_start"] = min(r["first"] for r in rows)
+            record[f"{side}_end"] = max(r["last"] for r in rows)
+        train_classes[f.fold] = sorted({r["target"] for r in sides["train"]})
+        records.append(record)
+    return FoldFacts(records, sorted({r["target"] for r in early}), train_classes, frozen_rows)
 
 
 def class_coverage(reference: DataFrame, comparison: DataFrame, target: str = "target") -> DataFrame:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import time
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from blotter.functions import probability as prob
 from blotter.operators import features, metrics
-from blotter.operators.splits import calendar_folds, class_list, fold_classes, fold_records, frozen_test
+from blotter.operators.splits import calendar_folds, fold_facts, in_period
 from blotter.plans.assemble import full_pipeline, iterations, score, with_label
 from blotter.plans.config import CONFIG_FIELDS, ExperimentConfig, config_values
 from blotter.schema import METRICS, ROW_KEYS, SUMMARY_METRICS
-from blotter.session import bounded_rows
+from blotter.session import cached
 
 FOLD_SCHEMA = T.StructType(
     CONFIG_FIELDS
@@ -62,37 +63,31 @@ def run_temporal_cv(
     Only fold dates, counts and metrics (one row per fold) come to the driver.
     """
     config.validate()
-    development, _ = frozen_test(data, test_start, ts)
     folds = calendar_folds(validation_years)
-    records = fold_records(development, folds, ts)
-    all_classes = class_list(development)
-    seen = fold_classes(development, folds, ts).filter("role = 'train'").select("fold", "target")
-    by_fold: dict[int, list] = {}
-    for row in bounded_rows(seen, len(folds) * len(all_classes), "fold classes"):
-        by_fold.setdefault(row["fold"], []).append(row["target"])
+    facts = fold_facts(data, folds, test_start, ts)
+    all_classes = facts.classes
 
+    development = data.filter(in_period(ts, end=test_start))
     carried = [c for c in (*ROW_KEYS, "target", ts) if c in data.columns]
-    # Row-wise features learn nothing, so they are planned once for both sides.
+    # Row-wise features learn nothing, so they are computed once for all folds and both sides.
     prepared = features.from_config(development, config, keep=carried)
-    skip_ts = ts not in features.base_frame(development, time_trend=True).columns
     rows = []
-    for fold, record in zip(folds, records):
-        train, validation = fold.train(prepared, ts), fold.validation(prepared, ts)
-        if skip_ts:
-            train, validation = train.drop(ts), validation.drop(ts)
-        model, seconds, predictions = fit_and_score(
-            train, validation, config, sorted(by_fold[fold.fold]), all_classes, "raise"
-        )
-        result = metrics.overall(predictions, len(all_classes), min(3, len(all_classes))).first()
-        rows.append(
-            {
-                **config_values(config),
-                "model_iterations": iterations(model),
-                **{k: record[k] for k in FOLD_SCHEMA.names if k in record},
-                "training_seconds": seconds,
-                **{m: result[m] for m in METRICS},
-            }
-        )
+    with cached(prepared) if config.model_name != "dummy" else nullcontext(prepared) as prepared:
+        for fold, record in zip(folds, facts.records):
+            train, validation = fold.train(prepared, ts).drop(ts), fold.validation(prepared, ts).drop(ts)
+            model, seconds, predictions = fit_and_score(
+                train, validation, config, facts.train_classes[fold.fold], all_classes, "raise"
+            )
+            result = metrics.overall(predictions, len(all_classes), min(3, len(all_classes))).first()
+            rows.append(
+                {
+                    **config_values(config),
+                    "model_iterations": iterations(model),
+                    **{k: record[k] for k in FOLD_SCHEMA.names if k in record},
+                    "training_seconds": seconds,
+                    **{m: result[m] for m in METRICS},
+                }
+            )
     ordered = [tuple(r[name] for name in FOLD_SCHEMA.names) for r in rows]
     return data.sparkSession.createDataFrame(ordered, FOLD_SCHEMA)
 

@@ -14,7 +14,7 @@ from blotter.plans.assemble import full_pipeline, score, with_label
 from blotter.plans.config import ExperimentConfig
 from blotter.plans.experiments import fit_and_score
 from blotter.schema import ROW_KEYS
-from blotter.session import cut_lineage
+from blotter.session import cached, cut_lineage
 
 
 def _prepare(data: DataFrame, config: ExperimentConfig) -> DataFrame:
@@ -52,9 +52,10 @@ def evaluate_frozen(
     """
     development, frozen = frozen_test(data, test_start)
     all_classes, train_classes = class_list(data), class_list(development)
-    model, _, predictions = fit_and_score(
-        _prepare(development, config), _prepare(frozen, config), config, train_classes, all_classes, "uniform"
-    )
+    with cached(_prepare(development, config)) as train:
+        model, _, predictions = fit_and_score(
+            train, _prepare(frozen, config), config, train_classes, all_classes, "uniform"
+        )
     if materialise:  # many diagnostics follow: score once, keep the table
         predictions = cut_lineage(predictions)
     return FrozenEvaluation(predictions, all_classes, model, f"{config.experiment_name}_frozen_test")
@@ -120,7 +121,8 @@ def metadata_row(data: DataFrame, config: ExperimentConfig, evaluation: dict | N
 def train_final(config: ExperimentConfig, data: DataFrame, evaluation: dict | None = None) -> FinalModel:
     """Fit on all rows, the frozen period included."""
     metadata = metadata_row(data, config, evaluation)
-    pipeline = full_pipeline(config).fit(with_label(_prepare(data, config), metadata["classes"]))
+    with cached(with_label(_prepare(data, config), metadata["classes"])) as train:
+        pipeline = full_pipeline(config).fit(train)
     encoders = [s for s in pipeline.stages if hasattr(s, "encoded_columns")]
     if encoders:
         metadata["transformed_feature_columns"] = encoders[0].width()

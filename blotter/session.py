@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # A side is broadcast only when a count has shown it to stay below these bounds.
 BROADCAST_ROWS = 500_000
@@ -62,6 +64,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def cached(df: DataFrame):
+    """Keep ``df`` for the passes of a fit; lost blocks are recomputed from their source.
+
+    A frame the caller has persisted already is left alone.
+    """
+    mine = df.storageLevel == StorageLevel.NONE
+    if mine:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        if mine:
+            df.unpersist()
+
+
 def fits_broadcast(rows: int, text_bytes: int = 0, row_bytes: int = 32) -> bool:
     """Whether a counted table is small enough to be sent to every executor."""
     return rows <= BROADCAST_ROWS and text_bytes + rows * row_bytes <= BROADCAST_BYTES
@@ -75,6 +93,7 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
-def array_literal(values, data_type: str):
-    """A typed array literal; works for an empty list too."""
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{data_type}>")
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a frame with fewer partitions than cores before an iterative fit."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,7 +11,7 @@ from blotter.models.prior import ClassPrior
 from blotter.operators import features
 from blotter.operators.encoding import ColumnEncoder
 from blotter.plans import assemble, config as presets, finals
-from blotter.session import scratch_path
+from blotter.session import cached, scratch_path
 from blotter.sources import fixtures
 from workload.base import development, frozen, modeling, modeling_sql, query, r, rounded, with_sql
 from workload.transforms import (
@@ -76,7 +76,8 @@ def bayes_model(spark, sf):
     rows = bayes_rows(spark, sf)
     train = assemble.with_label(rows.filter(EARLY), CLASSES)
     stages = [bayes_encoder(), CategoricalBayes(BAYES_NUMBERS + BAYES_LEVELS)]
-    return Pipeline(stages=stages).fit(train), rows
+    with cached(train) as train:
+        return Pipeline(stages=stages).fit(train), rows
 
 
 @query("m03_naive_bayes", bayes_sql())
@@ -108,7 +109,8 @@ def fitted(spark, sf, estimator, encoder=None):
     rows = small_rows(spark, sf)
     skip = ("incident_id", "target", "label", TS)
     encoder = encoder or ColumnEncoder("passthrough", "ordinal", skip=skip, sparse=False)
-    model = Pipeline(stages=[encoder, estimator]).fit(assemble.with_label(rows.filter(EARLY), CLASSES))
+    with cached(assemble.with_label(rows.filter(EARLY), CLASSES)) as train:
+        model = Pipeline(stages=[encoder, estimator]).fit(train)
     return model, assemble.score(model, rows.filter(~F.expr(EARLY)))
 
 
@@ -162,8 +164,8 @@ SMALL_FOREST = presets.random_forest_baseline().but(
 @query("m08_full_fit_and_score")
 def m08(spark, sf):
     rows = features.from_config(modeling(spark, sf), SMALL_FOREST, keep=("incident_id", "target", TS))
-    train = assemble.with_label(rows.filter(EARLY).drop(TS), CLASSES)
-    model = assemble.full_pipeline(SMALL_FOREST).fit(train)
+    with cached(assemble.with_label(rows.filter(EARLY).drop(TS), CLASSES)) as train:
+        model = assemble.full_pipeline(SMALL_FOREST).fit(train)
     return spread(assemble.score(model, rows.filter(~F.expr(EARLY)).drop(TS)), "incident_id")
 
 

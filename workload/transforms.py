@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from blotter.operators import encoding, features, quantiles
 from blotter.operators.geo import MODES, GeoEncoder, GeoEncoderModel
 from blotter.plans import assemble
+from blotter.session import cached
 from blotter.sources import fixtures
 from workload.base import d, frame_sql, modeling, query, r, rounded, with_sql
 
@@ -264,10 +265,10 @@ def vectors(spark, sf, stages):
     """Assembled vectors: width, sum and number of non-zero slots per row."""
     rows = features.feature_frame(modeling(spark, sf), keep=("incident_id",))
     before = F.col("datetime_numeric") < 978307200  # the frozen boundary as epoch seconds
-    train = rows.filter(before)
-    for stage in stages:
-        model = stage.fit(train)
-        train, rows = model.transform(train), model.transform(rows)
+    with cached(rows.filter(before)) as train:
+        for stage in stages:
+            model = stage.fit(train)
+            train, rows = model.transform(train), model.transform(rows)
     values = vector_to_array("features")
     filled_slots = F.size(F.filter(values, lambda v: v != 0))
     return rounded(
