@@ -1,101 +1,117 @@
-"""Expressions over a probability array.
+"""Expressions over a probability array column.
 
 The class count is known when a plan is built, so sums over classes are
 written out term by term: they compile into the generated stage code, while
 the higher-order array functions would be interpreted row by row. Above
-``UNROLL`` classes the array functions are used instead.
+``UNROLL`` classes the array functions are used instead. Expressions are
+built as SQL text, one call for all terms.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 UNROLL = 64
 # Smallest probability the logarithm sees: the double machine epsilon.
 EPSILON = 2.220446049250313e-16
 
 
-def add_all(terms: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms)
+def quoted(name: str) -> str:
+    return f"`{name}`"
+
+
+def number(value: float) -> str:
+    """A double in SQL text, exact."""
+    return f"double('{float(value)!r}')"
+
 
+def numbers(values) -> str:
+    return "array(" + ", ".join(number(v) for v in values) + ")"
 
-def total(p: Column, n: int) -> Column:
+
+def terms(template: str, n: int, joiner: str = " + ") -> str:
+    """``template`` with {i} filled for every class, joined."""
+    return joiner.join(template.format(i=i) for i in range(n))
+
+
+def total_sql(name: str, n: int) -> str:
+    p = quoted(name)
     if n <= UNROLL:
-        return add_all([p[i] for i in range(n)])
-    return F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x)
+        return terms(p + "[{i}]", n)
+    return f"aggregate({p}, 0D, (a, x) -> a + x)"
 
 
-def sum_of_squares(p: Column, n: int) -> Column:
+def mapped(name: str, n: int, template: str) -> Column:
+    """A new array with ``template`` applied per entry; {x} is the entry."""
+    p = quoted(name)
     if n <= UNROLL:
-        return add_all([p[i] * p[i] for i in range(n)])
-    return F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x * x)
+        return F.expr("array(" + ", ".join(template.format(x=f"{p}[{i}]") for i in range(n)) + ")")
+    return F.expr(f"transform({p}, x -> {template.format(x='x')})")
 
 
-def normalised(p: Column, n: int, empty: str = "raise") -> Column:
-    """Divide by the row total; a zero row raises or becomes uniform."""
+def normalise(df: DataFrame, n: int, empty: str = "raise", name: str = "probability") -> DataFrame:
+    """Divide ``name`` by its row total; a zero row raises or becomes uniform."""
     if empty not in ("raise", "uniform"):
         raise ValueError("empty must be 'raise' or 'uniform'")
-    size = total(p, n)
-    if n <= UNROLL:
-        scaled = F.array(*[p[i] / size for i in range(n)])
-        flat = F.array(*[F.lit(1.0 / n)] * n)
-    else:
-        scaled = F.transform(p, lambda x: x / size)
-        flat = F.array_repeat(F.lit(1.0 / n), n)
+    sized = df.withColumn("_size", F.expr(total_sql(name, n)))
     if empty == "uniform":
-        return F.when(size > 0, scaled).otherwise(flat)
-    broken = F.raise_error(F.lit("a prediction row has zero total probability"))
-    return F.when(size > 0, scaled).otherwise(broken.cast("array<double>"))
+        other = F.expr(f"array_repeat({number(1.0 / n)}, {n})")
+    else:
+        other = F.expr("cast(raise_error('a prediction row has zero total probability') as array<double>)")
+    scaled = mapped(name, n, "{x} / _size")
+    return sized.withColumn(name, F.when(F.col("_size") > 0, scaled).otherwise(other)).drop("_size")
 
 
-def aligned(p: Column, model_classes: list, all_classes: list, empty: str = "raise") -> Column:
-    """Reorder to the global classes, absent classes 0.0, and renormalise."""
+def align(df: DataFrame, model_classes: list, all_classes: list, empty: str = "raise", name: str = "probability") -> DataFrame:
+    """Reorder ``name`` to the global classes, absent classes 0.0, and renormalise."""
     unknown = [c for c in model_classes if c not in set(all_classes)]
     if unknown:
         raise KeyError(f"model classes outside the class list: {unknown}")
     place = {c: i for i, c in enumerate(model_classes)}
-    spread = F.array(
-        *[F.coalesce(p[place[c]], F.lit(0.0)) if c in place else F.lit(0.0) for c in all_classes]
-    )
-    return normalised(spread, len(all_classes), empty)
+    cells = [f"coalesce({quoted(name)}[{place[c]}], 0D)" if c in place else "0D" for c in all_classes]
+    return normalise(df.withColumn(name, F.expr(f"array({', '.join(cells)})")), len(all_classes), empty, name)
 
 
-def confidence(p: Column) -> Column:
-    return F.array_max(p)
+def confidence(name: str = "probability") -> Column:
+    return F.array_max(name)
 
 
-def predicted(p: Column) -> Column:
+def predicted(name: str = "probability") -> Column:
     """Index of the largest probability; the lowest index wins a tie."""
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    p = quoted(name)
+    return F.expr(f"cast(array_position({p}, array_max({p})) - 1 as int)")
 
 
-def true_probability(p: Column, label: Column) -> Column:
-    return F.element_at(p, label.cast("int") + 1)
+def true_sql(name: str, label: str) -> str:
+    return f"element_at({quoted(name)}, cast({quoted(label)} as int) + 1)"
 
 
-def neg_log(p: Column, label: Column) -> Column:
-    clipped = F.least(F.greatest(true_probability(p, label), F.lit(EPSILON)), F.lit(1 - EPSILON))
-    return -F.log(clipped)
+def neg_log(name: str = "probability", label: str = "label") -> Column:
+    return F.expr(f"-ln(least(greatest({true_sql(name, label)}, {number(EPSILON)}), {number(1 - EPSILON)}))")
 
 
-def rank_of_label(p: Column, label: Column, n: int) -> Column:
-    """How many classes stand before the label; the highest index wins a tie."""
-    mine = true_probability(p, label)
+def in_top_k(n: int, k: int = 3, name: str = "probability", label: str = "label") -> Column:
+    """1 when fewer than k classes stand before the label; the highest index wins a tie."""
+    p, y, mine = quoted(name), quoted(label), true_sql(name, label)
+    ahead = "cast({x} > " + mine + " or ({x} = " + mine + " and {i} > " + y + ") as int)"
     if n <= UNROLL:
-        ahead = [
-            ((p[i] > mine) | ((p[i] == mine) & (label < i))).cast("int") for i in range(n)
-        ]
-        return add_all(ahead)
-    pairs = F.transform(p, lambda x, i: ((x > mine) | ((x == mine) & (i > label))).cast("int"))
-    return F.aggregate(pairs, F.lit(0), lambda acc, x: acc + x)
+        places = " + ".join(ahead.format(x=f"{p}[{i}]", i=i) for i in range(n))
+    else:
+        places = f"aggregate(transform({p}, (x, i) -> {ahead.format(x='x', i='i')}), 0, (a, x) -> a + x)"
+    return F.expr(f"cast({places} < {min(k, n)} as int)")
 
 
-def in_top_k(p: Column, label: Column, n: int, k: int = 3) -> Column:
-    return (rank_of_label(p, label, n) < min(k, n)).cast("int")
+def brier(n: int, name: str = "probability", label: str = "label") -> Column:
+    """Squared distance to the one-hot target, summed over classes."""
+    p = quoted(name)
+    if n <= UNROLL:
+        squares = terms(p + "[{i}] * " + p + "[{i}]", n)
+    else:
+        squares = f"aggregate({p}, 0D, (a, x) -> a + x * x)"
+    return F.expr(f"{squares} - 2 * {true_sql(name, label)} + 1D")
 
 
-def brier(p: Column, label: Column, n: int) -> Column:
-    """Squared distance to the one-hot target, summed over classes."""
-    return sum_of_squares(p, n) - 2 * true_probability(p, label) + F.lit(1.0)
+def softmax(df: DataFrame, n: int, source: str, name: str = "probability") -> DataFrame:
+    """Exponentials of ``source`` relative to its largest entry, normalised."""
+    top = df.withColumn("_top", F.array_max(source))
+    return normalise(top.withColumn(name, mapped(source, n, "exp({x} - _top)")), n, "raise", name).drop("_top")

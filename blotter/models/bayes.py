@@ -14,7 +14,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blotter.functions.probability import add_all
+from blotter.functions.probability import number, numbers, softmax
 from blotter.operators.lookup import attach, literal
 from blotter.operators.splits import MAX_CLASSES
 from blotter.session import bounded_rows, cut_lineage, fits_broadcast
@@ -24,9 +24,9 @@ INLINE_CODES = 64  # code tables up to this size become literals instead of join
 
 def code_counts(df: DataFrame, columns, label: str = "label") -> DataFrame:
     """Rows per (feature, code, class); combined before the shuffle."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("int").alias("code")) for c in columns])
+    pairs = ", ".join(f"named_struct('feature', '{c}', 'code', cast(`{c}` as int))" for c in columns)
     return (
-        df.select(F.col(label).cast("int").alias("k"), F.explode(pairs).alias("p"))
+        df.select(F.col(label).cast("int").alias("k"), F.expr(f"explode(array({pairs}))").alias("p"))
         .groupBy(F.col("p.feature").alias("feature"), F.col("p.code").alias("code"), "k")
         .agg(F.count("*").alias("n"))
     )
@@ -55,26 +55,14 @@ class CategoricalBayes(Estimator):
         floors = {
             f: [math.log(t + self.alpha * n) for t in totals] for f, (n, _) in sizes.items()
         }
-        denominator = F.create_map(
-            *[x for f, d in floors.items() for x in (F.lit(f), F.array(*[F.lit(v) for v in d]))]
-        )
         seen = F.map_from_entries(F.collect_list(F.struct("k", "n")))  # at most one entry per class
         share = F.sum("n") / F.lit(sum(totals))
+        cells = ", ".join(f"ln(coalesce(seen[{k}], 0L) + {number(self.alpha)}) - floor[{k}]" for k in range(classes))
         table = (
             counts.groupBy("feature", "code")
             .agg(seen.alias("seen"), share.alias("share"))
-            .withColumn("floor", denominator[F.col("feature")])
-            .select(
-                "feature",
-                F.col("code").alias("level"),
-                "share",
-                F.array(
-                    *[
-                        F.log(F.coalesce(F.col("seen")[k], F.lit(0)) + F.lit(self.alpha)) - F.col("floor")[k]
-                        for k in range(classes)
-                    ]
-                ).alias("logp"),
-            )
+            .withColumn("floor", literal(floors, "map<string, array<double>>")[F.col("feature")])
+            .select("feature", F.col("code").alias("level"), "share", F.expr(f"array({cells})").alias("logp"))
         )
         # A code without training rows has only the smoothing mass.
         absent = {f: [math.log(self.alpha) - v for v in d] for f, d in floors.items()}
@@ -119,21 +107,15 @@ class CategoricalBayesModel(Model, MLWritable, MLReadable):
                 names.append(f"_lp{i}")
                 continue
             side = self.table.filter(F.col("feature") == c)
-            default = F.array(*[F.lit(v) for v in self.absent[c]])
+            default = F.expr(numbers(self.absent[c]))
             small = fits_broadcast(self.sizes[c], row_bytes=48 + 8 * n)
             frame = attach(frame, F.col(c).cast("int"), side, "logp", f"_lp{i}", default, small)
             names.append(f"_lp{i}")
-        sums = [add_all([F.lit(self.prior[k])] + [F.col(name)[k] for name in names]) for k in range(n)]
-        return frame.withColumn("joint", F.array(*sums)).drop(*names)
+        sums = [" + ".join([number(self.prior[k]), *(f"{name}[{k}]" for name in names)]) for k in range(n)]
+        return frame.withColumn("joint", F.expr(f"array({', '.join(sums)})")).drop(*names)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        n = len(self.prior)
-        frame = self.log_joint(dataset).withColumn("_top", F.array_max("joint"))
-        frame = frame.withColumn("_e", F.array(*[F.exp(F.col("joint")[k] - F.col("_top")) for k in range(n)]))
-        size = add_all([F.col("_e")[k] for k in range(n)])
-        return frame.withColumn("probability", F.array(*[F.col("_e")[k] / size for k in range(n)])).drop(
-            "joint", "_top", "_e"
-        )
+        return softmax(self.log_joint(dataset), len(self.prior), "joint").drop("joint")
 
     def write(self):
         return _Writer(self)

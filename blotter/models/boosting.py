@@ -24,7 +24,7 @@ from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegre
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from blotter.functions.probability import add_all
+from blotter.functions.probability import mapped, number, numbers, softmax, terms
 from blotter.models.prior import class_counts
 from blotter.session import bounded_rows, cut_lineage, widen
 
@@ -32,13 +32,6 @@ MIN_HESSIAN = 1e-16
 SAMPLE_SLOTS = 1_000_000
 
 
-def softmax(margin: Column, n: int) -> list[Column]:
-    top = F.array_max(margin)
-    parts = [F.exp(margin[k] - top) for k in range(n)]
-    size = add_all(parts)
-    return [p / size for p in parts]
-
-
 def leaf_value(g: float, h: float, alpha: float, lam: float) -> float:
     """Newton step with soft-thresholded gradient sum."""
     pulled = math.copysign(max(abs(g) - alpha, 0.0), g)
@@ -82,7 +75,7 @@ class SoftmaxBoosting(Estimator):
                 F.col(self.features_col).alias("features"),
                 F.col(self.label_col).cast("int").alias("label"),
                 F.xxhash64(*others, self.features_col).alias("row"),
-                F.array(*[F.lit(0.0)] * n).alias("margin"),
+                F.expr(numbers([0.0] * n)).alias("margin"),
             )
         )
         width = state.select("features").first()[0].size
@@ -97,11 +90,10 @@ class SoftmaxBoosting(Estimator):
         return SoftmaxBoostingModel(n, width, ensemble, self.features_col)
 
     def _round(self, r, state, held, n, width, rng):
-        p = softmax(F.col("margin"), n)
-        scored = state.withColumn("_p", F.array(*p))
-        g = [F.col("_p")[k] - (F.col("label") == k).cast("double") for k in range(n)]
-        h = [F.greatest(2 * F.col("_p")[k] * (1 - F.col("_p")[k]), F.lit(MIN_HESSIAN)) for k in range(n)]
-        graded = scored.select("features", "label", "row", "margin", F.array(*g).alias("g"), F.array(*h).alias("h"))
+        scored = softmax(state, n, "margin", "_p")
+        g = terms("_p[{i}] - cast(label = {i} as double)", n, ", ")
+        h = mapped("_p", n, "greatest(2 * {x} * (1 - {x}), " + number(MIN_HESSIAN) + ")")
+        graded = scored.select("features", "label", "row", "margin", F.expr(f"array({g})").alias("g"), h.alias("h"))
         drawn = F.pmod(F.xxhash64("row", F.lit(self.seed), F.lit(r)), F.lit(SAMPLE_SLOTS)) < int(self.subsample * SAMPLE_SLOTS)
         graded = graded.withColumn("drawn", drawn if self.subsample < 1 else F.lit(True)).persist()
         sums = graded.filter("drawn").agg(*[F.sum(F.col("h")[k]).alias(f"h{k}") for k in range(n)]).first()
@@ -139,17 +131,10 @@ class SoftmaxBoosting(Estimator):
         placed = graded
         for k, tree in enumerate(trees):
             placed = _leaf(placed, tree, picks[k], "features", f"_leaf{k}")
-        leaves = F.array(
-            *[
-                F.struct(
-                    F.lit(k).alias("k"), F.col(f"_leaf{k}").alias("leaf"), F.col("g")[k].alias("g"), F.col("h")[k].alias("h")
-                )
-                for k in range(n)
-            ]
-        )
+        leaves = terms("named_struct('k', {i}, 'leaf', _leaf{i}, 'g', g[{i}], 'h', h[{i}])", n, ", ")
         stats = (
             placed.filter("drawn")
-            .select(F.explode(leaves).alias("e"))
+            .select(F.expr(f"explode(array({leaves}))").alias("e"))
             .groupBy("e.k", "e.leaf")
             .agg(F.sum("e.g").alias("g"), F.sum("e.h").alias("h"))
         )
@@ -160,8 +145,7 @@ class SoftmaxBoosting(Estimator):
             values[row["k"]][row["leaf"]] = self.eta * leaf_value(row["g"], row["h"], self.alpha, self.lam)
         grown = [(tree, picks[k], values[k]) for k, tree in enumerate(trees)]
 
-        margin = F.array(*[F.col("margin")[k] + _value(values[k], F.col(f"_leaf{k}")) for k in range(n)])
-        following = placed.select("features", "label", "row", margin.alias("margin"))
+        following = placed.select("features", "label", "row", _stepped(values).alias("margin"))
         if (r + 1) % self.checkpoint_every == 0 and r + 1 < self.rounds:
             following = cut_lineage(following)
         return grown, following, graded
@@ -179,8 +163,10 @@ def _leaf(df: DataFrame, tree, indices, features_col: str, name: str) -> DataFra
     return frame.drop(column) if indices is not None else frame
 
 
-def _value(values: list[float], leaf: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(float(v)) for v in values]), leaf + 1)
+def _stepped(values: list[list[float]]) -> Column:
+    """The margins moved by the value of the leaf each class tree put the row in."""
+    cells = [f"margin[{k}] + element_at({numbers(v)}, _leaf{k} + 1)" for k, v in enumerate(values)]
+    return F.expr(f"array({', '.join(cells)})")
 
 
 class SoftmaxBoostingModel(Model, MLWritable, MLReadable):
@@ -199,19 +185,19 @@ class SoftmaxBoostingModel(Model, MLWritable, MLReadable):
 
     def margins(self, dataset: DataFrame) -> DataFrame:
         n = self.classes
-        frame = dataset.withColumn("margin", F.array(*[F.lit(0.0)] * n))
+        frame = dataset.withColumn("margin", F.expr(numbers([0.0] * n)))
         for r, trees in enumerate(self.ensemble):
             for k, (tree, indices, _) in enumerate(trees):
                 frame = _leaf(frame, tree, indices, self.features_col, f"_leaf{k}")
-            steps = [F.col("margin")[k] + _value(trees[k][2], F.col(f"_leaf{k}")) for k in range(n)]
-            frame = frame.withColumn("margin", F.array(*steps)).drop(*[f"_leaf{k}" for k in range(n)])
+            steps = _stepped([values for _, _, values in trees])
+            frame = frame.withColumn("margin", steps).drop(*[f"_leaf{k}" for k in range(n)])
             if (r + 1) % self.PLAN_ROUNDS == 0 and r + 1 < self.rounds:
                 frame = cut_lineage(frame)
         return frame
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         frame = self.margins(dataset)
-        return frame.withColumn("probability", F.array(*softmax(F.col("margin"), self.classes))).drop("margin")
+        return softmax(frame, self.classes, "margin").drop("margin")
 
     def write(self):
         return _Writer(self)

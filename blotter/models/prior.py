@@ -8,6 +8,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from blotter.functions.probability import numbers
 from blotter.operators.splits import MAX_CLASSES
 from blotter.session import bounded_rows
 
@@ -38,7 +39,7 @@ class ClassPriorModel(Model, MLWritable, MLReadable):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         # A literal, so scoring adds no join and no shuffle.
-        return dataset.withColumn("probability", F.array(*[F.lit(float(p)) for p in self.priors]))
+        return dataset.withColumn("probability", F.expr(numbers(self.priors)))
 
     def write(self):
         return _Writer(self)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from blotter.functions.probability import add_all
+from blotter.functions.probability import number
 from blotter.operators.splits import row_hash
 
 SAMPLE_SIZE = 2000
@@ -72,16 +72,12 @@ def linear_contributions(
     means: dict[str, float],
 ) -> DataFrame:
     """w_jk * (x_j - mean_j): the exact Shapley values of a linear margin."""
-    entries = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.lit(k).alias("class_id"),
-            (F.lit(float(row[j])) * (F.col(c) - F.lit(float(means[c])))).alias("phi"),
-        )
+    entries = ", ".join(
+        f"named_struct('feature', '{c}', 'class_id', {k}, 'phi', {number(row[j])} * (`{c}` - {number(means[c])}))"
         for k, row in enumerate(weights)
         for j, c in enumerate(columns)
-    ]
-    return df.select(key, F.explode(F.array(*entries)).alias("e")).select(key, "e.*")
+    )
+    return df.select(key, F.expr(f"explode(array({entries}))").alias("e")).select(key, "e.*")
 
 
 def sampled_shapley(
@@ -178,8 +174,3 @@ def distribution(one_class: DataFrame, probs=(0.25, 0.5, 0.75)) -> DataFrame:
     )
     names = [f"q{round(p * 100)}" for p in probs]
     return spread.select("feature", "rows", "low", "high", "mean_abs", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
-
-
-def reconstruction_gap(contributions: DataFrame, key: str) -> DataFrame:
-    """Sum of contributions per row and class; it equals score minus base score."""
-    return contributions.groupBy(key, "class_id").agg(add_all([F.sum("phi")]).alias("total"))

@@ -9,6 +9,7 @@ from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from blotter.functions.probability import number
 from blotter.operators.levels import MISSING, Levels, fit_levels
 from blotter.operators.lookup import attach, inlined
 from blotter.operators.quantiles import imputed_quantiles, profile
@@ -36,10 +37,6 @@ def add_constant(column: Column, constant: float = 1.0) -> Column:
 # --- numeric block ---------------------------------------------------------
 
 
-def _imputed(name: str, median: float) -> Column:
-    return F.coalesce(F.col(name).cast("double"), F.lit(float(median)))
-
-
 def bin_edges(quantiles: list[float]) -> list[float]:
     """Edges with bins too narrow to tell apart removed."""
     kept = quantiles[:1]
@@ -93,15 +90,12 @@ def _filled_moments(s: dict, median: float) -> tuple[float, float]:
 
 
 def numeric_expression(name: str, params: dict) -> Column:
-    value = _imputed(name, params["median"])
+    value = f"coalesce(cast(`{name}` as double), {number(params['median'])})"
     if "edges" in params:
-        code = F.lit(0)
-        for edge in params["edges"][1:-1]:
-            code = code + (value >= F.lit(float(edge))).cast("int")
-        return code
+        return F.expr(" + ".join(f"cast({value} >= {number(e)} as int)" for e in params["edges"][1:-1]) or "0")
     if "center" in params:
-        return (value - F.lit(float(params["center"]))) / F.lit(float(params["scale"]))
-    return value
+        return F.expr(f"({value} - {number(params['center'])}) / {number(params['scale'])}")
+    return F.expr(value)
 
 
 # --- both blocks -----------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from blotter.functions.probability import number
 from blotter.operators.quantiles import medians
 from blotter.schema import require_columns
 
@@ -53,14 +54,16 @@ def fit_centers(
     return sorted((float(c[0]), float(c[1])) for c in best.clusterCenters())
 
 
-def squared_distances(lon: Column, lat: Column, centers) -> list[Column]:
-    return [(lon - F.lit(x)) * (lon - F.lit(x)) + (lat - F.lit(y)) * (lat - F.lit(y)) for x, y in centers]
+def squared_distances(centers, lon: str = "_x", lat: str = "_y") -> list[str]:
+    return [
+        f"({lon} - {number(x)}) * ({lon} - {number(x)}) + ({lat} - {number(y)}) * ({lat} - {number(y)})" for x, y in centers
+    ]
 
 
-def nearest(lon: Column, lat: Column, centers) -> Column:
+def nearest(centers, lon: str = "_x", lat: str = "_y") -> Column:
     """Index of the nearest center; the lowest index wins a tie."""
-    squared = F.array(*squared_distances(lon, lat, centers))
-    return (F.array_position(squared, F.array_min(squared)) - 1).cast("int")
+    squared = f"array({', '.join(squared_distances(centers, lon, lat))})"
+    return F.expr(f"cast(array_position({squared}, array_min({squared})) - 1 as int)")
 
 
 class GeoEncoder(Estimator):
@@ -103,17 +106,20 @@ class GeoEncoderModel(Model, MLWritable, MLReadable):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         require_columns(dataset, [self.lon, self.lat])
+        if self.mode not in CLUSTER_MODES + DISTANCE_MODES:
+            return dataset if self.mode in RAW_MODES else dataset.drop(self.lon, self.lat)
         # Only the copies used for distances are filled; retained raw columns stay as they are.
-        x, y = (
-            F.coalesce(F.col(c).try_cast("double"), F.lit(self.fill.get(c)).cast("double")) for c in (self.lon, self.lat)
-        )
+        copies = {
+            name: F.coalesce(F.col(c).try_cast("double"), F.lit(float(self.fill[c])))
+            for name, c in (("_x", self.lon), ("_y", self.lat))
+        }
         added = {}
         if self.mode in CLUSTER_MODES:
-            added["geo_cluster"] = nearest(x, y, self.centers).cast("string")
+            added["geo_cluster"] = nearest(self.centers).cast("string")
         if self.mode in DISTANCE_MODES:
-            for i, squared in enumerate(squared_distances(x, y, self.centers)):
-                added[f"geo_distance_{i}"] = F.sqrt(squared)
-        frame = dataset.withColumns(added) if added else dataset
+            for i, squared in enumerate(squared_distances(self.centers)):
+                added[f"geo_distance_{i}"] = F.expr(f"sqrt({squared})")
+        frame = dataset.withColumns(copies).withColumns(added).drop("_x", "_y")
         return frame if self.mode in RAW_MODES else frame.drop(self.lon, self.lat)
 
     def write(self) -> MLWriter:

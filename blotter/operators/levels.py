@@ -45,13 +45,10 @@ class Levels:
 
 def count_levels(df: DataFrame, columns, fill: str | None = MISSING) -> DataFrame:
     """Rows per (feature, level); all columns in one scan, combined before the shuffle."""
-    def text(c):
-        value = F.col(c).cast("string")
-        return F.coalesce(value, F.lit(fill)) if fill is not None else value
-
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), text(c).alias("level")) for c in columns])
+    text = "cast(`{c}` as string)" if fill is None else f"coalesce(cast(`{{c}}` as string), '{fill}')"
+    pairs = ", ".join(f"named_struct('feature', '{c}', 'level', {text.format(c=c)})" for c in columns)
     return (
-        df.select(F.explode(pairs).alias("p"))
+        df.select(F.expr(f"explode(array({pairs}))").alias("p"))
         .groupBy(F.col("p.feature").alias("feature"), F.col("p.level").alias("level"))
         .agg(F.count("*").alias("n"))
     )

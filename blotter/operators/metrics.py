@@ -7,8 +7,6 @@ losses per (label, predicted) - and every metric here is read off the ledger.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from blotter.functions import probability as prob
@@ -16,13 +14,12 @@ from blotter.functions import probability as prob
 
 def ledger(predictions: DataFrame, n: int, k: int = 3, group=()) -> DataFrame:
     """Counts and loss sums per true and predicted class (and ``group`` columns)."""
-    p, y = F.col("probability"), F.col("label")
     scored = predictions.select(
         *group,
-        y.cast("int").alias("label"),
-        prob.predicted(p).alias("predicted"),
-        prob.neg_log(p, y).alias("loss"),
-        prob.in_top_k(p, y, n, k).alias("top"),
+        F.col("label").cast("int").alias("label"),
+        prob.predicted().alias("predicted"),
+        prob.neg_log().alias("loss"),
+        prob.in_top_k(n, k).alias("top"),
     )
     return scored.groupBy(*group, "label", "predicted").agg(
         F.count("*").alias("n"), F.sum("loss").alias("loss"), F.sum("top").alias("top")
@@ -95,16 +92,16 @@ def overall(predictions: DataFrame, n: int, k: int = 3, group=()) -> DataFrame:
 
 
 def log_loss(predictions: DataFrame) -> DataFrame:
-    return predictions.agg(F.avg(prob.neg_log(F.col("probability"), F.col("label"))).alias("log_loss"))
+    return predictions.agg(F.avg(prob.neg_log()).alias("log_loss"))
 
 
 def accuracy(predictions: DataFrame) -> DataFrame:
-    right = prob.predicted(F.col("probability")) == F.col("label")
+    right = prob.predicted() == F.col("label")
     return predictions.agg(F.avg(right.cast("double")).alias("accuracy"))
 
 
 def top_k_accuracy(predictions: DataFrame, n: int, k: int = 3) -> DataFrame:
-    hit = prob.in_top_k(F.col("probability"), F.col("label"), n, k)
+    hit = prob.in_top_k(n, k)
     return predictions.agg(F.avg(hit.cast("double")).alias("top_3_accuracy"))
 
 
@@ -221,24 +218,23 @@ def edges(bins: int) -> list[float]:
     return [i * step for i in range(bins)] + [1.0]
 
 
-def calibration_bin(confidence: Column, bins: int) -> Column:
+def calibration_bin(bins: int, name: str = "confidence") -> Column:
     """Zero-based right-closed bin; the first one also takes 0."""
     inner = edges(bins)[1:-1]
-    return reduce(lambda a, e: a + (confidence > F.lit(e)).cast("int"), inner, F.lit(0))
+    return F.expr(" + ".join(f"cast({name} > {prob.number(e)} as int)" for e in inner) or "0")
 
 
 def _confidence_rows(predictions: DataFrame, n: int) -> DataFrame:
-    p, y = F.col("probability"), F.col("label")
     return predictions.select(
-        prob.confidence(p).alias("confidence"),
-        (prob.predicted(p) == y).cast("int").alias("correct"),
-        prob.brier(p, y, n).alias("brier"),
+        prob.confidence().alias("confidence"),
+        (prob.predicted() == F.col("label")).cast("int").alias("correct"),
+        prob.brier(n).alias("brier"),
     )
 
 
 def _bin_sums(predictions: DataFrame, n: int, bins: int) -> DataFrame:
     rows = _confidence_rows(predictions, n)
-    return rows.groupBy(calibration_bin(F.col("confidence"), bins).alias("bin_id")).agg(
+    return rows.groupBy(calibration_bin(bins).alias("bin_id")).agg(
         F.count("*").alias("n"),
         F.sum("confidence").alias("confidence"),
         F.sum("correct").alias("correct"),
@@ -283,8 +279,7 @@ def reliability(table: DataFrame) -> DataFrame:
 
 
 def brier_score(predictions: DataFrame, n: int) -> DataFrame:
-    score = prob.brier(F.col("probability"), F.col("label"), n)
-    return predictions.agg(F.avg(score).alias("multiclass_brier_score"))
+    return predictions.agg(F.avg(prob.brier(n)).alias("multiclass_brier_score"))
 
 
 def calibration_summary(predictions: DataFrame, n: int, bins: int = 10) -> DataFrame:
@@ -303,10 +298,9 @@ def calibration_summary(predictions: DataFrame, n: int, bins: int = 10) -> DataF
 
 def confidence_histogram(predictions: DataFrame, bins: int = 20) -> DataFrame:
     """Left-closed equal bins on [0, 1]; the last bin is closed on both sides."""
-    c = prob.confidence(F.col("probability"))
-    inner = edges(bins)[1:-1]
-    slot = reduce(lambda a, e: a + (c >= F.lit(e)).cast("int"), inner, F.lit(0))
-    counts = predictions.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
+    slot = " + ".join(f"cast(confidence >= {prob.number(e)} as int)" for e in edges(bins)[1:-1])
+    rows = predictions.select(prob.confidence().alias("confidence"))
+    counts = rows.groupBy(F.expr(slot).alias("slot")).agg(F.count("*").alias("n"))
     empty = _class_rows(predictions.sparkSession, bins).select(
         F.col("class_id").alias("slot"), F.lit(0).cast("bigint").alias("n")
     )

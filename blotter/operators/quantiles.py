@@ -13,14 +13,16 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from blotter.operators.lookup import literal
+
 FEW_VALUES = 1_000_000
 SLICES = 1024
 METHODS = ("linear", "averaged_inverted_cdf")
 
 
 def _long(df: DataFrame, columns) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
-    return df.select(F.explode(pairs).alias("p")).select("p.feature", "p.value").filter("value is not null")
+    pairs = ", ".join(f"named_struct('feature', '{c}', 'value', cast(`{c}` as double))" for c in columns)
+    return df.select(F.expr(f"explode(array({pairs}))").alias("p")).select("p.feature", "p.value").filter("value is not null")
 
 
 def wanted_ranks(n: int, prob: float, method: str) -> tuple[int, int, float]:
@@ -47,9 +49,7 @@ def _ranks_by_value(df: DataFrame, plan: dict[str, set[int]]) -> dict:
     """Order statistics through one row per distinct value."""
     counts = _long(df, sorted(plan)).groupBy("feature", "value").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("feature").orderBy("value"))
-    wanted = F.create_map(
-        *[x for c, r in plan.items() for x in (F.lit(c), F.array(*[F.lit(k).cast("bigint") for k in sorted(r)]))]
-    )
+    wanted = literal({c: sorted(r) for c, r in plan.items()}, "map<string, array<bigint>>")
     spans = counts.withColumn("upto", upto).withColumn(
         "hit",
         F.filter(wanted[F.col("feature")], lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("n"))),
@@ -103,22 +103,19 @@ def _ranks_by_bracket(df: DataFrame, plan: dict[str, set[int]], spans: dict[str,
 def profile(df: DataFrame, columns) -> dict[str, dict]:
     """Known and missing values, distinct estimate, range and moments per column, from one scan."""
     columns = list(columns)
-    kinds = (
-        ("n", F.count),
-        ("distinct", F.approx_count_distinct),
-        ("low", F.min),
-        ("high", F.max),
-        ("mean", F.avg),
-        ("var", F.var_pop),
-    )
+    kinds = {
+        "n": "count",
+        "distinct": "approx_count_distinct",
+        "low": "min",
+        "high": "max",
+        "mean": "avg",
+        "var": "var_pop",
+    }
+    stats = ", ".join(f"'{k}', {f}(cast(`{{c}}` as double))" for k, f in kinds.items())
     row = df.agg(
-        F.count("*").alias("rows"),
-        *[f(F.col(c).cast("double")).alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in kinds],
+        F.count("*").alias("rows"), *[F.expr(f"named_struct({stats.format(c=c)})").alias(f"c{i}") for i, c in enumerate(columns)]
     ).first()
-    return {
-        c: {"missing": row["rows"] - row[f"n_{i}"], **{k: row[f"{k}_{i}"] for k, _ in kinds}}
-        for i, c in enumerate(columns)
-    }
+    return {c: {"missing": row["rows"] - row[f"c{i}"]["n"], **row[f"c{i}"].asDict()} for i, c in enumerate(columns)}
 
 
 def order_statistics(df: DataFrame, plan: dict[str, set[int]], stats: dict[str, dict], few_values: int = FEW_VALUES) -> dict:

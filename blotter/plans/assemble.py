@@ -13,6 +13,7 @@ from blotter.models.mllib import Forest, MultinomialLogistic
 from blotter.models.prior import ClassPrior
 from blotter.operators.encoding import ColumnEncoder
 from blotter.operators.geo import GeoEncoder
+from blotter.operators.lookup import literal
 from blotter.plans.config import ExperimentConfig
 
 CARRIED = ("target", "label", "incident_id")
@@ -123,5 +124,5 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def with_label(df: DataFrame, classes: list, target: str = "target", name: str = "label") -> DataFrame:
     """Class index in sorted order, as double; a class outside the list gives null."""
-    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(target))
+    place = F.array_position(literal(list(classes), "array<string>"), F.col(target))
     return df.withColumn(name, F.nullif((place - 1).cast("double"), F.lit(-1.0)))

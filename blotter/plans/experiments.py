@@ -43,11 +43,7 @@ def fit_and_score(
     started = time.perf_counter()
     model = full_pipeline(config).fit(with_label(train, train_classes))
     seconds = time.perf_counter() - started
-    scored = score(model, held_out).select(
-        *keys,
-        "target",
-        prob.aligned(F.col("probability"), train_classes, all_classes, empty).alias("probability"),
-    )
+    scored = prob.align(score(model, held_out).select(*keys, "target", "probability"), train_classes, all_classes, empty)
     return model, seconds, with_label(scored, all_classes).withColumn("label", F.col("label").cast("int"))
 
 

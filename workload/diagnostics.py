@@ -41,7 +41,7 @@ def e01(spark, sf):
     # The model knows six of the seven classes, in its own order.
     known = [5, 0, 1, 2, 3, 4]
     partial = pred(spark, sf).withColumn("probability", F.array(*[F.col("probability")[c] for c in known]))
-    return wide(partial.withColumn("probability", prob.aligned(F.col("probability"), known, ALL, "raise")))
+    return wide(prob.align(partial, known, ALL, "raise"))
 
 
 _UNIFORM = ", ".join(r(f"CASE WHEN s > 0 THEN p{i}/s ELSE {d(1.0)}/7 END", f"p{i}") for i in range(K))
@@ -52,13 +52,13 @@ _UNIFORM = ", ".join(r(f"CASE WHEN s > 0 THEN p{i}/s ELSE {d(1.0)}/7 END", f"p{i
     with_sql(predictions_sql(500), f"SELECT row_id, {_UNIFORM} FROM (SELECT *, p0+p1+p2+p3+p4+p5+p6 AS s FROM pred) t"),
 )
 def e02(spark, sf):
-    return wide(pred(spark, sf, 500).withColumn("probability", prob.aligned(F.col("probability"), ALL, ALL, "uniform")))
+    return wide(prob.align(pred(spark, sf, 500), ALL, ALL, "uniform"))
 
 
 @query("e03_argmax", scored_query(f"SELECT row_id, predicted, {r('conf', 'confidence')} FROM scored"))
 def e03(spark, sf):
     return rounded(
-        pred(spark, sf).select("row_id", prob.predicted(F.col("probability")).alias("predicted"), prob.confidence(F.col("probability")).alias("confidence"))
+        pred(spark, sf).select("row_id", prob.predicted().alias("predicted"), prob.confidence().alias("confidence"))
     )
 
 
