@@ -61,20 +61,19 @@ def random_split(
         .filter((F.col("_left") >= 0) & (F.col("_left") < F.col("_n")))
         .select(F.col(target).alias("_class"), F.col("_s").alias("_cut"), F.col("_left"))
     )
-    # At most one row per class, and the class count is bounded.
-    cuts = {r["_class"]: (r["_cut"], r["_left"]) for r in bounded_rows(cut, MAX_CLASSES, "classes")}
-    place = F.create_map(*[x for c, v in cuts.items() for x in (F.lit(c), F.struct(F.lit(int(v[0])).alias("cut"), F.lit(int(v[1])).alias("left")))]) if cuts else None
-    if place is None:
-        return hashed.withColumn("is_test", F.lit(True)).drop("_h", "_s")
-    marked = hashed.withColumn("_c", place[F.col(target)])
-
-    border = marked.filter(F.col("_s") == F.col("_c.cut"))
+    # At most one row per class, and the class count is checked: small enough to broadcast.
+    cuts = bounded_rows(cut, MAX_CLASSES, "classes")
+    side = df.sparkSession.createDataFrame(cuts, cut.schema)
+    marked = hashed.join(F.broadcast(side), F.col(target).eqNullSafe(F.col("_class")), "left")
+
+    border = marked.filter(F.col("_s") == F.col("_cut"))
     ranked = (
         border.withColumn("_r", F.row_number().over(Window.partitionBy(target, "_s").orderBy("_h", key)))
-        .withColumn("is_test", F.col("_r") <= F.col("_c.left"))
+        .withColumn("is_test", F.col("_r") <= F.col("_left"))
     )
-    rest = marked.filter(F.col("_c").isNull() | (F.col("_s") != F.col("_c.cut")))
-    rest = rest.withColumn("is_test", F.coalesce(F.col("_s") < F.col("_c.cut"), F.lit(True)))
+    rest = marked.filter(F.col("_cut").isNull() | (F.col("_s") != F.col("_cut")))
+    # A class whose rows are all test rows has no cut.
+    rest = rest.withColumn("is_test", F.coalesce(F.col("_s") < F.col("_cut"), F.lit(True)))
     out = [*df.columns, "is_test"]
     return rest.select(*out).unionByName(ranked.select(*out))
 

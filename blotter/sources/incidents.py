@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from blotter import schema
 from blotter.operators import clean as cleaning
@@ -12,19 +13,31 @@ def scan_csv(spark: SparkSession, path: str, row_schema=schema.RAW) -> DataFrame
     """Header CSV with a declared schema; malformed lines are skipped.
 
     The schema is declared rather than inferred: inference would read the
-    whole data set once more. Column pruning is off because a line is
-    malformed when *any* field fails to parse or the line has too many fields;
-    with pruning the kept rows would depend on the columns a query happens to
-    use. Queries should read the stored raw table, which does prune.
+    whole data set once more. A line is malformed when it has too many fields
+    or a typed field does not parse. Fields are read as text and the types are
+    checked by a filter, so the kept rows do not depend on the columns a query
+    uses; column pruning inside the parser is off for the same reason. Queries
+    should read the stored raw table, which does prune.
     """
-    return (
-        spark.read.schema(row_schema)
+    text = StructType([StructField(f.name, StringType()) for f in row_schema.fields])
+    lines = (
+        spark.read.schema(text)
         .option("header", True)
         .option("mode", "DROPMALFORMED")
         .option("columnPruning", False)
         .option("escape", '"')
         .csv(path)
     )
+    cells = []
+    for field in row_schema.fields:
+        kind = field.dataType.simpleString()
+        if kind != "string":
+            parsed = F.trim(field.name).try_cast(kind)
+            lines = lines.filter(F.col(field.name).isNull() | parsed.isNotNull())
+            cells.append(parsed.alias(field.name))
+        else:
+            cells.append(F.col(field.name))
+    return lines.select(*cells)
 
 
 def store_raw(raw: DataFrame, path: str, year_column: str = "incident_year") -> None:
