@@ -205,7 +205,8 @@ class FoldFacts:
     """What the planning of a cross-validation needs to know, read in one scan."""
 
     records: list[dict]
-    classes: list
+    classes: list  # of the development period
+    all_classes: list  # of all rows
     train_classes: dict[int, list]
     frozen_rows: int
 
@@ -250,7 +251,8 @@ def fold_facts(
             record[f"{side}_end"] = max(r["last"] for r in rows)
         train_classes[f.fold] = sorted({r["target"] for r in sides["train"]})
         records.append(record)
-    return FoldFacts(records, sorted({r["target"] for r in early}), train_classes, frozen_rows)
+    every = sorted({r["target"] for r in found})
+    return FoldFacts(records, sorted({r["target"] for r in early}), every, train_classes, frozen_rows)
 
 
 def class_coverage(reference: DataFrame, comparison: DataFrame, target: str = "target") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -60,17 +59,19 @@ def run_temporal_cv(
     """
     config.validate()
     folds = calendar_folds(validation_years)
-    facts = fold_facts(data, folds, test_start, ts)
-    all_classes = facts.classes
-
-    development = data.filter(in_period(ts, end=test_start))
     carried = [c for c in (*ROW_KEYS, "target", ts) if c in data.columns]
-    # Row-wise features learn nothing, so they are computed once for all folds and both sides.
-    prepared = features.from_config(development, config, keep=carried)
+    if config.model_name == "dummy":
+        prepared = data.select(*carried)  # the class shares need no predictors
+    else:
+        # Row-wise features learn nothing, so they are computed once for all folds and both sides.
+        prepared = features.from_config(data, config, keep=carried)
     rows = []
-    with cached(prepared) if config.model_name != "dummy" else nullcontext(prepared) as prepared:
+    with cached(prepared) as prepared:
+        facts = fold_facts(prepared, folds, test_start, ts)
+        all_classes = facts.classes
+        development = prepared.filter(in_period(ts, end=test_start))
         for fold, record in zip(folds, facts.records):
-            train, validation = fold.train(prepared, ts).drop(ts), fold.validation(prepared, ts).drop(ts)
+            train, validation = fold.train(development, ts).drop(ts), fold.validation(development, ts).drop(ts)
             model, seconds, predictions = fit_and_score(
                 train, validation, config, facts.train_classes[fold.fold], all_classes, "raise"
             )

@@ -9,12 +9,12 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blotter.operators import features, metrics
-from blotter.operators.splits import class_list, frozen_test, now_utc
+from blotter.operators.splits import MAX_CLASSES, fold_facts, in_period, now_utc
 from blotter.plans.assemble import full_pipeline, score, with_label
 from blotter.plans.config import ExperimentConfig
 from blotter.plans.experiments import fit_and_score
 from blotter.schema import ROW_KEYS
-from blotter.session import cached, cut_lineage
+from blotter.session import bounded_rows, cached, cut_lineage
 
 
 def _prepare(data: DataFrame, config: ExperimentConfig) -> DataFrame:
@@ -50,15 +50,16 @@ def evaluate_frozen(
 
     Classes are those of *all* rows; a class without training rows gets 0.
     """
-    development, frozen = frozen_test(data, test_start)
-    all_classes, train_classes = class_list(data), class_list(development)
+    facts = fold_facts(data, [], test_start)  # raises when either period is empty
+    development = data.filter(in_period(end=test_start))
+    frozen = data.filter(in_period(start=test_start))
     with cached(_prepare(development, config)) as train:
         model, _, predictions = fit_and_score(
-            train, _prepare(frozen, config), config, train_classes, all_classes, "uniform"
+            train, _prepare(frozen, config), config, facts.classes, facts.all_classes, "uniform"
         )
     if materialise:  # many diagnostics follow: score once, keep the table
         predictions = cut_lineage(predictions)
-    return FrozenEvaluation(predictions, all_classes, model, f"{config.experiment_name}_frozen_test")
+    return FrozenEvaluation(predictions, facts.all_classes, model, f"{config.experiment_name}_frozen_test")
 
 
 @dataclass
@@ -101,10 +102,10 @@ class FinalModel:
 
 def metadata_row(data: DataFrame, config: ExperimentConfig, evaluation: dict | None = None) -> dict:
     """Counts, classes, settings and - when an evaluation is given - its metrics."""
-    classes = class_list(data)
+    counted = bounded_rows(data.groupBy("target").agg(F.count("*").alias("n")), MAX_CLASSES, "classes")
+    classes, rows = sorted(r["target"] for r in counted), sum(r["n"] for r in counted)
     frame = _prepare(data, config)
     carried = [c for c in (*ROW_KEYS, "target") if c in frame.columns]
-    rows = data.count()
     return {
         "model_name": config.experiment_name,
         "trained_at_utc": now_utc().isoformat(),

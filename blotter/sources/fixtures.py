@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from blotter.session import widen
+
 CLASSES = [f"C{i}" for i in range(7)]
 TEST_START = "2001-01-01"
 VALIDATION_YEARS = (1998, 1999, 2000)
@@ -17,9 +19,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """The needed columns of a table over all cores.
+
+    The test tables have a single row group and would be read by one task; a
+    table with enough splits is left as it is, so a cluster run has no shuffle here.
+    """
+    return widen(table(spark, folder, name).select(*columns))
+
+
 def raw_incidents(spark: SparkSession, folder: str) -> DataFrame:
     """One raw row per order: padded, empty and missing values at fixed key patterns."""
-    orders = table(spark, folder, "orders")
+    orders = spread_table(spark, folder, "orders", "o_orderkey", "o_orderdate")
     minutes = F.make_dt_interval(F.lit(0), F.lit(0), (F.col("o_orderkey") % 1440).cast("int"))
     k = F.col("k")
     text = lambda c: c.cast("string")
@@ -61,7 +72,7 @@ def predictions(spark: SparkSession, folder: str, zero_every: int | None = None)
     shares = [w / size for w in weights]
     if zero_every:
         shares = [F.when(key % zero_every == 0, F.lit(0.0)).otherwise(s) for s in shares]
-    return table(spark, folder, "orders").select(
+    return spread_table(spark, folder, "orders", "o_orderkey").select(
         key.alias("row_id"), (key * 31 % 7).cast("int").alias("label"), F.array(*shares).alias("probability")
     )
 
@@ -73,15 +84,11 @@ def centers(n: int = 8) -> list[tuple[float, float]]:
 def contributions(spark: SparkSession, folder: str, features: int = 10, classes: int = 7) -> DataFrame:
     """A contribution per order, feature and class."""
     key = F.col("o_orderkey")
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(f"f{f}").alias("feature"),
-                F.lit(c).alias("class_id"),
-                (((key * (f + 3) + 17 * c) % 101 - 50).cast("double") / F.lit(100.0)).alias("phi"),
-            )
-            for f in range(features)
-            for c in range(classes)
-        ]
+    cells = ", ".join(
+        f"named_struct('feature', 'f{f}', 'class_id', {c}, "
+        f"'phi', double((o_orderkey * {f + 3} + {17 * c}) % 101 - 50) / 100D)"
+        for f in range(features)
+        for c in range(classes)
     )
-    return table(spark, folder, "orders").select(key.alias("row_id"), F.explode(cells).alias("e")).select("row_id", "e.*")
+    rows = spread_table(spark, folder, "orders", "o_orderkey")
+    return rows.select(key.alias("row_id"), F.expr(f"explode(array({cells}))").alias("e")).select("row_id", "e.*")

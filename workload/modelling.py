@@ -17,6 +17,7 @@ from workload.base import development, frozen, modeling, modeling_sql, query, r,
 from workload.transforms import (
     BAYES_LEVELS,
     BAYES_NUMBERS,
+    EARLY,
     LIMIT,
     TS,
     bayes_codes_sql,
@@ -26,7 +27,6 @@ from workload.transforms import (
 
 CLASSES = fixtures.CLASSES
 K = len(CLASSES)
-EARLY = f"{TS} < timestamp_ntz'{fixtures.TEST_START}'"
 
 
 def spread(df, *keys):

@@ -12,6 +12,7 @@ from workload.base import d, frame_sql, modeling, query, r, rounded, with_sql
 
 TS = "incident_timestamp"
 LIMIT = f"TIMESTAMP '{fixtures.TEST_START}'"
+EARLY = f"{TS} < timestamp_ntz'{fixtures.TEST_START}'"
 FIRST_YEAR = "1996-01-01"
 NUMBERS = ("longitude", "latitude", "block_number", "datetime_numeric")
 LEVELS = ("pd_district", "street_1", "street_pair")
@@ -25,8 +26,8 @@ def rows_with(spark, sf, columns):
 
 def fitted_numbers(spark, sf, strategy, columns=NUMBERS, **options):
     rows = rows_with(spark, sf, columns)
-    train = rows.filter(f"{TS} < timestamp_ntz'{fixtures.TEST_START}'")
-    params = encoding.fit_numeric(train, columns, strategy, **options)
+    with cached(rows.filter(EARLY).select(*columns)) as train:
+        params = encoding.fit_numeric(train, columns, strategy, **options)
     return rounded(rows.select("incident_id", *[encoding.numeric_expression(c, params[c]).alias(c) for c in columns]))
 
 
@@ -57,7 +58,8 @@ def t02(spark, sf):
 def t05(spark, sf):
     encoder = encoding.ColumnEncoder("passthrough", "ordinal", skip=("incident_id", TS), output="columns")
     rows = rows_with(spark, sf, NUMBERS)
-    model = encoder.fit(rows.filter(f"{TS} < timestamp_ntz'{fixtures.TEST_START}'"))
+    with cached(rows.filter(EARLY)) as train:
+        model = encoder.fit(train)
     return rounded(model.transform(rows).drop(TS))
 
 
@@ -131,8 +133,8 @@ def t06(spark, sf):
 def t06_quantiles(spark, sf):
     # Narrowing brackets, the way columns with very many distinct values are handled.
     probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
-    rows = rows_with(spark, sf, NUMBERS).filter(f"{TS} < timestamp_ntz'{fixtures.TEST_START}'")
-    found = quantiles.exact_quantiles(rows, NUMBERS, probs, few_values=0)
+    with cached(rows_with(spark, sf, NUMBERS).filter(EARLY).select(*NUMBERS)) as rows:
+        found = quantiles.exact_quantiles(rows, NUMBERS, probs, few_values=0)
     table = [(c, p, v) for c, values in found.items() for p, v in zip(probs, values)]
     return rounded(spark.createDataFrame(table, "feature string, prob double, value double"))
 
@@ -194,8 +196,7 @@ def t11(spark, sf):
 def t12(spark, sf):
     """Fitted clusters: size and mean distance to the center."""
     rows = modeling(spark, sf).select("incident_id", TS, "longitude", "latitude")
-    train = rows.filter(f"{TS} < timestamp_ntz'{fixtures.TEST_START}'")
-    model = GeoEncoder("all", n_clusters=8, n_init=2).fit(train)
+    model = GeoEncoder("all", n_clusters=8, n_init=2).fit(rows.filter(EARLY))
     spread = F.least(*[F.col(f"geo_distance_{i}") for i in range(8)])
     return rounded(model.transform(rows).groupBy("geo_cluster").agg(F.count("*").alias("n"), F.avg(spread).alias("spread")))
 
@@ -330,7 +331,8 @@ _TREE_MEDIANS = "med AS (SELECT " + ", ".join(f"median({c}) AS {c}" for c in TRE
 def t20_columns(spark, sf):
     rows = rows_with(spark, sf, TREE_NUMBERS + list(TREE_LEVELS))
     encoder = encoding.ColumnEncoder("passthrough", "ordinal", skip=("incident_id", TS), output="columns")
-    model = encoder.fit(rows.filter(f"{TS} < timestamp_ntz'{fixtures.TEST_START}'"))
+    with cached(rows.filter(EARLY)) as train:
+        model = encoder.fit(train)
     return rounded(model.transform(rows).drop(TS))
 
 
@@ -364,7 +366,8 @@ def bayes_rows(spark, sf):
 @query("t21_bayes_codes", with_sql(bayes_codes_sql(), f"SELECT * EXCLUDE (target, {TS}) FROM codes"))
 def t21(spark, sf):
     rows = bayes_rows(spark, sf)
-    model = bayes_encoder().fit(rows.filter(f"{TS} < timestamp_ntz'{fixtures.TEST_START}'"))
+    with cached(rows.filter(EARLY)) as train:
+        model = bayes_encoder().fit(train)
     return model.transform(rows).drop("target", TS)
 
 
