@@ -22,9 +22,6 @@ def build_session(app_name: str = "blotter", master: str | None = None, **settin
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # The JVM does not compile methods above 8000 bytes of bytecode; wide
-        # feature stages beyond that run faster as separate projections.
-        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     builder = SparkSession.builder.appName(app_name)
     if master:
