@@ -27,8 +27,8 @@ def volume_by_category(df: DataFrame, unit: str, category: str = "target", colum
 def all_volumes(df: DataFrame, category: str = "target", columns: dict[str, str] = UNITS) -> DataFrame:
     """Every unit per category in long form from one scan.
 
-    Rows are first counted per category and full unit combination is avoided:
-    each row yields one (unit, value) entry per unit, combined before the shuffle.
+    Each row yields one (unit, value) entry per unit; the entries are combined
+    within the task before the shuffle.
     """
     entries = F.array(
         *[F.struct(F.lit(u).alias("unit"), F.col(c).cast("int").alias("value")) for u, c in columns.items()]

@@ -1,7 +1,6 @@
 """Published result tables aggregated again."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from blotter.operators import metrics
 from blotter.plans.experiments import summarise

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from blotter.functions import address as addr
 from blotter.operators import clean as cleaning
 from blotter.session import scratch_path
 from blotter.sources import incidents

@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 from blotter.models.boosting import SoftmaxBoosting
 from blotter.models.mllib import Forest
 from blotter.operators import attribution
-from blotter.plans import assemble
 from blotter.session import scratch_path
 from blotter.sources import fixtures
 from workload.base import d, modeling, modeling_query, modeling_sql, query, r, rounded, with_sql
 from workload.frames import HASH
-from workload.modelling import CLASSES, EARLY, K, SMALL, TS, fitted, small_rows
+from workload.modelling import CLASSES, K, fitted, small_rows
 
 
 @query("x01_forest_importance")
