@@ -168,3 +168,19 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str]
         part = one(block)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else one([])
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", rate: float = RATE, least: int = LEAST, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that leak no item, by one pass for each block of items."""
+    at = docs.columns.index(text)
+    for block in _blocks(items, item_text, item_id, least, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast([t for _, t in block])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = None
+            for batch in batches:
+                matcher = matcher or Matcher(shared.value, rate)
+                yield batch.filter(pa.array([not matcher.find(normal(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

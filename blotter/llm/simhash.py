@@ -211,3 +211,25 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     renamed = labels.join(named, "component").select(F.col("node.fp").alias("fp"), "name")
     classes = firsts.join(renamed, "fp", "left").select("fp", F.coalesce("name", "first").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the one with the smallest identifier stays.
+
+    Among equal identifiers the text hash decides, among equal rows any one stays. Null identifiers come first.
+    """
+    key, row = fresh_name(docs, "_k"), F.col(quoted(doc_id))
+    own = docs.select(row.alias("d"), F.xxhash64(F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))).alias("h"), F.col(quoted(text)).cast("string").alias("text"))
+    prints = cut_lineage(fingerprints(own, keep=["d", "h"], out="fp").groupBy("d", "h", "fp").agg(F.count("*").alias("rows")))
+    firsts = prints.groupBy("fp").agg(F.min(F.struct("d", "h")).alias("first"))
+    labels = connected_components(links(firsts))
+    moved = labels.select(F.col("node.fp").alias("fp"), F.col("component.fp").alias("kept"))
+    keepers = firsts.join(moved, "fp", "left").filter("kept is null or kept = fp").select("first.*").alias("k")
+    keepers = keepers.join(prints.alias("p"), F.col("k.d").eqNullSafe(F.col("p.d")) & (F.col("k.h") == F.col("p.h"))).select("k.*", "rows")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))))
+    stay = keyed.join(keepers, row.eqNullSafe(F.col("d")) & (F.col(quoted(key)) == F.col("h")))
+    once = stay.filter("rows = 1").select(*map(quoted, docs.columns))
+    if prints.filter("rows > 1").isEmpty():
+        return once
+    again = stay.filter("rows > 1").dropDuplicates([doc_id, key])
+    return once.unionByName(again.select(*map(quoted, docs.columns)))
