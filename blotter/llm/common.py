@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blotter.session import cut_lineage
 
@@ -29,6 +33,19 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for any column names, dots included; ``run`` goes by position."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    names = [f"c{i}" for i in range(len(schema.fields))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names)
+
+    kinds = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema.fields)])
+    return plain.mapInArrow(renamed, kinds).toDF(*schema.names)
+
+
 def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """Label every node of ``links`` (columns ``a``, ``b``, any orderable type) with its component's smallest node.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blotter.llm.common import quoted
+from blotter.llm.common import map_arrow, quoted
 
 RATE = 0.07
 LEAST = 32
@@ -161,7 +161,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str]
                 inner = pa.list_(pa.struct([("item_id", pa.int64() if isinstance(kind, T.LongType) else pa.int32() if isinstance(kind, T.IntegerType) else pa.string()), ("edits", pa.int32()), ("end", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept_at), pa.array(found, inner)], [*(part.schema.names[i] for i in kept_at), "leaks"])
 
-        return docs.mapInArrow(run, schema)
+        return map_arrow(docs, run, schema)
 
     found = None
     for block in _blocks(items, item_text, item_id, least, block_chars):
@@ -182,5 +182,5 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str
                 matcher = matcher or Matcher(shared.value, rate)
                 yield batch.filter(pa.array([not matcher.find(normal(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blotter.llm.common import fresh_name
+from blotter.llm.common import fresh_name, map_arrow, quoted
 from blotter.session import bounded_rows
 
 BUCKETS = 1 << 15
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
     """Columns ``keep`` of ``docs`` (default: all) with ``lang_pred``, ``score`` and ``rejected``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = docs.columns if keep is None else keep
-    names = [fresh_name(docs.select(*keep) if keep else docs, n) for n in ("lang_pred", "score", "rejected")]
+    names = [fresh_name(docs.select(*map(quoted, keep)), n) for n in ("lang_pred", "score", "rejected")]
     at, kept_at = docs.columns.index(text), [docs.columns.index(c) for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,4 +201,4 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
 
     kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
     schema = T.StructType([*(docs.schema.fields[i] for i in kept_at), *(T.StructField(n, k) for n, k in zip(names, kinds))])
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

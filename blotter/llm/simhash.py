@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blotter.llm.common import connected_components, fresh_name, quoted
+from blotter.llm.common import connected_components, fresh_name, map_arrow, quoted
 from blotter.session import cut_lineage
 
 SEED = 42
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = N
             found = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept_at), pa.array(found)], [*(batch.schema.names[i] for i in kept_at), name])
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema.fields[i] for i in kept_at), T.StructField(name, T.LongType())]))
+    return map_arrow(docs, run, T.StructType([*(docs.schema.fields[i] for i in kept_at), T.StructField(name, T.LongType())]))
 
 
 @cache

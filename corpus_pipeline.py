@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blotter.llm import decontaminate, langid, secrets, simhash
-from blotter.llm.common import table
+from blotter.llm.common import quoted, table
 from blotter.llm.query_bpe import digests
 from blotter.session import scratch_path
 
@@ -18,7 +18,7 @@ from blotter.session import scratch_path
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model doesn't reject; learned from the documents that aren't held out."""
     found = langid.predict(docs, langid.fit(docs))
-    return found.filter(~F.col(found.columns[-1])).select(*docs.columns)
+    return found.filter(~F.col(found.columns[-1])).select(*map(quoted, docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark; the count of characters follows the text."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*map(quoted, docs.columns))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
