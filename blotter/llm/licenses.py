@@ -5,7 +5,7 @@ dots is one blank) and looked up in a catalogue of known licence sentences. The
 which unknown sentences are gaps. Ordered rules, each a run of adjacent identifiers, are tried one after the other; what a
 rule matches is used up, so full licence texts come before the short references they hold.
 
-Sentences end after ``. ! ? : ;`` before white space. Line breaks are read in two ways, as ends of sentences and as wrapped
+Sentences end after ``. ! ? ;`` before white space and after ``:`` at a line break. Line breaks are read in two ways, as ends of sentences and as wrapped
 lines; the reading that knows more sentences counts (on a tie the first). Null and empty texts have no sentences. Rows are
 independent: no shuffle, no group, no effect of repeated rows or other columns. Texts are read whole.
 """
@@ -38,12 +38,15 @@ SENTENCES = {
     "apache_copy": "You may obtain a copy of the License at",
     "gpl3_ref": "This work is licensed under the GNU General Public License, version 3.",
     "gpl3_later": "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl2_later": "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "free_software": "This program is free software:",
-    "free_software_2": "This program is free software;",
+    "gpl_terms": "it under the terms of the GNU General Public License as published by the Free Software Foundation;",
+    "gpl2_later": "either version 2 of the License, or (at your option) any later version.",
+    "free_software": "This program is free software;",
+    "gpl3_program": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl3_may": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl2_may": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
     "gpl_hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
     "gpl_details": "See the GNU General Public License for more details.",
-    "mpl_ref": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl_ref": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
     "cc_by_nc_ref": "Licensed under CC BY-NC 4.0.",
     "cc_by_ref": "Licensed under CC BY 4.0.",
     "cc_by_sa_ref": "Licensed under CC BY-SA 4.0.",
@@ -60,10 +63,11 @@ RULES = (
     ("Apache-2.0", ("apache_head", "apache_comply", "apache_copy")),
     ("Apache-2.0", ("apache_head",)),
     ("Apache-2.0", ("apache_ref",)),
-    ("GPL-3.0-or-later", ("free_software", "gpl3_later")),
+    ("GPL-3.0-or-later", ("gpl3_program",)),
+    ("GPL-3.0-or-later", ("free_software", "gpl3_may")),
     ("GPL-3.0-or-later", ("gpl3_later",)),
-    ("GPL-2.0-or-later", ("free_software_2", "gpl2_later")),
-    ("GPL-2.0-or-later", ("gpl2_later",)),
+    ("GPL-2.0-or-later", ("free_software", "gpl2_may", "gpl2_later")),
+    ("GPL-2.0-or-later", ("gpl_terms", "gpl2_later")),
     ("GPL-3.0-only", ("gpl3_ref",)),
     ("MPL-2.0", ("mpl_ref",)),
     ("CC-BY-NC-4.0", ("cc_by_nc_ref",)),
@@ -77,7 +81,7 @@ LICENCES = tuple(dict.fromkeys(name for name, _ in RULES))
 
 #: A text without any of these can't hold a known sentence (a test holds the catalogue to it).
 ANCHORS = ("licens", "copyright", "permission", "warrant", "redistribut", "liable", "rights reserved", "free software", "gnu general public")
-END = r"(?<=[.!?:;])\s+"
+END = r"(?<=[.!?;])\s+|(?<=:)\s*\n\s*"
 LINES = END + r"|\s*\n\s*"
 GAP = "~"
 

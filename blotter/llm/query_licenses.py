@@ -15,7 +15,7 @@ def _sql() -> str:
     gap = licenses.GAP
     known = ", ".join(f"('{s}', '{i}')" for s, i in licenses.catalogue().items())
     # This engine's patterns look neither ahead nor back: ends of sentences get a mark of their own first.
-    marked = r"regexp_replace(t, '([.!?:;])[ \t\n\r\f\v]+', '\1' || chr(1), 'g')"
+    marked = r"regexp_replace(regexp_replace(t, '([.!?;])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), ':[ \t\r\f\v]*\n[ \t\n\r\f\v]*', ':' || chr(1), 'g')"
     chain, hits = "seq", []
     for name, run in licenses.rules():
         mark = f"'/{'//'.join(run)}/'"
