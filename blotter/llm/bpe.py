@@ -15,10 +15,11 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from blotter.llm.common import fresh_name
+from blotter.llm.common import fresh_name, map_arrow
 
 #: Letters that stand for the bytes 0 to 255.
 FIRST_LETTER = 0x100
@@ -141,7 +142,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, name])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -154,8 +155,14 @@ def decode(encoded: DataFrame, path: str, ids: str = "token_ids", out: str = "de
         for whole in batches:
             piece = shared.value.__getitem__
             for batch in _slices(whole):
-                texts = [b"".join(map(piece, x or ())) for x in batch.column(where).to_pylist()]
+                column = batch.column(where)
+                # Numbers leave the batch in one piece; null lists are empty stretches.
+                flat, sizes = column.flatten().to_numpy(zero_copy_only=False).tolist(), pc.fill_null(pc.list_value_length(column), 0).to_pylist()
+                texts, at = [], 0
+                for size in sizes:
+                    texts.append(b"".join(map(piece, flat[at : at + size])))
+                    at += size
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, name])
 
     schema = T.StructType([*encoded.schema.fields, T.StructField(name, T.BinaryType())])
-    return encoded.mapInArrow(run, schema)
+    return map_arrow(encoded, run, schema)
