@@ -25,8 +25,9 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from blotter.functions.probability import mapped, number, numbers, softmax, terms
+from blotter.models.mllib import allowed_depth
 from blotter.models.prior import class_counts
-from blotter.session import bounded_rows, cut_lineage, widen
+from blotter.session import bounded_rows, cut_lineage
 
 MIN_HESSIAN = 1e-16
 SAMPLE_SLOTS = 1_000_000
@@ -56,9 +57,12 @@ class SoftmaxBoosting(Estimator):
         label_col: str = "label",
         parallelism: int = 8,
         checkpoint_every: int = 5,
+        min_leaf: int = 1,
+        depth_limit: int | None = None,
     ):
         super().__init__()
-        self.rounds, self.depth, self.eta = rounds, min(depth, 30), eta
+        self.rounds, self.depth, self.eta = rounds, allowed_depth(depth, depth_limit), eta
+        self.min_leaf = min_leaf
         self.subsample, self.colsample, self.min_child_weight = subsample, colsample, min_child_weight
         self.alpha, self.lam, self.gamma, self.max_bins, self.seed = alpha, lam, gamma, max_bins, seed
         self.features_col, self.label_col = features_col, label_col
@@ -71,7 +75,7 @@ class SoftmaxBoosting(Estimator):
         # Write the inputs once: the rounds must not rerun the feature plan, and a
         # lost executor must find the same rows again.
         state = cut_lineage(
-            widen(dataset).select(
+            dataset.hint("rebalance").select(
                 F.col(self.features_col).alias("features"),
                 F.col(self.label_col).cast("int").alias("label"),
                 F.xxhash64(*others, self.features_col).alias("row"),
@@ -113,12 +117,15 @@ class SoftmaxBoosting(Estimator):
             if picks[k] is not None:
                 rows = VectorSlicer(inputCol="features", outputCol="sliced", indices=picks[k]).transform(rows)
                 column = "sliced"
-            fraction = min(0.49, self.min_child_weight / sums[f"h{k}"]) if sums[f"h{k}"] else 0.0
+            share = self.min_child_weight / sums[f"h{k}"] if sums[f"h{k}"] else 0.0
+            # Two children can't both hold more than half of the weight: such a tree is one leaf.
+            fraction, depth = (share, self.depth) if share < 0.5 else (0.0, 0)
             return DecisionTreeRegressor(
                 featuresCol=column,
                 labelCol="target",
                 weightCol="weight",
-                maxDepth=self.depth,
+                maxDepth=depth,
+                minInstancesPerNode=self.min_leaf,
                 maxBins=self.max_bins,
                 minInfoGain=self.gamma,
                 minWeightFractionPerNode=fraction,

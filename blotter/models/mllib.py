@@ -12,6 +12,15 @@ MAX_DEPTH = 30  # the deepest tree MLlib grows
 WEIGHT = "_weight"
 
 
+def allowed_depth(depth: int | None, limit: int | None) -> int:
+    """The depth to grow: the one asked for, or the limit the caller names for deeper trees."""
+    if depth is not None and depth <= MAX_DEPTH:
+        return depth if limit is None else min(depth, limit)
+    if limit is None or limit > MAX_DEPTH:
+        raise ValueError(f"depth {depth} is beyond {MAX_DEPTH}, the deepest tree here; set depth_limit to accept less")
+    return limit
+
+
 def balanced_weights(counts: dict[int, int]) -> dict[int, float]:
     rows = sum(counts.values())
     return {k: rows / (len(counts) * n) for k, n in counts.items() if n}
@@ -63,8 +72,9 @@ def _subset(max_features) -> str:
 class Forest(Estimator):
     """Random forest; ``log_loss`` is the entropy criterion.
 
-    MLlib has no minimum split size and stops at depth 30, the deepest setting
-    it accepts; unlimited depth maps to that.
+    MLlib has no minimum split size and grows no tree deeper than 30. Deeper or
+    unlimited trees raise unless ``depth_limit`` says which depth to use instead;
+    ``depth_used`` records it.
     """
 
     def __init__(
@@ -80,8 +90,10 @@ class Forest(Estimator):
         max_bins=256,
         label_col="label",
         features_col="features",
+        depth_limit=None,
     ):
         super().__init__()
+        self.depth_used = allowed_depth(max_depth, depth_limit)
         self.trees, self.criterion, self.max_depth, self.min_leaf = trees, criterion, max_depth, min_leaf
         self.max_features, self.bootstrap, self.class_weight = max_features, bootstrap, class_weight
         self.seed, self.max_bins, self.label_col, self.features_col = seed, max_bins, label_col, features_col
@@ -92,7 +104,7 @@ class Forest(Estimator):
             labelCol=self.label_col,
             numTrees=self.trees,
             impurity="gini" if self.criterion == "gini" else "entropy",
-            maxDepth=MAX_DEPTH if self.max_depth is None else min(self.max_depth, MAX_DEPTH),
+            maxDepth=self.depth_used,
             minInstancesPerNode=self.min_leaf,
             featureSubsetStrategy=_subset(self.max_features),
             bootstrap=self.bootstrap,

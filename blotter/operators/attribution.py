@@ -8,14 +8,25 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from blotter.functions.probability import number
-from blotter.operators.splits import row_hash
+from blotter.operators.splits import HASH_RANGE, row_hash
 
 SAMPLE_SIZE = 2000
 
 
 def reproducible_sample(df: DataFrame, key: str, size: int = SAMPLE_SIZE, seed: int = 12345) -> DataFrame:
-    """``min(size, rows)`` rows without replacement: those with the smallest key hash."""
-    return df.withColumn("_h", row_hash(key, seed)).orderBy("_h", key).limit(size).drop("_h")
+    """``min(size, rows)`` rows without replacement: those with the smallest key hash.
+
+    Rows are counted under a hash threshold that should leave about twice the
+    sample, widened until it holds enough, so only those are ordered.
+    """
+    hashed = df.withColumn("_h", row_hash(key, seed))
+    rows = df.count()
+    bound = HASH_RANGE
+    if rows > 4 * size:
+        bound = int(HASH_RANGE * 2 * size / rows) + 1
+        while bound < HASH_RANGE and hashed.filter(F.col("_h") < bound).count() < size:
+            bound = min(HASH_RANGE, 4 * bound)
+    return hashed.filter(F.col("_h") < bound).orderBy("_h", key).limit(size).drop("_h")
 
 
 def forest_nodes(spark: SparkSession, path: str) -> DataFrame:

@@ -14,8 +14,11 @@ WEST_BOUND = -122.0
 def standardise(raw: DataFrame, mode: str = "intended", keep=()) -> DataFrame:
     """Rename, trim and cast; bad timestamps become null, bad numbers fail."""
     kept = [c for c in keep if c in raw.columns]
+    # A stored year is the year of the instant; carried along it prunes partitions.
+    stored = [c for c in ("incident_year",) if c in raw.columns and c not in kept]
     return raw.select(
         *kept,
+        *stored,
         F.trim("Category").alias("category"),
         F.col("Descript").alias("descript"),
         F.trim("DayOfWeek").alias("day_of_week_name"),
@@ -51,7 +54,7 @@ def with_features(clean_rows: DataFrame, mode: str = "intended") -> DataFrame:
     """Calendar and address columns added to the clean rows."""
     ts, day_name = F.col("incident_timestamp"), F.col("day_of_week_name")
     added = {**calendar_columns(ts, day_name), **addr.address_columns(F.col("address"), mode)}
-    return clean_rows.withColumns(added)
+    return clean_rows.withColumns({k: v for k, v in added.items() if k not in clean_rows.columns})
 
 
 def modeling(features: DataFrame, keep=()) -> DataFrame:

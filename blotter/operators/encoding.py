@@ -6,17 +6,20 @@ import json
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from blotter.functions.probability import number
 from blotter.operators.levels import MISSING, Levels, fit_levels
 from blotter.operators.lookup import attach, inlined
-from blotter.operators.quantiles import imputed_quantiles, profile
+from blotter.operators.quantiles import imputed_quantiles, known, profile
+from blotter.session import bounded_rows
 
 NUMERIC_STRATEGIES = ("standard", "robust", "passthrough", "binned")
 ENCODINGS = ("onehot", "ordinal", "frequency")
 MIN_BIN_WIDTH = 1e-8
+MAX_SLOTS = 1_000_000  # slot names a list may hold
 
 
 def numeric_columns(df: DataFrame, skip=()) -> list[str]:
@@ -90,7 +93,7 @@ def _filled_moments(s: dict, median: float) -> tuple[float, float]:
 
 
 def numeric_expression(name: str, params: dict) -> Column:
-    value = f"coalesce(cast(`{name}` as double), {number(params['median'])})"
+    value = f"coalesce({known(name)}, {number(params['median'])})"
     if "edges" in params:
         return F.expr(" + ".join(f"cast({value} >= {number(e)} as int)" for e in params["edges"][1:-1]) or "0")
     if "center" in params:
@@ -175,8 +178,20 @@ class ColumnEncoderModel(Model, MLWritable, MLReadable):
         return len(self.used_numeric) + sum(self.levels.count(c) for c in self.categorical)
 
     def slot_names(self) -> list[str]:
-        """Predictor name of every encoded column, so importances keep their names."""
-        return self.encoded_columns
+        """Name of every slot of the vector, in order: a one-hot slot is ``column=level``."""
+        rows = bounded_rows(self.slots(), MAX_SLOTS, "slots")
+        return [r["name"] for r in sorted(rows, key=lambda r: r["slot"])]
+
+    def slots(self) -> DataFrame:
+        """``slot`` and ``name`` as a table, for vectors too wide for a list."""
+        spark = SparkSession.active()
+        plain = self.encoded_columns if self.settings["categorical"] != "onehot" else self.used_numeric
+        table = spark.createDataFrame(list(enumerate(plain)), "slot long, name string")
+        at = len(plain)
+        for c in self.categorical if self.settings["categorical"] == "onehot" else ():
+            own = self.levels.of(c).select((F.col("code") + at).cast("long").alias("slot"), F.concat(F.lit(f"{c}="), "level").alias("name"))
+            table, at = table.unionByName(own), at + self.levels.count(c)
+        return table
 
     def _check(self, df: DataFrame) -> None:
         missing = [c for c in self.encoded_columns if c not in df.columns]
@@ -195,9 +210,9 @@ class ColumnEncoderModel(Model, MLWritable, MLReadable):
                 value, default = "share", 0.0
             else:
                 value, default = "code", -1 if kind == "ordinal" else self.levels.count(c)
-            known = self.levels.inline().get(c)
-            if known is not None:
-                frame = frame.withColumn(c, inlined(key, [k for k, _, _ in known], [r[2 if value == "share" else 1] for r in known], default))
+            short = self.levels.inline().get(c)
+            if short is not None:
+                frame = frame.withColumn(c, inlined(key, [k for k, _, _ in short], [r[2 if value == "share" else 1] for r in short], default))
             else:
                 frame = attach(frame, key, self.levels.of(c), value, c, default, self.levels.small(c))
             if kind == "ordinal" and shift:
@@ -230,7 +245,11 @@ class ColumnEncoderModel(Model, MLWritable, MLReadable):
             frame = self._one_hot(frame)
             inputs = self.used_numeric + [f"{c}__hot" for c in self.categorical]
         assembler = VectorAssembler(inputCols=inputs, outputCol=self.settings["features_col"], handleInvalid="error")
-        return assembler.transform(frame).drop(*inputs)
+        frame = assembler.transform(frame).drop(*inputs)
+        if not self.settings["sparse"]:
+            name = self.settings["features_col"]
+            frame = frame.withColumn(name, array_to_vector(vector_to_array(name)))
+        return frame
 
     def write(self) -> MLWriter:
         return _EncoderWriter(self)

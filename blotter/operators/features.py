@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, functions as F
 
 from blotter import schema
@@ -11,27 +9,21 @@ from blotter.functions.calendar import cycle
 from blotter.schema import require_columns
 
 
-@dataclass(frozen=True)
-class FeatureGroups:
-    """Named predictor groups."""
+#: Predictor groups by name.
+GROUPS = {
+    "calendar": schema.CALENDAR,
+    "spatial": schema.SPATIAL,
+    "address": schema.ADDRESS,
+    "time_trend": schema.TIME_TREND,
+    "identifiers": schema.IDENTIFIERS,
+}
+PREDICTORS = ("calendar", "spatial", "address", "time_trend")
 
-    calendar: tuple[str, ...] = schema.CALENDAR
-    spatial: tuple[str, ...] = schema.SPATIAL
-    address: tuple[str, ...] = schema.ADDRESS
-    time_trend: tuple[str, ...] = schema.TIME_TREND
-    identifiers: tuple[str, ...] = schema.IDENTIFIERS
-    engineered: tuple[str, ...] = ()
 
-    def columns(self, time_trend: bool = True, identifiers: bool = False, engineered: bool = True) -> list[str]:
-        """Enabled groups in order, each name once."""
-        wanted = list(self.calendar + self.spatial + self.address)
-        for enabled, group in (
-            (time_trend, self.time_trend),
-            (identifiers, self.identifiers),
-            (engineered, self.engineered),
-        ):
-            wanted += group if enabled else ()
-        return list(dict.fromkeys(wanted))
+def group_columns(wanted=PREDICTORS, groups: dict[str, tuple[str, ...]] | None = None) -> list[str]:
+    """Columns of the wanted groups in order, each name once."""
+    groups = GROUPS if groups is None else groups
+    return list(dict.fromkeys(name for group in wanted for name in groups[group]))
 
 
 def cyclical(df: DataFrame, periods: dict[str, int] | None = None, drop_original: bool = False) -> DataFrame:
@@ -92,12 +84,13 @@ def address_features(df: DataFrame, street_pair: bool = True, block_presence: bo
 
 def base_frame(
     df: DataFrame,
-    groups: FeatureGroups | None = None,
+    groups: dict[str, tuple[str, ...]] | None = None,
     time_trend: bool = True,
     identifiers: bool = False,
     keep=(),
 ) -> DataFrame:
-    wanted = (groups or FeatureGroups()).columns(time_trend, identifiers, engineered=False)
+    used = [g for g, on in (("time_trend", time_trend), ("identifiers", identifiers)) if on]
+    wanted = group_columns(["calendar", "spatial", "address", *used], groups)
     require_columns(df, wanted)
     extra = [c for c in keep if c in df.columns and c not in wanted]
     return df.select(*extra, *wanted)
@@ -105,7 +98,7 @@ def base_frame(
 
 def feature_frame(
     df: DataFrame,
-    groups: FeatureGroups | None = None,
+    groups: dict[str, tuple[str, ...]] | None = None,
     time_trend: bool = True,
     identifiers: bool = False,
     add_cyclical: bool = True,

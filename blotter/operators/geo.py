@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -17,6 +19,7 @@ from blotter.schema import require_columns
 CLUSTER_MODES = ("cluster", "raw_cluster", "all")
 DISTANCE_MODES = ("distances", "raw_distances", "all")
 RAW_MODES = ("raw", "raw_cluster", "raw_distances", "all")
+N_INIT = 10  # k-means starts, the best is kept
 MODES = ("raw", "cluster", "distances", "raw_cluster", "raw_distances", "all", "none")
 
 
@@ -27,7 +30,7 @@ def fit_centers(
     fill: dict[str, float],
     k: int,
     seed: int = 12345,
-    n_init: int = 1,
+    n_init: int = N_INIT,
     max_iter: int = 100,
 ) -> list[tuple[float, float]]:
     """Weighted k-means over distinct coordinates, the best of ``n_init`` starts.
@@ -37,23 +40,30 @@ def fit_centers(
     iteration reads far fewer rows. Centers are sorted to give stable numbers.
     """
     points = df.groupBy(
-        F.coalesce(F.col(lon).try_cast("double"), F.lit(fill[lon])).alias("x"),
-        F.coalesce(F.col(lat).try_cast("double"), F.lit(fill[lat])).alias("y"),
+        F.coalesce(_number(lon), F.lit(fill[lon])).alias("x"),
+        F.coalesce(_number(lat), F.lit(fill[lat])).alias("y"),
     ).agg(F.count("*").cast("double").alias("w"))
     data = VectorAssembler(inputCols=["x", "y"], outputCol="point").transform(points).select("point", "w").persist()
     try:
-        best = None
-        for start in range(n_init):
-            model = KMeans(
-                featuresCol="point", weightCol="w", k=k, seed=seed + start, maxIter=max_iter, initMode="k-means||"
-            ).fit(data)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
+
+        def fitted(start: int):
+            model = KMeans(featuresCol="point", weightCol="w", k=k, seed=seed + start, maxIter=max_iter, initMode="k-means||").fit(data)
+            return model.summary.trainingCost, start, model
+
+        # Starts are independent; their small jobs share the cluster.
+        with ThreadPoolExecutor(min(n_init, 5)) as pool:
+            best = min(pool.map(inheritable_thread_target(df.sparkSession)(fitted), range(n_init)))[2]
     finally:
         data.unpersist()
     return sorted((float(c[0]), float(c[1])) for c in best.clusterCenters())
 
 
+def _number(name: str) -> Column:
+    """A coordinate; text that is none, and NaN, are missing."""
+    value = F.col(name).try_cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def squared_distances(centers, lon: str = "_x", lat: str = "_y") -> list[str]:
     return [
         f"({lon} - {number(x)}) * ({lon} - {number(x)}) + ({lat} - {number(y)}) * ({lat} - {number(y)})" for x, y in centers
@@ -74,7 +84,7 @@ class GeoEncoder(Estimator):
         lon: str = "longitude",
         lat: str = "latitude",
         seed: int = 12345,
-        n_init: int = 1,
+        n_init: int = N_INIT,
     ):
         super().__init__()
         self.mode, self.n_clusters, self.lon, self.lat = mode, n_clusters, lon, lat
@@ -110,7 +120,7 @@ class GeoEncoderModel(Model, MLWritable, MLReadable):
             return dataset if self.mode in RAW_MODES else dataset.drop(self.lon, self.lat)
         # Only the copies used for distances are filled; retained raw columns stay as they are.
         copies = {
-            name: F.coalesce(F.col(c).try_cast("double"), F.lit(float(self.fill[c])))
+            name: F.coalesce(_number(c), F.lit(float(self.fill[c])))
             for name, c in (("_x", self.lon), ("_y", self.lat))
         }
         added = {}

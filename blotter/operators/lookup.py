@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Levels with at least this share of the training rows are "hot": there can be
 # no more than 1 / HOT_SHARE of them, so they always fit a broadcast.
 HOT_SHARE = 1 / 5000
-SALTS = 64
 
 
 def attach(
@@ -40,12 +39,13 @@ def attach(
         F.col("level").alias("_hot"), F.col(value).alias("_hot_value")
     )
     cold = levels.filter(F.col("share") < HOT_SHARE).select(
-        F.col("level").alias("_level"), F.lit(0).alias("_cold_salt"), F.col(value).alias("_value")
+        F.col("level").alias("_level"), F.lit(0).cast("bigint").alias("_cold_salt"), F.col(value).alias("_value")
     )
     joined = keyed.join(F.broadcast(hot.withColumn("_is_hot", F.lit(True))), F.col("_key").eqNullSafe(F.col("_hot")), "left")
     served = F.col("_is_hot").isNotNull()
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns if _hashable(df, c)]), F.lit(SALTS)).cast("int") + 1
-    joined = joined.withColumn("_salt", F.when(served, spread).otherwise(0)).withColumn(
+    # Any hash will do: no level has a dummy key, so the spread needs no bound.
+    spread = F.xxhash64(*[c for c in df.columns if _hashable(df, c)])
+    joined = joined.withColumn("_salt", F.when(served, spread).otherwise(F.lit(0).cast("bigint"))).withColumn(
         "_cold_key", F.when(served, F.lit(None)).otherwise(F.col("_key"))
     )
     joined = joined.join(

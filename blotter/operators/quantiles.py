@@ -5,6 +5,7 @@ only sees one row per distinct value. For the others every wanted rank is
 bracketed: each pass counts rows in equal slices of the bracket, and the slice
 that holds the rank becomes the next bracket, until it holds a single value.
 A pass moves at most ``SLICES`` counts per rank and task, whatever the data size.
+NaN counts as missing everywhere; infinite values have no quantiles here and raise.
 """
 
 from __future__ import annotations
@@ -20,8 +21,13 @@ SLICES = 1024
 METHODS = ("linear", "averaged_inverted_cdf")
 
 
+def known(name: str) -> str:
+    """A column as double, NaN as null."""
+    return f"nullif(cast(`{name}` as double), double('NaN'))"
+
+
 def _long(df: DataFrame, columns) -> DataFrame:
-    pairs = ", ".join(f"named_struct('feature', '{c}', 'value', cast(`{c}` as double))" for c in columns)
+    pairs = ", ".join(f"named_struct('feature', '{c}', 'value', {known(c)})" for c in columns)
     return df.select(F.expr(f"explode(array({pairs}))").alias("p")).select("p.feature", "p.value").filter("value is not null")
 
 
@@ -73,8 +79,11 @@ def _ranks_by_bracket(df: DataFrame, plan: dict[str, set[int]], spans: dict[str,
         slots = []
         for i, (column, _) in enumerate(keys):
             low, high, _ = open_[column, keys[i][1]]
-            value = F.col(column).cast("double")
-            slot = F.least(F.floor((value - low) / (high - low) * SLICES), F.lit(SLICES - 1)).cast("int")
+            value = F.expr(known(column))
+            # Halves keep the width of the widest bracket finite; a bracket of two neighbours is too narrow for halves.
+            wide = max(abs(low), abs(high)) > 1e300
+            part = (value / 2 - low / 2) / (high / 2 - low / 2) if wide else (value - low) / (high - low)
+            slot = F.least(F.floor(part * SLICES), F.lit(SLICES - 1)).cast("int")
             entry = F.struct(F.lit(i).alias("i"), slot.alias("slot"), value.alias("value"))
             slots.append(F.when((value >= low) & (value <= high), entry))
         used = sorted({c for c, _ in keys})
@@ -95,6 +104,8 @@ def _ranks_by_bracket(df: DataFrame, plan: dict[str, set[int]], spans: dict[str,
             if r["low"] == r["high"]:
                 found[key] = r["low"]
                 del open_[key]
+            elif (r["low"], r["high"]) == open_[key][:2]:
+                raise ArithmeticError(f"{key[0]}: no slice of {open_[key][:2]} is narrower")
             else:
                 open_[key] = (r["low"], r["high"], r["left"])
     return found
@@ -111,10 +122,11 @@ def profile(df: DataFrame, columns) -> dict[str, dict]:
         "mean": "avg",
         "var": "var_pop",
     }
-    stats = ", ".join(f"'{k}', {f}(cast(`{{c}}` as double))" for k, f in kinds.items())
-    row = df.agg(
-        F.count("*").alias("rows"), *[F.expr(f"named_struct({stats.format(c=c)})").alias(f"c{i}") for i, c in enumerate(columns)]
-    ).first()
+    stats = lambda c: ", ".join(f"'{k}', {f}({known(c)})" for k, f in kinds.items())
+    row = df.agg(F.count("*").alias("rows"), *[F.expr(f"named_struct({stats(c)})").alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    endless = [c for i, c in enumerate(columns) if {row[f"c{i}"]["low"], row[f"c{i}"]["high"]} & {math.inf, -math.inf}]
+    if endless:
+        raise ValueError(f"infinite values in {endless}")
     return {c: {"missing": row["rows"] - row[f"c{i}"]["n"], **row[f"c{i}"].asDict()} for i, c in enumerate(columns)}
 
 

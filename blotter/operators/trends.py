@@ -59,7 +59,3 @@ def compare_runs(summary: DataFrame, key=("model_name",)) -> DataFrame:
     """Runs by mean log loss, with their place inside the model family."""
     place = F.row_number().over(Window.partitionBy(*key).orderBy("log_loss_mean", "experiment_name"))
     return summary.withColumn("family_place", place)
-
-
-def best_per_family(summary: DataFrame, key=("model_name",)) -> DataFrame:
-    return compare_runs(summary, key).filter(F.col("family_place") == 1)

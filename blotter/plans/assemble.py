@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, functions as F
@@ -12,7 +13,7 @@ from blotter.models.boosting import SoftmaxBoosting
 from blotter.models.mllib import Forest, MultinomialLogistic
 from blotter.models.prior import ClassPrior
 from blotter.operators.encoding import ColumnEncoder
-from blotter.operators.geo import GeoEncoder
+from blotter.operators.geo import N_INIT, GeoEncoder
 from blotter.operators.lookup import literal
 from blotter.plans.config import ExperimentConfig
 
@@ -20,22 +21,22 @@ CARRIED = ("target", "label", "incident_id")
 TREE_MODELS = ("random_forest", "xgboost", "extra_trees", "hist_gradient_boosting")
 
 
-def logistic_transform(categorical="onehot", numeric="standard", geo_mode="raw", clusters=40, sparse=True, skip=CARRIED):
-    return _stages(geo_mode, clusters, ColumnEncoder(numeric, categorical, skip=skip, sparse=sparse))
+def logistic_transform(categorical="onehot", numeric="standard", geo_mode="raw", clusters=40, sparse=True, skip=CARRIED, n_init=N_INIT):
+    return _stages(geo_mode, clusters, ColumnEncoder(numeric, categorical, skip=skip, sparse=sparse), n_init)
 
 
-def tree_transform(categorical="ordinal", numeric="passthrough", geo_mode="raw_cluster", clusters=40, skip=CARRIED):
-    return _stages(geo_mode, clusters, ColumnEncoder(numeric, categorical, skip=skip, sparse=False))
+def tree_transform(categorical="ordinal", numeric="passthrough", geo_mode="raw_cluster", clusters=40, skip=CARRIED, n_init=N_INIT):
+    return _stages(geo_mode, clusters, ColumnEncoder(numeric, categorical, skip=skip, sparse=False), n_init)
 
 
-def bayes_transform(bins=10, geo_mode="cluster", clusters=40, skip=CARRIED):
+def bayes_transform(bins=10, geo_mode="cluster", clusters=40, skip=CARRIED, n_init=N_INIT):
     """Binned numbers and ordinal codes moved up by one, so that unknown is 0."""
     encoder = ColumnEncoder("binned", "ordinal", bins=bins, skip=skip, output="columns", shift=1, sparse=False)
-    return _stages(geo_mode, clusters, encoder)
+    return _stages(geo_mode, clusters, encoder, n_init)
 
 
-def _stages(geo_mode: str, clusters: int, encoder: ColumnEncoder) -> list:
-    return [GeoEncoder(geo_mode, clusters), encoder]
+def _stages(geo_mode: str, clusters: int, encoder: ColumnEncoder, n_init: int) -> list:
+    return [GeoEncoder(geo_mode, clusters, n_init=n_init), encoder]
 
 
 def transform_stages(config: ExperimentConfig, skip=CARRIED) -> list:
@@ -60,8 +61,11 @@ def transform_stages(config: ExperimentConfig, skip=CARRIED) -> list:
     raise ValueError(f"no transform for model {config.model_name!r}")
 
 
-def model_stage(config: ExperimentConfig, skip=CARRIED):
-    """The estimator of a model name; unknown names raise."""
+def model_stage(config: ExperimentConfig, skip=CARRIED, depth_limit: int | None = None):
+    """The estimator of a model name; unknown names raise.
+
+    ``depth_limit`` is the depth to use for trees deeper than MLlib grows; without it they raise.
+    """
     config.validate()
     c = config
     builders = {
@@ -79,11 +83,12 @@ def model_stage(config: ExperimentConfig, skip=CARRIED):
             c.forest_bootstrap,
             c.forest_class_weight,
             c.random_state,
+            depth_limit=depth_limit,
         ),
         # Split thresholds are searched, not drawn at random: an approximation.
-        "extra_trees": lambda: Forest(300, "gini", None, 2, "sqrt", False, None, c.random_state),
+        "extra_trees": lambda: Forest(300, "gini", None, 2, "sqrt", False, None, c.random_state, depth_limit=depth_limit),
         # Depth 5 allows up to 32 leaves, the nearest to a limit of 31.
-        "hist_gradient_boosting": lambda: SoftmaxBoosting(200, 5, 0.1, min_child_weight=1e-3, lam=0.0, seed=c.random_state),
+        "hist_gradient_boosting": lambda: SoftmaxBoosting(200, 5, 0.1, min_child_weight=1e-3, lam=0.0, seed=c.random_state, min_leaf=20),
         "xgboost": lambda: SoftmaxBoosting(
             c.xgb_n_estimators,
             c.xgb_max_depth,
@@ -95,6 +100,7 @@ def model_stage(config: ExperimentConfig, skip=CARRIED):
             c.xgb_reg_lambda,
             c.xgb_gamma,
             seed=c.random_state,
+            depth_limit=depth_limit,
         ),
     }
     if c.model_name not in builders:
@@ -102,16 +108,16 @@ def model_stage(config: ExperimentConfig, skip=CARRIED):
     return builders[c.model_name]()
 
 
-def full_pipeline(config: ExperimentConfig, skip=CARRIED) -> Pipeline:
-    return Pipeline(stages=[*transform_stages(config, skip), model_stage(config, skip)])
+def full_pipeline(config: ExperimentConfig, skip=CARRIED, depth_limit: int | None = None) -> Pipeline:
+    return Pipeline(stages=[*transform_stages(config, skip), model_stage(config, skip, depth_limit)])
 
 
-def iterations(model: PipelineModel) -> int | None:
-    """Solver iterations of the last stage, where it reports them."""
+def iterations(model: PipelineModel, model_name: str | None = None) -> int | None:
+    """Solver iterations of a logistic fit, rounds of a histogram boosting; null for every other model."""
     last = model.stages[-1]
-    if getattr(last, "hasSummary", False):
+    if isinstance(last, LogisticRegressionModel) and last.hasSummary:
         return int(last.summary.totalIterations)
-    return None
+    return last.rounds if model_name == "hist_gradient_boosting" else None
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:

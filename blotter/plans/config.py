@@ -127,7 +127,7 @@ def config_values(config: ExperimentConfig) -> dict[str, object]:
     return values
 
 
-# --- presets ---------------------------------------------------------------
+# --- presets: fixed values ------------------------------------------------
 
 _BOOSTED = dict(
     model_name="xgboost",

@@ -61,7 +61,8 @@ def run_temporal_cv(
     folds = calendar_folds(validation_years)
     carried = [c for c in (*ROW_KEYS, "target", ts) if c in data.columns]
     if config.model_name == "dummy":
-        prepared = data.select(*carried)  # the class shares need no predictors
+        # The class shares need no predictors.
+        prepared = data.select(*dict.fromkeys(c for c in (*carried, "incident_year") if c in data.columns))
     else:
         # Row-wise features learn nothing, so they are computed once for all folds and both sides.
         prepared = features.from_config(data, config, keep=carried)
@@ -69,9 +70,10 @@ def run_temporal_cv(
     with cached(prepared) as prepared:
         facts = fold_facts(prepared, folds, test_start, ts)
         all_classes = facts.classes
-        development = prepared.filter(in_period(ts, end=test_start))
+        year = "incident_year" if "incident_year" in prepared.columns else None
+        development = prepared.filter(in_period(ts, end=test_start, year_column=year))
         for fold, record in zip(folds, facts.records):
-            train, validation = fold.train(development, ts).drop(ts), fold.validation(development, ts).drop(ts)
+            train, validation = fold.train(development, ts, year).drop(ts), fold.validation(development, ts, year).drop(ts)
             model, seconds, predictions = fit_and_score(
                 train, validation, config, facts.train_classes[fold.fold], all_classes, "raise"
             )
@@ -79,7 +81,7 @@ def run_temporal_cv(
             rows.append(
                 {
                     **config_values(config),
-                    "model_iterations": iterations(model),
+                    "model_iterations": iterations(model, config.model_name),
                     **{k: record[k] for k in FOLD_SCHEMA.names if k in record},
                     "training_seconds": seconds,
                     **{m: result[m] for m in METRICS},

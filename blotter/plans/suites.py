@@ -163,10 +163,7 @@ def xgboost_lambda() -> list[ExperimentConfig]:
     ]
 
 
-def xgboost_importance() -> list[ExperimentConfig]:
-    return [xgboost_finalist().but(experiment_name="xgboost_feature_importance")]
-
-
+# The suites by name; experiment names and grids above are fixed values too.
 SUITES = {
     f.__name__: f
     for f in (

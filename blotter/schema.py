@@ -17,18 +17,6 @@ RAW = T.StructType(
     ]
 )
 
-CLEAN_COLUMNS = (
-    "category",
-    "descript",
-    "day_of_week_name",
-    "pd_district",
-    "resolution",
-    "address",
-    "longitude",
-    "latitude",
-    "incident_timestamp",
-)
-
 # The feature groups by their public column names.
 CALENDAR = (
     "incident_year",
@@ -54,6 +42,7 @@ CYCLE_PERIODS = {
     "incident_day_of_year": 365,
 }
 
+# The columns of the modeling rows, in order.
 MODELING_COLUMNS = (
     "target",
     "incident_timestamp",
@@ -77,6 +66,7 @@ MODELING_COLUMNS = (
     "is_intersection",
 )
 
+# Result metrics by their column names.
 METRICS = ("log_loss", "accuracy", "top_3_accuracy", "macro_f1")
 SUMMARY_METRICS = METRICS + ("training_seconds", "model_iterations")
 

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blotter.session import widen
-
 CLASSES = [f"C{i}" for i in range(7)]
 TEST_START = "2001-01-01"
 VALIDATION_YEARS = (1998, 1999, 2000)
@@ -20,12 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """The needed columns of a table over all cores.
+    """The needed columns of a table, dealt out to the session's shuffle partitions.
 
-    The test tables have a single row group and would be read by one task; a
-    table with enough splits is left as it is, so a cluster run has no shuffle here.
+    The test tables have a single row group each and would be read by one task.
     """
-    return widen(table(spark, folder, name).select(*columns))
+    return table(spark, folder, name).select(*columns).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def raw_incidents(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from blotter import schema
 from blotter.operators import clean as cleaning
 
+YEAR = "incident_year"
+FILE_ROWS = 10_000_000
+
 
 def scan_csv(spark: SparkSession, path: str, row_schema=schema.RAW) -> DataFrame:
     """Header CSV with a declared schema; malformed lines are skipped.
@@ -40,18 +43,22 @@ def scan_csv(spark: SparkSession, path: str, row_schema=schema.RAW) -> DataFrame
     return lines.select(*cells)
 
 
-def store_raw(raw: DataFrame, path: str, year_column: str = "incident_year") -> None:
+def store_raw(raw: DataFrame, path: str, year_column: str = YEAR, row_id: str = schema.ROW_KEYS[0], file_rows: int = FILE_ROWS) -> None:
     """Replace the stored raw table, partitioned by the year of ``Dates``.
 
-    Rows are spread by year *and* a hash of the row, so that a year holding
-    most of the data is still written by many tasks.
+    Rows without an identifier get one from their place in the scanned files, so
+    stored rows can be split, sampled and joined by key. Adaptive execution deals
+    the years out in tasks of its advisory size, so a year that holds most of the
+    data is written by many tasks; ``file_rows`` bounds a file.
     """
     year = F.year(F.col("Dates").try_cast("timestamp_ntz"))
-    spread = F.pmod(F.xxhash64(*raw.columns), F.lit(64))
+    if row_id not in raw.columns:
+        raw = raw.withColumn(row_id, F.monotonically_increasing_id())
     (
         raw.withColumn(year_column, year)
-        .repartition(F.col(year_column), spread)
+        .hint("rebalance", year_column)
         .write.mode("overwrite")
+        .option("maxRecordsPerFile", file_rows)
         .partitionBy(year_column)
         .parquet(path)
     )

@@ -45,18 +45,20 @@ def x02(spark, sf):
 LINEAR = ("incident_hour", "longitude", "latitude", "is_intersection")
 WEIGHTS = [[(1 + j * 3 + k * 5) % 7 / 10 - 0.3 for j in range(len(LINEAR))] for k in range(3)]
 _MEANS = "means AS (SELECT " + ", ".join(f"avg({c}) AS {c}" for c in LINEAR) + " FROM modeling)"
+_DRAWN = f"drawn AS (SELECT * FROM modeling ORDER BY {HASH}, incident_id LIMIT 2000)"
 _PHI = " UNION ALL ".join(
-    f"SELECT incident_id, '{c}' AS feature, {k} AS class_id, {r(f'{d(WEIGHTS[k][j])} * ({c} - (SELECT {c} FROM means))', 'phi')} FROM modeling"
+    f"SELECT incident_id, '{c}' AS feature, {k} AS class_id, {r(f'{d(WEIGHTS[k][j])} * ({c} - (SELECT {c} FROM means))', 'phi')} FROM drawn"
     for k in range(3)
     for j, c in enumerate(LINEAR)
 )
 
 
-@query("x03_linear_contributions", with_sql(f"{modeling_sql()},\n{_MEANS}", _PHI))
+@query("x03_linear_contributions", with_sql(f"{modeling_sql()},\n{_MEANS},\n{_DRAWN}", _PHI))
 def x03(spark, sf):
     rows = modeling(spark, sf).select("incident_id", *LINEAR)
     means = rows.agg(*[F.avg(c).alias(c) for c in LINEAR]).first().asDict()
-    return rounded(attribution.linear_contributions(rows, "incident_id", list(LINEAR), WEIGHTS, means))
+    drawn = attribution.reproducible_sample(rows, "incident_id")
+    return rounded(attribution.linear_contributions(drawn, "incident_id", list(LINEAR), WEIGHTS, means))
 
 
 @query("x03_sampled_shapley")

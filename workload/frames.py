@@ -29,7 +29,7 @@ EARLIER = f"{TS} < TIMESTAMP '{fixtures.TEST_START}'"
 
 @query("f01_feature_groups", modeling_query(f"SELECT incident_id, {BASE_COLUMNS}, datetime_numeric, {TS}, address FROM modeling"))
 def f01(spark, sf):
-    names = features.FeatureGroups().columns(time_trend=True, identifiers=True)
+    names = features.group_columns((*features.PREDICTORS, "identifiers"))
     return modeling(spark, sf).select("incident_id", *names)
 
 

@@ -196,7 +196,7 @@ def t11(spark, sf):
 def t12(spark, sf):
     """Fitted clusters: size and mean distance to the center."""
     rows = modeling(spark, sf).select("incident_id", TS, "longitude", "latitude")
-    model = GeoEncoder("all", n_clusters=8, n_init=2).fit(rows.filter(EARLY))
+    model = GeoEncoder("all", n_clusters=40).fit(rows.filter(EARLY))
     spread = F.least(*[F.col(f"geo_distance_{i}") for i in range(8)])
     return rounded(model.transform(rows).groupBy("geo_cluster").agg(F.count("*").alias("n"), F.avg(spread).alias("spread")))
 
@@ -289,12 +289,12 @@ def t18(spark, sf):
 
 @query("t19_logistic_transform")
 def t19(spark, sf):
-    return vectors(spark, sf, assemble.logistic_transform(geo_mode="raw_distances", clusters=8))
+    return vectors(spark, sf, assemble.logistic_transform(geo_mode="raw_distances"))
 
 
 @query("t20_tree_transform")
 def t20(spark, sf):
-    return vectors(spark, sf, assemble.tree_transform(clusters=8))
+    return vectors(spark, sf, assemble.tree_transform())
 
 
 TREE_NUMBERS = (
