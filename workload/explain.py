@@ -61,6 +61,35 @@ def x03(spark, sf):
     return rounded(attribution.linear_contributions(drawn, "incident_id", list(LINEAR), WEIGHTS, means))
 
 
+TURNS = 4
+_PLACED = (
+    f"placed AS (SELECT *, row_number() OVER (ORDER BY {HASH}, incident_id) - 1 AS place, count(*) OVER () AS n FROM drawn)"
+)
+_BACK = "paired AS (SELECT a.incident_id, " + ", ".join(f"a.{c} - b.{c} AS {c}" for c in LINEAR) + (
+    f" FROM (SELECT *, unnest(range(1, {TURNS + 1})) AS turn FROM placed) a JOIN placed b ON b.place = (a.place + a.turn * 7919 % a.n) % a.n)"
+)
+_EXACT = " UNION ALL ".join(
+    f"SELECT incident_id, 'f{j}' AS feature, {k} AS class_id, round(avg({d(WEIGHTS[k][j])} * {c}), 9) AS phi FROM paired GROUP BY incident_id"
+    for k in range(3)
+    for j, c in enumerate(LINEAR)
+)
+
+
+@query("x03_sampled_shapley_linear", with_sql(f"{modeling_sql()},\n{_DRAWN},\n{_PLACED},\n{_BACK}", _EXACT))
+def x03_sampled_linear(spark, sf):
+    """Sampled values of a linear scorer: the weight times the distance to the mean of the backgrounds."""
+    drawn = attribution.reproducible_sample(modeling(spark, sf).select("incident_id", *LINEAR), "incident_id")
+    sample = drawn.select("incident_id", F.array(*[F.col(c).cast("double") for c in LINEAR]).alias("x"))
+
+    def scorer(df):
+        x = vector_to_array("features")
+        margins = [sum((x[j] * F.lit(w) for j, w in enumerate(row)), F.lit(0.0)) for row in WEIGHTS]
+        return df.withColumn("probability", F.array(*margins)).drop("features")
+
+    # Nine places: the exact values have seven, so no rounding lies on an edge.
+    return rounded(attribution.sampled_shapley(sample, "incident_id", scorer, len(LINEAR), len(WEIGHTS), permutations=TURNS), 9)
+
+
 @query("x03_sampled_shapley")
 def x03_sampled(spark, sf):
     model, _ = fitted(spark, sf, Forest(trees=5, max_depth=5))

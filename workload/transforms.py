@@ -197,10 +197,28 @@ def t12(spark, sf):
     """Fitted clusters: size and mean distance to the center."""
     rows = modeling(spark, sf).select("incident_id", TS, "longitude", "latitude")
     model = GeoEncoder("all", n_clusters=40).fit(rows.filter(EARLY))
-    spread = F.least(*[F.col(f"geo_distance_{i}") for i in range(8)])
+    spread = F.least(*[F.col(f"geo_distance_{i}") for i in range(len(model.centers))])
     return rounded(model.transform(rows).groupBy("geo_cluster").agg(F.count("*").alias("n"), F.avg(spread).alias("spread")))
 
 
+PLANTED = 12
+
+
+@query(
+    "t12_planted_clusters",
+    f"SELECT CAST(o_orderkey % {PLANTED} AS VARCHAR) AS geo_cluster, count(*) AS n FROM orders GROUP BY 1",
+)
+def t12_planted(spark, sf):
+    """Clusters far apart are found whole, numbered from west to east."""
+    k = F.col("o_orderkey")
+    jitter = lambda prime: (k % prime) / F.lit(1000.0)
+    rows = fixtures.spread_table(spark, sf, "orders", "o_orderkey").select(
+        (F.lit(10.0) * (k % PLANTED) + jitter(101)).alias("longitude"), (F.lit(7.0) * (k % PLANTED % 5) + jitter(97)).alias("latitude")
+    )
+    model = GeoEncoder("cluster", n_clusters=PLANTED).fit(rows)
+    return model.transform(rows).groupBy("geo_cluster").agg(F.count("*").alias("n"))
+
+
 CENTERS = fixtures.centers()
 
 
