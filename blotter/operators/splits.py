@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from blotter.schema import require_columns
-from blotter.session import bounded_rows
+from blotter.session import bounded_rows, cut_lineage, fits_broadcast
 
 MAX_CLASSES = 4096
 HASH_RANGE = 2147483647  # a prime below 2**31, so products stay inside 64 bits
@@ -44,7 +44,8 @@ def random_split(
     Rows of a class are ordered by hash and the first ones are test rows. A
     class may hold a third of all rows, so it is never sorted as one group:
     counts per (class, hash slice) show the one slice each class is cut in,
-    and only the rows of that slice are ranked.
+    and only the keys of that slice are ranked. Then one scan compares every row
+    with its class's threshold. ``key`` is unique; the number of classes is free.
     """
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
@@ -61,21 +62,19 @@ def random_split(
         .filter((F.col("_left") >= 0) & (F.col("_left") < F.col("_n")))
         .select(F.col(target).alias("_class"), F.col("_s").alias("_cut"), F.col("_left"))
     )
-    # At most one row per class, and the class count is checked: small enough to broadcast.
-    cuts = bounded_rows(cut, MAX_CLASSES, "classes")
-    side = df.sparkSession.createDataFrame(cuts, cut.schema)
-    marked = hashed.join(F.broadcast(side), F.col(target).eqNullSafe(F.col("_class")), "left")
-
-    border = marked.filter(F.col("_s") == F.col("_cut"))
-    ranked = (
-        border.withColumn("_r", F.row_number().over(Window.partitionBy(target, "_s").orderBy("_h", key)))
-        .withColumn("is_test", F.col("_r") <= F.col("_left"))
-    )
-    rest = marked.filter(F.col("_cut").isNull() | (F.col("_s") != F.col("_cut")))
-    # A class whose rows are all test rows has no cut.
-    rest = rest.withColumn("is_test", F.coalesce(F.col("_s") < F.col("_cut"), F.lit(True)))
-    out = [*df.columns, "is_test"]
-    return rest.select(*out).unionByName(ranked.select(*out))
+    cut = cut_lineage(cut)  # a row per class
+    few = fits_broadcast(cut.count())
+    side = F.broadcast(cut) if few else cut
+    same = F.col(target).eqNullSafe(F.col("_class"))
+
+    # The first row behind the cut is the threshold; only keys of the cut slices are ranked.
+    border = hashed.select(target, "_h", "_s", key).join(side, same & (F.col("_s") == F.col("_cut")))
+    ranked = border.withColumn("_r", F.row_number().over(Window.partitionBy(target, "_s").orderBy("_h", key)))
+    first = ranked.filter(F.col("_r") == F.col("_left") + 1).select("_class", F.col("_h").alias("_first"), F.col(key).alias("_first_key"))
+    joined = hashed.join(F.broadcast(first) if few else first, same, "left")
+    ahead = (F.col("_h") < F.col("_first")) | ((F.col("_h") == F.col("_first")) & (F.col(key) < F.col("_first_key")))
+    # A class whose rows are all test rows has no threshold.
+    return joined.withColumn("is_test", F.coalesce(ahead, F.lit(True))).select(*df.columns, "is_test")
 
 
 def instant(text: str) -> Column:
