@@ -177,7 +177,8 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str =
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` (default: all) with ``lang_pred``, ``score`` and ``rejected``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values, so that executors without this package can read them.
+    shared = docs.sparkSession.sparkContext.broadcast(model and (model.languages, model.weights, model.bias, model.temperature, model.threshold))
     keep = docs.columns if keep is None else keep
     names = [fresh_name(docs.select(*map(quoted, keep)), n) for n in ("lang_pred", "score", "rejected")]
     at, kept_at = docs.columns.index(text), [docs.columns.index(c) for c in keep]
@@ -186,7 +187,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
         import regex
 
         letter = regex.compile(r"\p{L}").search
-        known: Model | None = shared.value
+        known = Model(*shared.value) if shared.value else None
         for batch in batches:
             found = []
             for t in batch.column(at).to_pylist():

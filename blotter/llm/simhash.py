@@ -39,6 +39,8 @@ SEGMENTS = (22, 21, 21)
 #: Distinct fingerprints a key may hold before it is refined; bounds the pairs per fingerprint, loses none.
 BUCKET = 64
 BLOCK = 1 << 16
+#: Tables a worker computes once.
+KEPT: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 #: Generator polynomial of the binary Golay code (fixed value).
 GOLAY = 0b101011100011
 
@@ -80,9 +82,10 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     return map_arrow(docs, run, T.StructType([*(docs.schema.fields[i] for i in kept_at), T.StructField(name, T.LongType())]))
 
 
-@cache
 def _code() -> tuple[np.ndarray, np.ndarray]:
     """Syndromes of the single bits, and the error pattern (three bits at most) of every syndrome."""
+    if "code" in KEPT:
+        return KEPT["code"]
 
     def remainder(word: int) -> int:
         for i in range(22, 10, -1):
@@ -95,7 +98,8 @@ def _code() -> tuple[np.ndarray, np.ndarray]:
     for weight in (1, 2, 3):
         for places in combinations(range(23), weight):
             errors[np.bitwise_xor.reduce(single[list(places)])] = sum(1 << p for p in places)
-    return single, errors
+    KEPT["code"] = single, errors
+    return KEPT["code"]
 
 
 def fuzzy_keys(words: np.ndarray, width: int) -> np.ndarray:
