@@ -32,7 +32,8 @@ FOLD_SCHEMA = T.StructType(
 
 
 def fit_and_score(
-    train: DataFrame, held_out: DataFrame, config: ExperimentConfig, train_classes: list, all_classes: list, empty: str
+    train: DataFrame, held_out: DataFrame, config: ExperimentConfig, train_classes: list, all_classes: list, empty: str,
+    depth_limit: int | None = None,
 ):
     """Fit on ``train`` only; returns the fitted pipeline, seconds and aligned predictions.
 
@@ -40,7 +41,7 @@ def fit_and_score(
     """
     keys = [c for c in ROW_KEYS if c in train.columns]
     started = time.perf_counter()
-    model = full_pipeline(config).fit(with_label(train, train_classes))
+    model = full_pipeline(config, depth_limit=depth_limit).fit(with_label(train, train_classes))
     seconds = time.perf_counter() - started
     scored = prob.align(score(model, held_out).select(*keys, "target", "probability"), train_classes, all_classes, empty)
     return model, seconds, with_label(scored, all_classes).withColumn("label", F.col("label").cast("int"))
@@ -52,9 +53,12 @@ def run_temporal_cv(
     validation_years=(2011, 2012, 2013),
     test_start: str = "2014-01-01",
     ts: str = "incident_timestamp",
+    depth_limit: int | None = None,
 ) -> DataFrame:
     """Metrics of one configuration on every calendar fold of the development period.
 
+    ``depth_limit`` is the depth to use where the configuration asks for deeper trees than MLlib grows.
+
     Only fold dates, counts and metrics (one row per fold) come to the driver.
     """
     config.validate()
@@ -75,7 +79,7 @@ def run_temporal_cv(
         for fold, record in zip(folds, facts.records):
             train, validation = fold.train(development, ts, year).drop(ts), fold.validation(development, ts, year).drop(ts)
             model, seconds, predictions = fit_and_score(
-                train, validation, config, facts.train_classes[fold.fold], all_classes, "raise"
+                train, validation, config, facts.train_classes[fold.fold], all_classes, "raise", depth_limit
             )
             result = metrics.overall(predictions, len(all_classes), min(3, len(all_classes))).first()
             rows.append(

@@ -44,7 +44,7 @@ class FrozenEvaluation:
 
 
 def evaluate_frozen(
-    config: ExperimentConfig, data: DataFrame, test_start: str = "2014-01-01", materialise: bool = True
+    config: ExperimentConfig, data: DataFrame, test_start: str = "2014-01-01", materialise: bool = True, depth_limit: int | None = None
 ) -> FrozenEvaluation:
     """Fit on the development period, score the frozen one.
 
@@ -55,7 +55,7 @@ def evaluate_frozen(
     frozen = data.filter(in_period(start=test_start))
     with cached(_prepare(development, config)) as train:
         model, _, predictions = fit_and_score(
-            train, _prepare(frozen, config), config, facts.classes, facts.all_classes, "uniform"
+            train, _prepare(frozen, config), config, facts.classes, facts.all_classes, "uniform", depth_limit
         )
     if materialise:  # many diagnostics follow: score once, keep the table
         predictions = cut_lineage(predictions)
@@ -119,11 +119,11 @@ def metadata_row(data: DataFrame, config: ExperimentConfig, evaluation: dict | N
     }
 
 
-def train_final(config: ExperimentConfig, data: DataFrame, evaluation: dict | None = None) -> FinalModel:
+def train_final(config: ExperimentConfig, data: DataFrame, evaluation: dict | None = None, depth_limit: int | None = None) -> FinalModel:
     """Fit on all rows, the frozen period included."""
     metadata = metadata_row(data, config, evaluation)
     with cached(with_label(_prepare(data, config), metadata["classes"])) as train:
-        pipeline = full_pipeline(config).fit(train)
+        pipeline = full_pipeline(config, depth_limit=depth_limit).fit(train)
     encoders = [s for s in pipeline.stages if hasattr(s, "encoded_columns")]
     if encoders:
         metadata["transformed_feature_columns"] = encoders[0].width()

@@ -268,7 +268,7 @@ def test_presets():
     assert len(config.CONFIG_FIELDS) == 39
     for preset in config.PRESETS.values():
         preset().validate()
-        assert assemble.model_stage(preset()) is not None
+        assert assemble.model_stage(preset(), depth_limit=30) is not None
     with pytest.raises(ValueError):
         assemble.model_stage(config.logistic_baseline().but(model_name="other"))
     assert config.xgboost_finalist().xgb_n_estimators == 600
