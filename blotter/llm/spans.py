@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blotter.llm.common import fresh_name, quoted
+from blotter.session import cut_lineage
 
 SENTENCES = 3
 WORDS = 12
@@ -88,12 +89,13 @@ def repeated(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) ->
     """The non-first occurrences of repeated runs: ``_d``, ``_h``, ``start`` and ``n`` (sentences), from ``_d``, ``_h``, ``_t``.
 
     A run's occurrences are reduced to the first and a count on the map side before they are joined back, so a very
-    frequent run is no hot group; the join's large side may be split by adaptive execution.
+    frequent run is no hot group. The reduced side is written first: both sides of the join are then shuffled for it, and
+    adaptive execution may split the large one.
     """
     hashed = _hashed(docs, sentences, words)
     own = F.struct("_d", "_h", "start")
     first = hashed.groupBy("s1", "s2").agg(F.min(own).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    return hashed.join(first, ["s1", "s2"]).filter(~own.eqNullSafe(F.col("first"))).select("_d", "_h", "start", "n")
+    return hashed.join(cut_lineage(first), ["s1", "s2"]).filter(~own.eqNullSafe(F.col("first"))).select("_d", "_h", "start", "n")
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sentences: int = SENTENCES, words: int = WORDS, keep: list[str] | None = None) -> DataFrame:
