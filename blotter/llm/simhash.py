@@ -214,7 +214,8 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     named = labels.groupBy("component").agg(F.min("node.first").alias("name"))
     renamed = labels.join(named, "component").select(F.col("node.fp").alias("fp"), "name")
     classes = firsts.join(renamed, "fp", "left").select("fp", F.coalesce("name", "first").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    # Written first, so that both sides are shuffled for the join and a fingerprint of many documents may be split.
+    return prints.join(cut_lineage(classes), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
