@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from blotter.llm.common import quoted
 from blotter.session import cut_lineage
 
-TABLES = 10
+TABLES = 8
 PROBES = 8
 #: Distinct vectors a bucket should hold on average at least; depth follows from it.
 BUCKET = 256
@@ -92,7 +92,9 @@ def buckets(rows: np.ndarray, table: int, depth: int, probes: int) -> np.ndarray
 
 def _groups(vectors: DataFrame, vec_id: str, embedding: str, k: int) -> tuple[DataFrame, DataFrame]:
     """Members (``g1``, ``g2``, ``id``) and one row per distinct vector with its ``k`` + 1 smallest identifiers."""
-    rows = vectors.select(F.col(quoted(vec_id)).cast("long").alias("id"), F.col(quoted(embedding)).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(quoted(vec_id)).cast("long").alias("id"), F.col(quoted(embedding)).alias("v"))
+    if rows.schema["v"].dataType.elementType.typeName() != "float":  # floats are carried as they are, for half the bytes
+        rows = rows.withColumn("v", F.col("v").cast("array<double>"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull()).filter(~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
     usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -121,7 +123,7 @@ def _indexed(rows: DataFrame, tables: int, depth: int, probes: int, longest: flo
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                v = np.stack([np.asarray(x.values) for x in batch.column("v")])
+                v = np.stack([np.asarray(x.values) for x in batch.column("v")]).astype(float)
                 flat = unit(v, longest, query)
                 for t in range(tables):
                     codes = buckets(flat, t, depth, probes)
@@ -139,7 +141,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_
     """
     members, groups = _groups(vectors, vec_id, embedding, k)
     groups = cut_lineage(groups)
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     facts = groups.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.min(length).alias("low"), F.max(length).alias("high")).first()
     longest = facts["high"] if facts["n"] and facts["high"] - facts["low"] > 1e-3 * facts["high"] else 0.0
     width = 1 << (max(1, (facts["width"] or 1) + (longest > 0)) - 1).bit_length()
@@ -162,7 +164,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_
     def block(key, seek: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(seek) or not len(held):
             return pd.DataFrame({"g1": [], "g2": [], "score": [], "ids": []})
-        a, b = np.stack(seek["v"].to_numpy()), np.stack(held["v"].to_numpy())
+        a, b = np.stack(seek["v"].to_numpy()).astype(float), np.stack(held["v"].to_numpy()).astype(float)
         rough = a @ b.T
         few = min(k + 1, len(b))
         least = -np.partition(-rough, few - 1, 1)[:, few - 1]
