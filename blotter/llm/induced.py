@@ -101,10 +101,10 @@ def _types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each suffix is S-type, and how often its first symbol repeats from there."""
     size = len(text)
     change = np.flatnonzero(text[:-1] != text[1:])
-    ends = np.append(change, size - 1)
+    ends = np.append(change, size - 1).astype(np.int32)
     last = np.repeat(ends, np.diff(np.append(-1, ends)))
     small = np.append(text[change] < text[change + 1], True)
-    return np.repeat(small, np.diff(np.append(-1, ends))), (last - np.arange(size) + 1).astype(np.int32)
+    return np.repeat(small, np.diff(np.append(-1, ends))), last - np.arange(size, dtype=np.int32) + 1
 
 
 def _phase(text, wanted, repeats, seeds, seed_prefix, symbols, scratch, memory, depth, size):

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,28 +24,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blotter.llm import induced
 from blotter.llm.common import fresh_name, quoted
+from blotter.llm.induced import MAPPED, Scratch, suffix_order
 from blotter.session import cut_lineage
 
 LENGTH = 400
 GRAM = 128
 #: Contents of one leader that a shard may get; the others are counted window by window.
-HOT = 2048
+HOT = 512
 #: Bytes of a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 CHUNK = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 BATCH_ROWS = 256
+#: Tables a worker computes once.
+KEPT: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
-@cache
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2^64."""
+    if "powers" in KEPT:
+        return KEPT["powers"]
     size = CHUNK + 2 * LENGTH + GRAM
     back = pow(BASE, -1, 1 << 64)
     grow = lambda x: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)]))
-    return grow(np.uint64(BASE)), grow(np.uint64(back))
+    KEPT["powers"] = grow(np.uint64(BASE)), grow(np.uint64(back))
+    return KEPT["powers"]
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -144,12 +147,12 @@ def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 def _shard(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Order one shard and give, per content, the windows that another place of the shard repeats."""
-    scratch = induced.Scratch()
+    scratch = Scratch()
     try:
         keys, sizes, total = [], [], 0
         path = scratch.path()
         with open(path, "wb") as file:
-            for batch in batches:
+            for batch in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, BATCH_ROWS)):
                 for s1, s2, n, data in zip(*(batch.column(c).to_pylist() for c in ("s1", "s2", "n", "data"))):
                     # Bytes are symbols from 2 on, 1 ends a content, 0 ends the shard.
                     file.write((np.frombuffer(data, np.uint8).astype(np.uint16) + 2).tobytes() + b"\x01\x00")
@@ -159,8 +162,8 @@ def _shard(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             file.write(b"\x00\x00")
         if not keys:
             return
-        text = np.memmap(path, np.uint16, "r") if total > induced.MAPPED else np.fromfile(path, np.uint16)
-        order, prefix = induced.suffix_order(text, length, scratch=scratch)
+        text = np.memmap(path, np.uint16, "r") if total > MAPPED else np.fromfile(path, np.uint16)
+        order, prefix = suffix_order(text, length, scratch=scratch)
         valid = np.zeros(total + 1, bool)
         for start, n in sizes:
             valid[start : start + n] = True
@@ -221,7 +224,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, BATCH_ROWS)):
             kept, cuts = [], []
             for data, cover in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 runs: list[list[int]] = []
