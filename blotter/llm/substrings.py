@@ -204,7 +204,8 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         again = windows.groupBy("w").agg(F.count("*").alias("times")).filter("times > 1").select("w")
         found = found.unionByName(windows.join(again, "w").select("s1", "s2", "low", (F.col("low") + 1).alias("high")))
     spans = found.groupBy("s1", "s2").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    hit = places.join(spans, ["s1", "s2"]).select("_d", "_h", "at", F.explode("spans").alias("span"))
+    # Written first, so that both sides are shuffled for the join and a content with many places may be split.
+    hit = places.join(cut_lineage(spans), ["s1", "s2"]).select("_d", "_h", "at", F.explode("spans").alias("span"))
     return hit.select("_d", "_h", (F.col("at") + F.col("span.low")).alias("at"), (F.col("at") + F.col("span.high") - 1 + length).alias("end"))
 
 
