@@ -1,7 +1,9 @@
 """Repeated sentence spans: hash every run of several consecutive sentences, join globally, cut all but the first.
 
-A sentence ends after ``.``, ``!`` or ``?`` before white space, and at line breaks. A run starts at each sentence and takes
-as many as it needs to hold ``sentences`` sentences and ``words`` words; runs compare case-folded with single blanks.
+A sentence ends after ``.``, ``!`` or ``?`` before white space, and at line breaks. A run holds ``sentences`` sentences and
+``words`` words, or two sentences and ``PAIR_WORDS`` words, or ``LONE_WORDS`` words in any number of sentences. From each
+sentence the shortest run that starts there and the shortest that ends there are taken, so a repeated passage of whole
+sentences that is a run itself is covered from end to end. Runs compare case-folded with single blanks.
 Occurrences are ordered by document identifier, then position. Every sentence that a non-first occurrence of a repeated
 run covers is removed.
 
@@ -24,6 +26,8 @@ from blotter.session import cut_lineage
 
 SENTENCES = 3
 WORDS = 12
+#: Words that make a run of two sentences, and of a single one.
+PAIR_WORDS, LONE_WORDS = 12, 51
 BATCH_ROWS = 256
 CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 
@@ -40,18 +44,37 @@ def pieces(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def floors(sentences: int, words: int) -> list[tuple[int, int]]:
+    """(sentences, words) that make a run, without those that another one implies."""
+    wanted = {(sentences, words), (2, PAIR_WORDS), (1, LONE_WORDS)}
+    return sorted(f for f in wanted if not any(g != f and g[0] <= f[0] and g[1] <= f[1] for g in wanted))
+
+
 def runs(text: str, sentences: int, words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(first sentence, number of sentences, folded text) of every run."""
+    """(first sentence, number of sentences, folded text) of every run, each once."""
     folded = [text[s:e].casefold().split() for s, e in pieces(text)]
-    end = held = 0
-    for start in range(len(folded)):
-        while end < len(folded) and (end - start < sentences or held < words):
-            held += len(folded[end])
-            end += 1
-        if end - start < sentences or held < words:
-            return
-        yield start, end - start, "\n".join(" ".join(w) for w in folded[start:end]).encode("utf-8", "replace")
-        held -= len(folded[start])
+    found = set()
+    for least, load in floors(sentences, words):
+        end = held = 0
+        for start in range(len(folded)):
+            while end < len(folded) and (end - start < least or held < load):
+                held += len(folded[end])
+                end += 1
+            if end - start < least or held < load:
+                break
+            found.add((start, end))
+            held -= len(folded[start])
+        start = held = 0
+        for end in range(1, len(folded) + 1):
+            held += len(folded[end - 1])
+            while end - start > least and held - len(folded[start]) >= load:
+                held -= len(folded[start])
+                start += 1
+            if end - start >= least and held >= load:
+                found.add((start, end))
+    lines = [" ".join(w) for w in folded]
+    for start, end in sorted(found):
+        yield start, end - start, "\n".join(lines[start:end]).encode("utf-8", "replace")
 
 
 def _hashed(docs: DataFrame, sentences: int, words: int) -> DataFrame:

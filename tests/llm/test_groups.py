@@ -132,6 +132,22 @@ def test_spans(spark):
         assert "".join(r["text"][a:b] for a, b in zip([0, *(x["end"] for x in r["removed"])], [*(x["start"] for x in r["removed"]), len(r["text"])])) == r["kept_text"]
 
 
+def test_spans_of_few_sentences(spark):
+    """Passages of over 50 words in one, two and three sentences, between unlike neighbours and partial sentences."""
+    draw = random.Random(9)
+    fresh = lambda n: " ".join("".join(draw.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n))
+    whole = [[fresh(55)], [fresh(20), fresh(35)], [fresh(2), fresh(50), fresh(1)], [fresh(1), fresh(11)]]
+    rows = []
+    for case, passage in enumerate(whole):
+        held = fresh(20) + ". " + ". ".join(passage) + ". " + fresh(20)
+        rows += [(10 * case + i, f"{fresh(3)}. {fresh(4)} {held} {fresh(2)}. {fresh(5)}.") for i in range(2)]
+    got = {r["doc_id"]: r for r in spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for case, passage in enumerate(whole):
+        first, second = got[10 * case], got[10 * case + 1]
+        assert first["n_removed"] == 0
+        assert second["n_removed"] == len(passage) and not any(p in second["kept_text"] for p in passage)
+
+
 def test_spans_odd_rows(odd, empty):
     got = spans.dedup(odd).collect()
     assert len(got) == odd.count() and spans.dedup(empty).count() == 0
