@@ -2,7 +2,8 @@
 
 Vectors are scaled to unit length (inner products of vectors of unequal length are turned into angles by one more
 coordinate) and padded to a power of two. A table rotates them with three rounds of random signs and a fast Hadamard
-transform; the nearest signed axis is the bucket. With ``depth`` rotations per table a bucket is a tuple of axes. Every
+transform; the nearest signed axis is the bucket. With ``depth`` rotations per table a bucket is a tuple of axes; tables
+and probes grow with it until the computed chance of meeting a neighbour is ``CHANCE``. Every
 vector is indexed once in each table, a query probes several buckets per table, those whose axes lie nearest, and all
 vectors met are ranked by their exact inner product in double precision.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,10 @@ PROBES = 8
 BUCKET = 256
 #: Candidates a query should meet at least; small tables are probed more widely for it.
 CANDIDATES = 10_000
+#: Chance at least of meeting the k-th nearest of as many random vectors, and the pairs it is computed from.
+CHANCE, PAIRS = 0.92, 500
+#: Most tables to choose from, and how many probes a further table weighs (its index holds every vector).
+MOST_TABLES, TABLE_WEIGHT = 64, 20
 BLOCK_VECTORS, BLOCK_QUERIES = 8192, 2048
 SEED = 11
 
@@ -76,6 +82,9 @@ def signed_axes(rotated: np.ndarray) -> np.ndarray:
 
 def buckets(rows: np.ndarray, table: int, depth: int, probes: int) -> np.ndarray:
     """The ``probes`` nearest buckets of every unit vector in one table, nearest first."""
+    step = max(1, (1 << 22) // (2 * rows.shape[1] * probes))
+    if len(rows) > step:  # joint scores in bounded room
+        return np.vstack([buckets(rows[at : at + step], table, depth, probes) for at in range(0, len(rows), step)])
     best = np.zeros((len(rows), 1))
     code = np.zeros((len(rows), 1), np.int64)
     for level in range(depth):
@@ -85,7 +94,8 @@ def buckets(rows: np.ndarray, table: int, depth: int, probes: int) -> np.ndarray
         value = np.take_along_axis(scores, top, 1)
         joint = (best[:, :, None] + value[:, None, :]).reshape(len(rows), -1)
         codes = (code[:, :, None] * scores.shape[1] + top[:, None, :]).reshape(len(rows), -1)
-        order = np.argsort(-joint, 1, kind="stable")[:, :probes]
+        order = np.argpartition(-joint, min(probes, joint.shape[1]) - 1, 1)[:, :probes]
+        order = np.take_along_axis(order, np.argsort(-np.take_along_axis(joint, order, 1), 1, kind="stable"), 1)
         best, code = np.take_along_axis(joint, order, 1), np.take_along_axis(codes, order, 1)
     return code
 
@@ -108,12 +118,50 @@ def _groups(vectors: DataFrame, vec_id: str, embedding: str, k: int) -> tuple[Da
     return members, first.join(shown, ["g1", "g2"])
 
 
-def plan(vectors: int, width: int, tables: int = TABLES, probes: int = PROBES) -> tuple[int, int]:
-    """Depth and probes per table: depth grows with the logarithm of the vectors, probes until enough are met."""
+def near_cosine(vectors: int, size: int, k: int) -> float:
+    """The cosine at which the ``k``-th nearest of so many random directions in ``size`` coordinates lies."""
+    angle = np.linspace(0, np.pi, 100_001)
+    mass = np.cumsum(np.sin(angle) ** max(0, size - 2))
+    return float(np.cos(angle[np.searchsorted(mass, mass[-1] * min(1.0, k / max(1, vectors)))]))
+
+
+@lru_cache(64)
+def bucket_ranks(size: int, width: int, depth: int, cosine: float) -> np.ndarray:
+    """Sorted: how far out in a query's order of buckets the one of a vector at ``cosine`` lies, for random pairs."""
+    draw = np.random.default_rng([SEED, size, depth])
+    query, other = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in draw.normal(size=(2, PAIRS, size)))
+    other = other - (other * query).sum(1, keepdims=True) * query
+    other = cosine * query + math.sqrt(max(0.0, 1 - cosine**2)) * other / np.maximum(1e-12, np.linalg.norm(other, axis=1, keepdims=True))
+    query, other = (np.pad(x, ((0, 0), (0, width - size))) for x in (query, other))
+    scores = [signed_axes(rotate(query, 0, level)) for level in range(depth)]
+    axes = [signed_axes(rotate(other, 0, level)).argmax(1) for level in range(depth)]
+    ranks = np.empty(PAIRS, np.int64)
+    for i in range(PAIRS):
+        own, sums = sum(s[i, a[i]] for s, a in zip(scores, axes)), np.zeros(1)
+        for s in scores[:-1]:
+            sums = (sums[:, None] + s[i]).ravel()
+        last = np.sort(scores[-1][i])
+        ranks[i] = 1 + (len(last) - np.searchsorted(last, own - sums + 1e-12, "right")).sum()
+    return np.sort(ranks)
+
+
+def plan(vectors: int, width: int, tables: int = TABLES, probes: int = PROBES, k: int = 20, size: int | None = None, shrink: float = 1.0, depth: int | None = None) -> tuple[int, int, int]:
+    """Depth, tables and probes per table.
+
+    Depth grows with the logarithm of the vectors. Tables (from ``tables`` on, doubled) and probes are the cheapest with
+    which the ``k``-th nearest of random vectors of ``size`` coordinates is met with ``CHANCE``; ``shrink`` is what unequal
+    lengths leave of a cosine. Small tables are probed until enough vectors are met.
+    """
     axes = 2 * width
-    depth = max(1, int(math.log(max(1, vectors / BUCKET), axes)))
+    depth = depth or max(1, int(math.log(max(1, vectors / BUCKET), axes)))
+    ranks = bucket_ranks(size or width, width, depth, round(shrink * near_cosine(vectors, size or width, k), 3))
+    choices = []
+    for count in [tables] + [t for t in (tables << i for i in range(1, 20)) if t <= MOST_TABLES]:
+        each = 1 - (1 - CHANCE) ** (1 / count)
+        choices.append((count, max(probes * depth * depth if count == tables else probes, int(ranks[math.ceil(each * len(ranks)) - 1]))))
+    tables, probes = min(choices, key=lambda c: c[0] * (c[1] + TABLE_WEIGHT))
     wanted = math.ceil(CANDIDATES * axes**depth / (max(1, vectors) * tables))
-    return depth, min(axes**depth, max(probes * depth * depth, wanted))
+    return depth, tables, min(axes**depth, max(probes, wanted))
 
 
 def _indexed(rows: DataFrame, tables: int, depth: int, probes: int, longest: float, query: bool) -> DataFrame:
@@ -121,8 +169,9 @@ def _indexed(rows: DataFrame, tables: int, depth: int, probes: int, longest: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            step = max(1, min(1024, 65_536 // probes))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 v = np.stack([np.asarray(x.values) for x in batch.column("v")]).astype(float)
                 flat = unit(v, longest, query)
                 for t in range(tables):
@@ -134,18 +183,19 @@ def _indexed(rows: DataFrame, tables: int, depth: int, probes: int, longest: flo
     return rows.mapInArrow(run, "t int, bucket long, " + ", ".join(f"{n} {k}" for n, k in rows.dtypes))
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = TABLES, probes: int = PROBES, depth: int | None = None) -> DataFrame:
     """The ``k`` nearest vectors found for every row for which ``queries`` holds (an expression over ``vec_id``).
 
-    Returns ``query_id``, ``rank`` from 1, ``vec_id`` and ``score``.
+    ``tables`` and ``probes`` are the least to use. Returns ``query_id``, ``rank`` from 1, ``vec_id`` and ``score``.
     """
     members, groups = _groups(vectors, vec_id, embedding, k)
     groups = cut_lineage(groups)
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    facts = groups.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.min(length).alias("low"), F.max(length).alias("high")).first()
+    facts = groups.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.min(length).alias("low"), F.max(length).alias("high"), F.avg(length).alias("mean")).first()
     longest = facts["high"] if facts["n"] and facts["high"] - facts["low"] > 1e-3 * facts["high"] else 0.0
-    width = 1 << (max(1, (facts["width"] or 1) + (longest > 0)) - 1).bit_length()
-    depth, probes = plan(facts["n"], width, tables, probes)
+    size = max(1, (facts["width"] or 1) + (longest > 0))
+    width = 1 << (size - 1).bit_length()
+    depth, tables, probes = plan(facts["n"], width, tables, probes, k, size, facts["mean"] / longest if longest else 1.0, depth)
     asked = members.filter(queries).select("g1", "g2", F.col("id").alias("query_id"))
     wanted = asked.select("g1", "g2").distinct().join(groups.select("g1", "g2", "v"), ["g1", "g2"])
     index = _indexed(groups, tables, depth, 1, longest, False)

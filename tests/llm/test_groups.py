@@ -281,6 +281,36 @@ def test_deeper_hashing():
     assert codes.shape == (50, 6) and all(len(set(c)) == 6 for c in codes.tolist()) and codes.max() < 16**2
 
 
+@pytest.mark.parametrize(("vectors", "depth"), [(51_282, 1), (4_300_000, 2), (10**9, 3)])
+def test_planned_chance(vectors, depth):
+    """Pairs at the cosine of the 20th nearest, hashed in every planned table; other draws than the plan's own."""
+    draw = np.random.default_rng(12)
+    found, tables, probes = crosspolytope.plan(vectors, 64)
+    cosine = crosspolytope.near_cosine(vectors, 64, 20)
+    a, b = (crosspolytope.unit(x, 0.0, False) for x in draw.normal(size=(2, 200, 64)))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    met = np.zeros(200, bool)
+    for t in range(tables):
+        met |= (crosspolytope.buckets(a, t, depth, probes) == crosspolytope.buckets(b, t, depth, 1)).any(1)
+    assert found == depth and met.mean() >= 0.88
+
+
+@pytest.mark.parametrize("depth", [2, 3])
+def test_nearest_recall_of_deeper_tables(spark, depth, monkeypatch):
+    """Forced depth against brute force, without the widening for small tables."""
+    monkeypatch.setattr(crosspolytope, "CANDIDATES", 0)
+    x = np.random.default_rng(3).normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in crosspolytope.search(frame, F.col("id") % 100 == 0, depth=depth).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(got.get(q, set()) & set(np.argsort(-(x @ x[q]))[1:21].tolist())) for q in range(0, 3000, 100))
+    print("recall", depth, hits / 600)
+    assert hits >= 0.9 * 600
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
