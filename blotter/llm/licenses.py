@@ -5,8 +5,10 @@ dots is one blank) and looked up in a catalogue of known licence sentences. The
 which unknown sentences are gaps. Ordered rules, each a run of adjacent identifiers, are tried one after the other; what a
 rule matches is used up, so full licence texts come before the short references they hold.
 
-Sentences end after ``. ! ? ;`` before white space and after ``:`` at a line break. Line breaks are read in two ways, as ends of sentences and as wrapped
-lines; the reading that knows more sentences counts (on a tie the first). Null and empty texts have no sentences. Rows are
+Sentences end after ``. ! ? ;`` before white space, after ``:`` at a line break and at blank lines (marks of comments count
+as blank). Other line breaks are read in two ways, place by place: a piece that is known with its lines joined counts as one
+sentence; otherwise its last lines may be one below a title, and the lines left stand for themselves. Numbers and letters
+that count list items and pieces without letters or digits are left out. Null and empty texts have no sentences. Rows are
 independent: no shuffle, no group, no effect of repeated rows or other columns. Texts are read whole.
 """
 
@@ -81,8 +83,10 @@ LICENCES = tuple(dict.fromkeys(name for name, _ in RULES))
 
 #: A text without any of these can't hold a known sentence (a test holds the catalogue to it).
 ANCHORS = ("licens", "copyright", "permission", "warrant", "redistribut", "liable", "rights reserved", "free software", "gnu general public")
-END = r"(?<=[.!?;])\s+|(?<=:)\s*\n\s*"
-LINES = END + r"|\s*\n\s*"
+END = r"(?<=[.!?;])\s+|(?<=:)\s*\n\s*|\n[ \t\r\f\x0B*#/;%-]*\n\s*"
+LINES = r"\n"
+#: What counts a list item: "1." before white space, "(a)", "2)".
+LABEL = r"^[^A-Za-z0-9]*([0-9]{1,2}|[A-Za-z])[.)](\s+|$)"
 GAP = "~"
 
 
@@ -105,7 +109,13 @@ def rules() -> list[tuple[str, tuple[str, ...]]]:
     return [*RULES, *((n, (f"spdx_{n}",)) for n in LICENCES)]
 
 
+def longest() -> int:
+    """Words of the longest known sentence, and so the most lines that can hold one."""
+    return max(len(s.split()) for s in catalogue())
+
+
 def _normal(sentence: Column) -> Column:
+    sentence = F.regexp_replace(sentence, LABEL, "")
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9.]+", " ")), "[. ]+$", "")
 
 
@@ -118,16 +128,28 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     keep = docs.columns if keep is None else keep
     whole = text_or_empty(quoted(text))
     names = F.create_map(*(F.lit(x) for pair in catalogue().items() for x in pair))
-    none = F.array().cast("array<string>")
+    none, most = F.array().cast("array<string>"), longest()
+
+    known_as = lambda normal: F.try_element_at(names, normal)
+    singly = lambda lines: F.transform(lines, lambda n: F.coalesce(known_as(n), F.lit(GAP)))
+    cut = lambda piece, pattern: F.filter(F.transform(F.split(piece, pattern, -1), _normal), lambda n: n != "")
+
+    def below_title(lines: Column) -> Column:
+        """Line by line, but the last lines as one sentence if they are known as one (the longest such run)."""
+        first = F.greatest(F.lit(2), F.size(lines) - most + 1)
+        tails = F.when(F.size(lines) > 2, F.transform(F.sequence(first, F.size(lines) - 1), lambda i: F.struct(i.alias("at"), known_as(F.array_join(F.slice(lines, i, most), " ")).alias("id"))))
+        best = F.try_element_at(F.filter(tails, lambda t: t["id"].isNotNull()), F.lit(1))
+        return F.when(best.isNull(), singly(lines)).otherwise(F.concat(singly(F.slice(lines, 1, best["at"] - 1)), F.array(best["id"])))
 
-    def read(pattern: str) -> Column:
-        return F.transform(F.split(whole, pattern, -1), lambda s: F.coalesce(F.try_element_at(names, _normal(s)), F.lit(GAP)))
+    def read_piece(piece: Column) -> Column:
+        one = known_as(_normal(piece))
+        return F.when(one.isNotNull(), F.array(one)).when(~F.contains(piece, F.lit("\n")), singly(F.filter(F.array(_normal(piece)), lambda n: n != ""))).otherwise(F.flatten(F.transform(F.array(cut(piece, LINES)), below_title)))
 
     known = lambda ids: F.filter(ids, lambda i: i != GAP)
     may = F.lower(whole).rlike("|".join(ANCHORS))
     out = fresh_name(docs, "_ids")
-    found = docs.withColumn(out, F.when(may, F.struct(read(LINES).alias("lines"), read(END).alias("wrapped"))))
-    found = found.withColumn(out, F.when(F.size(known(F.col(out)["wrapped"])) > F.size(known(F.col(out)["lines"])), F.col(out)["wrapped"]).otherwise(F.coalesce(F.col(out)["lines"], none)))
+    read = F.flatten(F.transform(F.split(whole, END, -1), read_piece))
+    found = docs.withColumn(out, F.coalesce(F.when(may, read), none))
     ids = F.col(out)
     start = F.struct(F.concat(F.lit("/"), F.array_join(ids, "//"), F.lit("/")).alias("left"), none.alias("hits"))
 

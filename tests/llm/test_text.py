@@ -118,6 +118,36 @@ def test_licences(spark, text, names, unmatched):
     assert licenses.sequence_matches(row["license_sentences"])[0] == names or text != MIT
 
 
+def wrapped(*paragraphs, width=70):
+    import textwrap
+
+    return "\n\n".join(textwrap.fill(p, width) for p in paragraphs) + "\n"
+
+
+S = licenses.SENTENCES
+BSD = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."
+FILES = {
+    "MIT": wrapped("MIT License", "Copyright (c) 2020 Jane Doe", S["mit_grant"], S["mit_notice"], S["as_is_mit"] + " " + S["liability_mit"]),
+    "ISC": wrapped("ISC License", "Copyright (c) 2020, Jane Doe", S["isc_grant"], S["as_is_mit"]),
+    "BSD-2-Clause": wrapped("BSD 2-Clause License", "Copyright (c) 2020, Jane Doe") + "All rights reserved.\n\n" + wrapped(S["bsd_grant"], "1. " + S["bsd_source"], "2. " + S["bsd_binary"], BSD),
+    "BSD-3-Clause": wrapped("BSD 3-Clause License", "Copyright (c) 2020, Jane Doe") + wrapped(S["bsd_grant"], "1. " + S["bsd_source"], "2. " + S["bsd_binary"], "3. " + S["bsd_names"], BSD),
+}
+
+
+@pytest.mark.parametrize("layout", ["plain", "tight", "comment", "windows"])
+def test_licence_files(spark, layout):
+    change = {
+        "plain": lambda t: t,
+        "tight": lambda t: t.replace("\n\n", "\n"),
+        "comment": lambda t: "/*\n" + "".join(f" * {line}".rstrip() + "\n" for line in t.splitlines()) + " */\n\nint x;",
+        "windows": lambda t: t.replace("1. ", "(1) ").replace("2. ", "b) ").replace("\n", "\r\n"),
+    }[layout]
+    rows = spark.createDataFrame([(n, change(t) + extra) for n, t in FILES.items() for extra in ("", "\nReleased under the\nMIT License.\n\nLicensed under CC0 1.0.\nx")], "doc_id string, text string")
+    for r in licenses.scan(rows).collect():
+        more = ["CC0-1.0", "MIT"] if r["text"].endswith("x") else []
+        assert set(r["licences"]) == {r["doc_id"], *more}, r
+
+
 def test_licences_odd_rows(odd, empty):
     rows = licenses.scan(odd)
     assert rows.count() == odd.count() and rows.columns[-3] == "_licences"
