@@ -3,8 +3,15 @@
 A text is lower-cased, everything ASCII that is no letter becomes a blank, and its 1- to 4-byte subwords are hashed to
 ``BUCKETS`` rows of an embedding table. The mean of a text's rows goes through a linear softmax. Table and softmax are
 trained by stochastic gradient descent in numpy on a bounded sample of labelled rows (``sample_rows`` in all, shared
-equally by the languages); a fifth of the sample is kept back to fit the temperature and the rejection threshold.
-Prediction uses whole texts, counted block by block.
+equally by the languages); a fifth of the sample is kept back to fit the temperature and a threshold of the score.
+
+A score tells languages apart but is high for foreign text too. So a text is also rejected if its subwords surprise: their
+mean negative log share among the subwords of the predicted language's sample rows is compared with a bound. Each fifth of
+the sample is held to the shares of the other four, and what it lies above its language's median counts. The bound is the
+median and ``MARGIN`` times the 99 % quantile of that, or the quantile that costs ``LOST`` of the rows if it is more (it rests
+on too few rows to be taken alone). Languages with fewer than ``FEW`` sample rows
+and samples of fewer than ``LEAST`` rows can't be calibrated and don't reject by surprise. Prediction uses whole texts,
+counted block by block.
 
 Null texts and texts without a letter are predicted ``und`` with score 0 and are rejected; so is every text if there is
 nothing to learn from. Rows without a label or an identifier are not learned from. Rows are predicted one by one, so
@@ -32,8 +39,10 @@ UNKNOWN = "und"
 MAX_LANGUAGES = 1000
 #: Share of right answers on the kept-back rows that rejection may cost.
 LOST = 0.001
-#: No calibrated score above this is ever rejected.
+#: No calibrated score above this is ever rejected for its score.
 CEILING = 0.4
+#: The bound of surprise: its margin, rows it takes, and the weight of even shares.
+MARGIN, FEW, LEAST, EVEN = 4.0, 5, 50, 0.01
 
 
 def _folded_bytes() -> bytes:
@@ -69,6 +78,12 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    surprise: np.ndarray  # bucket x language: negative log share
+    bound: np.ndarray  # of each language's mean surprise
+
+    def foreign(self, counts: np.ndarray, language: int) -> bool:
+        hit = counts.nonzero()[0]
+        return bool(counts[hit] @ self.surprise[hit, language] > self.bound[language] * counts.sum())
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
         hit = counts.nonzero()[0]
@@ -120,6 +135,40 @@ def _sample(docs: DataFrame, text: str, label: str, doc_id: str, sample_rows: in
     return [(a, c, d) for a, _, c, d in sorted(rows_, key=lambda r: (r[1], r[0], len(r[2])))]
 
 
+def _negative_log(mass: np.ndarray) -> np.ndarray:
+    """Negative log shares of buckets, mixed with even shares so that none is zero."""
+    share = mass / np.maximum(mass.sum(0), 1e-12)
+    return -np.log((1 - EVEN) * share + EVEN / BUCKETS).astype(np.float32)
+
+
+def surprises(rows: list[tuple], languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Negative log shares of all rows, and the bound of each language."""
+    place = {x: i for i, x in enumerate(languages)}
+
+    def mass_of(part: list[tuple]) -> np.ndarray:
+        mass = np.zeros((BUCKETS, len(languages)))
+        for label, hit, share in part:
+            mass[hit, place[label]] += share
+        return mass
+
+    whole = mass_of(rows)
+    own: list[list[float]] = [[] for _ in languages]
+    for fold in range(5):
+        rest = whole - mass_of(rows[fold::5])
+        log = _negative_log(np.maximum(rest, 0))
+        known = rest.sum(0) > 0.5
+        for label, hit, share in rows[fold::5]:
+            if known[place[label]]:
+                own[place[label]].append(float(share @ log[hit, place[label]]))
+    bound = np.full(len(languages), np.inf)
+    calibrated = [i for i, x in enumerate(own) if len(x) >= FEW]
+    above = np.concatenate([np.array(own[i]) - np.median(own[i]) for i in calibrated] or [np.zeros(0)])
+    if len(above) >= LEAST:
+        for i in calibrated:
+            bound[i] = np.median(own[i]) + max(MARGIN * np.quantile(above, 0.99), np.quantile(above, 1 - LOST))
+    return _negative_log(whole), bound
+
+
 def train(rows: list[tuple], width: int = 16, epochs: int = 12, rate: float = 10.0, seed: int = 7) -> Model | None:
     """Fit the model to ``(language, buckets, shares)`` rows."""
     if not rows:
@@ -148,7 +197,7 @@ def train(rows: list[tuple], width: int = 16, epochs: int = 12, rate: float = 10
             softmax -= step * np.outer(mean, p)
             bias -= 0.01 * step * p
             table[hit] = own - step * np.outer(share, back)
-    model = Model(languages, table @ softmax, bias, 1.0, 0.0)
+    model = Model(languages, table @ softmax, bias, 1.0, 0.0, *surprises(rows, languages))
     scored = [(share @ model.weights[hit] + bias, place[label]) for label, hit, share in kept_back]
     logits, truth = np.array([x for x, _ in scored]), np.array([y for _, y in scored])
 
@@ -178,7 +227,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str =
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` (default: all) with ``lang_pred``, ``score`` and ``rejected``."""
     # Plain values, so that executors without this package can read them.
-    shared = docs.sparkSession.sparkContext.broadcast(model and (model.languages, model.weights, model.bias, model.temperature, model.threshold))
+    shared = docs.sparkSession.sparkContext.broadcast(model and (model.languages, model.weights, model.bias, model.temperature, model.threshold, model.surprise, model.bound))
     keep = docs.columns if keep is None else keep
     names = [fresh_name(docs.select(*map(quoted, keep)), n) for n in ("lang_pred", "score", "rejected")]
     at, kept_at = docs.columns.index(text), [docs.columns.index(c) for c in keep]
@@ -194,9 +243,10 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
                 if not t or known is None or not letter(t):
                     found.append((UNKNOWN, 0.0, True))
                     continue
-                p = known.probabilities(subword_counts(t))
+                counts = subword_counts(t)
+                p = known.probabilities(counts)
                 best = int(p.argmax())
-                found.append((known.languages[best], float(p[best]), bool(p[best] < known.threshold)))
+                found.append((known.languages[best], float(p[best]), bool(p[best] < known.threshold) or known.foreign(counts, best)))
             new = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept_at), *new], [*(batch.schema.names[i] for i in kept_at), *names])
 

@@ -59,6 +59,31 @@ def test_language_held_out(spark):
     assert sum(r["rejected"] for r in rows) <= 0.001 * len(rows) and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def foreign_texts():
+    import base64
+
+    draw = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz    "
+    return [
+        "La mattina dopo la pioggia il mercato era pieno di gente che comprava verdure fresche e pane appena sfornato per la cena. ",
+        "Rano po deszczu targ był pełen ludzi, którzy kupowali świeże warzywa i dopiero co upieczony chleb na rodzinną kolację. ",
+        "Aamulla sateen jälkeen tori oli täynnä ihmisiä, jotka ostivat tuoreita vihanneksia ja vastapaistettua leipää. ",
+        "Утром после дождя рынок был полон людей, которые покупали свежие овощи и только что испечённый хлеб к ужину. ",
+        "雨后的早晨,市场上挤满了人,他们为家里的晚餐购买新鲜的蔬菜和刚出炉的面包。",
+        "".join(draw.choice(letters) for _ in range(400)),
+        base64.b64encode(draw.randbytes(300)).decode(),
+    ]
+
+
+def test_language_rejects_foreign_texts(spark):
+    """Unlearned languages and junk go, all clean rows that were held out stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    clean = langid.predict(docs.filter(langid.held_out()), model, keep=["doc_id"]).filter("rejected").count()
+    rows = langid.predict(spark.createDataFrame(list(enumerate(foreign_texts() + [t * 30 for t in foreign_texts()])), "doc_id long, text string"), model).collect()
+    assert clean == 0 and [r["text"][:20] for r in rows if not r["rejected"]] == []
+
+
 def test_language_ignores_labels_of_held_out_rows(documents):
     turned = documents.withColumn("lang", F.when(langid.held_out(), F.lit("zz")).otherwise(F.col("lang")))
     model = langid.fit(turned)
