@@ -6,8 +6,8 @@ holds a piece exactly where the item would lie. One automaton finds all pieces o
 the stretches around hits are verified with Myers' bit-parallel distance.
 
 Items travel to the executors in blocks of bounded size; more blocks mean more passes over the documents, and every item
-meets every whole text. Null or empty texts leak nothing. Items that are null or shorter than ``least`` characters are
-left out: so short a text proves no leak. Repeated rows and items are reported each; null identifiers stay null.
+meets every whole text. Null or empty texts leak nothing. Items of fewer than ``least`` characters are found without edits
+and at word borders only; items that are null or blank are left out. Repeated rows and items are reported each; null identifiers stay null.
 """
 
 from __future__ import annotations
@@ -67,14 +67,20 @@ def distance(masks: dict[str, int], size: int, text: str) -> tuple[int, int]:
     return best, where
 
 
+def _bordered(text: str, at: int) -> bool:
+    """Whether no word goes on across position ``at``."""
+    return not (0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum())
+
+
 class Matcher:
     """Find items of one block in normalised texts."""
 
-    def __init__(self, items: list[str], rate: float):
+    def __init__(self, items: list[str], rate: float, least: int = LEAST):
         import ahocorasick
 
         self.items = items
-        self.errors = [int(len(t) * rate) for t in items]
+        self.short = [len(t) < least for t in items]
+        self.errors = [0 if short else int(len(t) * rate) for t, short in zip(items, self.short)]
         self.masks: dict[int, dict[str, int]] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for i, item in enumerate(items):
@@ -98,6 +104,10 @@ class Matcher:
         out = []
         for i, where in sorted(starts.items()):
             item, errors = self.items[i], self.errors[i]
+            if self.short[i]:
+                whole = next((s for s in sorted(where) if _bordered(text, s) and _bordered(text, s + len(item))), None)
+                out += [] if whole is None else [(i, 0, whole, whole + len(item))]
+                continue
             stretches: list[list[int]] = []
             for s in sorted(where):
                 low, high = max(0, s - errors), min(len(text), s + len(item) + errors)
@@ -120,7 +130,7 @@ class Matcher:
         return out
 
 
-def _blocks(items: DataFrame, text: str, item_id: str, least: int, block_chars: int) -> Iterator[list[tuple]]:
+def _blocks(items: DataFrame, text: str, item_id: str, block_chars: int) -> Iterator[list[tuple]]:
     """Items as lists of (identifier, normalised text), each list within about ``block_chars`` characters."""
     rows = items.select(F.col(quoted(item_id)).alias("id"), F.col(quoted(text)).cast("string").alias("text")).filter("text is not null")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -128,7 +138,7 @@ def _blocks(items: DataFrame, text: str, item_id: str, least: int, block_chars:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(max(1, blocks))))
     for block in range(blocks):
         found = [(r["id"], normal(r["text"])) for r in rows.filter(F.col("block") == block).collect()]
-        yield sorted((x for x in found if len(x[1]) >= least), key=lambda x: (x[0] is not None, x[0], x[1]))
+        yield sorted((x for x in found if x[1]), key=lambda x: (x[0] is not None, x[0], x[1]))
 
 
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str] | None = None, item_text: str = "text", item_id: str = "item_id", rate: float = RATE, least: int = LEAST, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -150,7 +160,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str]
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher, ids = None, [i for i, _ in shared.value]
             for batch in batches:
-                matcher = matcher or Matcher([t for _, t in shared.value], rate)
+                matcher = matcher or Matcher([t for _, t in shared.value], rate, least)
                 rows, found = [], []
                 for i, t in enumerate(batch.column(at).to_pylist()):
                     hits = matcher.find(normal(t))
@@ -164,7 +174,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str]
         return map_arrow(docs, run, schema)
 
     found = None
-    for block in _blocks(items, item_text, item_id, least, block_chars):
+    for block in _blocks(items, item_text, item_id, block_chars):
         part = one(block)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else one([])
@@ -173,13 +183,13 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str]
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", rate: float = RATE, least: int = LEAST, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that leak no item, by one pass for each block of items."""
     at = docs.columns.index(text)
-    for block in _blocks(items, item_text, item_id, least, block_chars):
+    for block in _blocks(items, item_text, item_id, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast([t for _, t in block])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = None
             for batch in batches:
-                matcher = matcher or Matcher(shared.value, rate)
+                matcher = matcher or Matcher(shared.value, rate, least)
                 yield batch.filter(pa.array([not matcher.find(normal(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = map_arrow(docs, run, docs.schema)

@@ -282,6 +282,14 @@ def test_leaks_against_full_distances(spark):
         assert left == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_short_items_are_searched_exactly(spark):
+    items = spark.createDataFrame([(1, "What is 2 + 2?"), (2, "art"), (3, " ")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Q: what  is 2 + 2? Four."), (2, "What is 2 + 3?"), (3, "A party; smart."), (4, "Party of art."), (5, "art")], "doc_id long, text string")
+    hits = {(r["doc_id"], x["item_id"], x["edits"], x["end"]) for r in decontaminate.leaks(docs, items).collect() for x in r["leaks"]}
+    assert hits == {(1, 1, 0, 17), (4, 2, 0, 12), (5, 2, 0, 3)}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, items).collect()} == {2, 3}
+
+
 def test_leaks_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "A text without an identifier. And then some more."), (3, "word1 of a long text. word2 of a long text.")], "item_id long, text string")
     hits = {(r["doc_id"], x["item_id"]) for r in decontaminate.leaks(odd, items, keep=["doc_id"]).collect() for x in r["leaks"]}
