@@ -28,6 +28,21 @@ STRETCH = 1 << 20
 #: The pattern of byte-level pre-tokens (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Code points that newer Unicode tables call letters or numbers and the library's don't (fixed values, hexadecimal).
+NEWER = """
+0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D
+107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F
+12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2
+18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF
+1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD
+323B0-33479 3D000-3FC3F
+"""
+
+
+def newer_class() -> str:
+    """``NEWER`` as the inside of a character class."""
+    return "".join("-".join(f"\\U{int(end, 16):08X}" for end in run.split("-")) for run in NEWER.split())
+
 
 def byte_letters() -> list[str]:
     """The letter by which a byte-level vocabulary writes each byte: printable ones as they are, the rest from U+0100 on."""
@@ -105,11 +120,15 @@ class _Remembered(dict):
 class Counter:
     """Count the tokens of whole texts."""
 
-    def __init__(self, first: list[int], pairs: dict[tuple[int, int], tuple[int, int]], added: list[str], pattern: str = PATTERN):
+    def __init__(self, first: list[int], pairs: dict[tuple[int, int], tuple[int, int]], added: list[str]):
         import regex
 
         self.first, self.pairs = first, pairs
-        self.find = regex.compile(pattern)
+        self.pattern = regex.compile(PATTERN)
+        self.newer = regex.compile(f"[{newer_class()}]")
+        # Slower, so only for texts with such code points.
+        older = PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\s[\p{L}\p{N}--[NEWER]]]").replace(r"?\p{L}", r"?[\p{L}--[NEWER]]").replace(r"?\p{N}", r"?[\p{N}--[NEWER]]")
+        self.older = regex.compile("(?V1)" + older.replace("NEWER", newer_class()))
         longest = sorted(added, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, longest))) if longest else None
         self.known = _Remembered(self.part)
@@ -125,9 +144,10 @@ class Counter:
         return len(pieces) - 1 + sum(map(self._plain, pieces))
 
     def _plain(self, text: str) -> int:
+        find = self.older if self.newer.search(text) else self.pattern
         if len(text) <= STRETCH:
-            return sum(map(self.known.__getitem__, self.find.findall(text)))
-        return sum(self.known[m.group()] for m in self.find.finditer(text))
+            return sum(map(self.known.__getitem__, find.findall(text)))
+        return sum(self.known[m.group()] for m in find.finditer(text))
 
 
 def count(docs: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
