@@ -46,6 +46,19 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return plain.mapInArrow(renamed, kinds).toDF(*schema.names)
 
 
+def stretches(data: bytes, size: int = 4 << 20) -> Iterator[bytes]:
+    """``data`` in pieces of about ``size`` that end behind a blank (0x20); a longer word stays whole."""
+    at = 0
+    while at < len(data):
+        end = at + size
+        if end < len(data):
+            cut = data.rfind(b" ", at, end)
+            cut = data.find(b" ", end) if cut < 0 else cut
+            end = len(data) if cut < 0 else cut + 1
+        yield data[at:end]
+        at = end
+
+
 def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """Label every node of ``links`` (columns ``a``, ``b``, any orderable type) with its component's smallest node.
 
