@@ -7,8 +7,8 @@ counts per fingerprint. Where the second polynomials of a fingerprint differ, it
 pointers of that fingerprint are kept instead of one. Pointers of frequent fingerprints are joined with the documents, cut
 out of the text and counted again by the words themselves, so only frequent phrases are ever written out.
 
-An n-gram is only frequent if both (n-1)-grams in it are, so each length looks up the shorter one in a bitmap of fixed size
-(false hits cost rows, never results).
+A pair is only frequent if both words are, and a longer n-gram if all pairs in it are, so the frequent ones are looked up in
+a bitmap of fixed size (false hits cost rows, never results).
 
 ``A-Z`` are lower-cased, pieces end at ``. , ; : ! ?`` and line breaks (0A to 0D), words are cut at blanks and tabs. Null texts are
 empty, a null language is ``und``. Repeated rows count each; ties follow the stated order; texts are read whole, in
@@ -74,15 +74,16 @@ class _Chunk:
     def __init__(self):
         self.ids, self.parts, self.size, self.langs = _Ids({BREAK: 0}), [], 0, {}
 
-    def add(self, numbers: np.ndarray, doc: int, first: int, lang: str) -> None:
-        """A stretch of a document whose first word has the number ``first``."""
-        self.parts.append((numbers, doc, first, self.langs.setdefault(lang, len(self.langs))))
+    def add(self, numbers: np.ndarray, doc: int, first: int, lang: str, known: int) -> None:
+        """A stretch of a document whose first word has the number ``first``; n-grams within its ``known`` first words were counted."""
+        self.parts.append((numbers, doc, first, self.langs.setdefault(lang, len(self.langs)), known))
         self.size += len(numbers)
 
-    def grams(self, n: int, shorter: np.ndarray | None, bits: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """(fingerprint, second polynomial, count, document, word) of every different n-gram, and the words per language.
+    def grams(self, orders: tuple[int, ...], pairs: np.ndarray | None, shorter: int, bits: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(fingerprint, mark, count, document, word) of every different n-gram, n in ``orders``, and the words per language.
 
-        ``shorter`` is the bitmap of frequent (n-1)-grams.
+        Only n-grams whose ``shorter``-grams are all in the bitmap ``pairs`` count. A mark is 32 bits of the second polynomial
+        below the number n.
         """
         import xxhash
 
@@ -90,66 +91,73 @@ class _Chunk:
         ids = np.concatenate([p[0] for p in self.parts])
         sizes = np.array([len(p[0]) for p in self.parts])
         ends = np.cumsum(sizes)
-        which = np.repeat(np.arange(len(sizes)), sizes)
+        which = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         # The number of a word within its document counts words only.
         real = np.cumsum(ids != 0)
         before = np.concatenate([[0], real])[ends - sizes]
         lang = np.array([p[3] for p in self.parts], np.int64)
+        docs, firsts, known = (np.array([p[j] for p in self.parts], np.int64) for j in (1, 2, 4))
         lists = list(self.ids)
         hashed, again = (np.array([xxhash.xxh64_intdigest(w, seed) for w in lists], np.uint64) for seed in (42, 43))
         tongue = np.array([xxhash.xxh64_intdigest(t.encode(), 7) for t in self.langs], np.uint64)
         powers, back = _powers(BASE, size + 1), _powers(pow(BASE, -1, 1 << 64), size + 1)
         prefix = np.zeros(size + 1, np.uint64)
         np.cumsum(hashed[ids] * powers[:size], out=prefix[1:])
+        del powers
         # Breaks, and the ends of stretches, lie ahead at this distance.
         stops = np.where(ids == 0, np.arange(size), size)
-        limit = np.minimum(np.minimum.accumulate(stops[::-1])[::-1], ends[which])
+        room = np.minimum(np.minimum.accumulate(stops[::-1])[::-1], ends[which]) - np.arange(size)
+        low = np.uint64(MASK >> (64 - bits))
 
         def fingerprints(at: np.ndarray, m: int) -> np.ndarray:
             poly = (prefix[at + m] - prefix[at]) * back[at] + tongue[lang[which[at]]] * np.uint64(2 * m + 1)
             poly ^= poly >> np.uint64(29)
             poly *= np.uint64(OTHER)
             poly ^= poly >> np.uint64(32)
-            return poly & np.uint64(MASK >> (64 - bits))
-
-        at = np.flatnonzero(limit - np.arange(size) >= n)
-        if shorter is not None and len(at):
-            at = at[has(shorter, fingerprints(at, n - 1))]
-            at = at[has(shorter, fingerprints(at + 1, n - 1))]
-        if n == 1:
-            # One row per language counts all its words; its place is -1.
+            return poly & low
+
+        if orders[0] == 1:
+            # One row per language counts all its words; its place is -1, its n is 0.
             counts = np.bincount(lang[which], weights=ids != 0, minlength=len(self.langs)).astype(np.int64)
-            for name, k in self.langs.items():
-                if counts[k]:
-                    doc = next(p[1] for p in self.parts if p[3] == k)
-                    own = np.array([tongue[k] & np.uint64(MASK >> (64 - bits))])
-                    yield own, tongue[k : k + 1] >> np.uint64(32), counts[k : k + 1], np.array([doc]), np.array([-1])
-        if not len(at):
-            return
-        fp = fingerprints(at, n)
-        order = np.argsort(fp, kind="stable")
-        fp, at = fp[order], at[order]
-        first = np.concatenate([[True], fp[1:] != fp[:-1]])
-        group = np.cumsum(first) - 1
-        same = lang[which[at]] == lang[which[at[first]]][group]
-        for j in range(n):
-            same &= ids[at + j] == ids[at[first] + j][group]
-        if not same.all():
-            # Fingerprints that several phrases of the chunk share: sort those by the words.
-            keys = np.column_stack([group, lang[which[at]], *(ids[at + j] for j in range(n))])
-            order = np.lexsort(keys.T[::-1])
-            keys, fp, at = keys[order], fp[order], at[order]
-            first = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
-        start = np.flatnonzero(first)
-        at, fp = at[start], fp[start]
-        second = tongue[lang[which[at]]].copy()
-        for j in range(n):
-            second = (second ^ again[ids[at + j]]) * np.uint64(OTHER)
-            second ^= second >> np.uint64(31)
-        docs = np.array([p[1] for p in self.parts], np.int64)
-        firsts = np.array([p[2] for p in self.parts], np.int64)
-        place = real[at] - 1 - before[which[at]] + firsts[which[at]]
-        yield fp, second >> np.uint64(32), np.diff(np.append(start, len(first))), docs[which[at]], place
+            for k in np.flatnonzero(counts):
+                doc = docs[np.argmax(lang == k)]
+                yield tongue[k : k + 1] & low, tongue[k : k + 1] >> np.uint64(32), counts[k : k + 1], np.array([doc]), np.array([-1])
+        if pairs is not None:
+            # The shorter n-gram at each place is looked up once, then a longer one needs a run of them.
+            usual = np.zeros(size + 1, np.int32)
+            at = np.flatnonzero(room >= shorter)
+            usual[at[has(pairs, fingerprints(at, shorter))] + 1] = 1
+            usual = np.cumsum(usual)
+        for n in orders:
+            at = np.flatnonzero(room >= n)
+            at = at[at + n > (ends - sizes + known)[which[at]]]
+            if pairs is not None:
+                span = n - shorter + 1
+                at = at[usual[at + span] - usual[at] == span]
+            if not len(at):
+                continue
+            fp = fingerprints(at, n)
+            order = np.argsort(fp, kind="stable")
+            fp, at = fp[order], at[order]
+            first = np.concatenate([[True], fp[1:] != fp[:-1]])
+            group = np.cumsum(first) - 1
+            same = lang[which[at]] == lang[which[at[first]]][group]
+            for j in range(n):
+                same &= ids[at + j] == ids[at[first] + j][group]
+            if not same.all():
+                # Fingerprints that several phrases of the chunk share: sort those by the words.
+                keys = np.column_stack([group, lang[which[at]], *(ids[at + j] for j in range(n))])
+                order = np.lexsort(keys.T[::-1])
+                keys, fp, at = keys[order], fp[order], at[order]
+                first = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
+            start = np.flatnonzero(first)
+            at, fp = at[start], fp[start]
+            second = tongue[lang[which[at]]].copy()
+            for j in range(n):
+                second = (second ^ again[ids[at + j]]) * np.uint64(OTHER)
+                second ^= second >> np.uint64(31)
+            place = real[at] - 1 - before[which[at]] + firsts[which[at]]
+            yield fp, second >> np.uint64(32) | np.uint64(n << 32), np.diff(np.append(start, len(first))), docs[which[at]], place
 
 
 def fingerprint(found: list[bytes], lang: str, bits: int = 64) -> int:
@@ -184,51 +192,53 @@ def bitmap_of(frequent: DataFrame) -> np.ndarray:
     return out
 
 
-def _partials(docs: DataFrame, n: int, shorter: np.ndarray | None, bits: int) -> DataFrame:
+def _partials(docs: DataFrame, orders: tuple[int, ...], pairs: np.ndarray | None, shorter: int, bits: int) -> DataFrame:
     """Rows of ``_Chunk.grams`` over ``docs`` (``doc``, ``lang``, ``text``)."""
-    shared = docs.sparkSession.sparkContext.broadcast(shorter) if shorter is not None else None
+    shared = docs.sparkSession.sparkContext.broadcast(pairs) if pairs is not None else None
+    longest = orders[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
-            for fp, second, count, doc, place in chunk.grams(n, shared.value if shared else None, bits) if chunk.size else ():
+            for fp, second, count, doc, place in chunk.grams(orders, shared.value if shared else None, shorter, bits) if chunk.size else ():
                 for at in range(0, len(fp), 100_000):
                     cut = slice(at, at + 100_000)
                     columns = [fp[cut].view(np.int64), second[cut].astype(np.int64), count[cut], doc[cut], place[cut]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["fp", "second", "c", "doc", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["fp", "mark", "c", "doc", "place"])
 
         chunk = _Chunk()
         for batch in batches:
             for doc, lang, text in zip(*(batch.column(i) for i in range(3))):
                 doc, lang, carry, first = doc.as_py(), lang.as_py(), [], 0
                 for found in words((text.as_py() or "").encode()):
-                    # The last n-1 words before a cut are read again, so that n-grams across it count, once each.
+                    # The last words before a cut are read again, so that n-grams across it count.
                     found = carry + found
-                    chunk.add(np.fromiter(map(chunk.ids.__getitem__, found), np.int32, len(found)), doc, first, lang)
-                    carry = found[max(len(found) - n + 1, 0) :] if n > 1 else []
+                    chunk.add(np.fromiter(map(chunk.ids.__getitem__, found), np.int32, len(found)), doc, first, lang, len(carry))
+                    carry = found[max(len(found) - longest + 1, 0) :] if longest > 1 else []
                     first += len(found) - found.count(BREAK) - len(carry) + carry.count(BREAK)
                     if chunk.size >= CHUNK:
                         yield from flush(chunk)
                         chunk = _Chunk()
         yield from flush(chunk)
 
-    return docs.mapInArrow(run, "fp long, second long, c long, doc long, place long")
+    return docs.mapInArrow(run, "fp long, mark long, c long, doc long, place long")
 
 
-def _frequent(docs: DataFrame, n: int, shorter: np.ndarray | None, least: int, bits: int) -> DataFrame:
-    """Pointers of n-grams whose fingerprints are frequent: ``fp``, ``doc``, ``place``, ``n``, ``c``, written to shared storage."""
-    partials = _partials(docs, n, shorter, bits)
+def _frequent(docs: DataFrame, orders: tuple[int, ...], pairs: np.ndarray | None, shorter: int, least: int, bits: int) -> DataFrame:
+    """Pointers of n-grams whose fingerprints are frequent: ``fp``, ``doc``, ``place``, ``c``, ``n``, written to shared storage."""
+    partials = _partials(docs, orders, pairs, shorter, bits)
     sums = partials.groupBy("fp").agg(
-        F.sum("c").alias("c"), F.first("doc").alias("doc"), F.first("place").alias("place"), F.min("second").alias("s"), F.max("second").alias("t")
+        F.sum("c").alias("c"), F.first("doc").alias("doc"), F.first("place").alias("place"), F.min("mark").alias("mark"), F.max("mark").alias("other")
     )
-    wanted = (F.col("c") >= least) | (F.col("place") < 0)
-    kept = cut_lineage(sums.filter(wanted))
-    shared = kept.filter("s <> t").select("fp")
-    single = kept.filter("s = t").select("fp", "doc", "place", "c")
+    kept = cut_lineage(sums.filter((F.col("c") >= least) | (F.col("place") < 0)))
+    shared = kept.filter("mark <> other").select("fp")
+    single = kept.filter("mark = other").select("fp", "doc", "place", "c", "mark")
     if not shared.isEmpty():
         # Several phrases under one fingerprint: all its pointers are read from the text.
-        single = single.unionByName(partials.join(shared.hint("shuffle_merge"), "fp", "left_semi").select("fp", "doc", "place", "c"))
+        pointers = partials.join(shared.hint("shuffle_merge"), "fp", "left_semi")
+        # Equal rows in several chunks have equal pointers.
+        single = single.unionByName(pointers.groupBy("fp", "doc", "place", "mark").agg(F.sum("c").alias("c")))
         single = cut_lineage(single)
-    return single.withColumn("n", F.when(F.col("place") < 0, 0).otherwise(n).cast("int"))
+    return single.select("fp", "doc", "place", "c", F.shiftright("mark", 32).cast("int").alias("n"))
 
 
 def _cut_out(docs: DataFrame, pointers: DataFrame, bits: int) -> DataFrame:
@@ -264,15 +274,14 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     """
     string, tongue = F.col(quoted(text)).cast("string"), F.coalesce(F.col(quoted(lang)).cast("string"), F.lit(UNKNOWN))
     keyed = docs.select(F.xxhash64(F.col(quoted(doc_id)), tongue, string).alias("doc"), tongue.alias("lang"), string.alias("text")).filter("text is not null")
-    shorter, found = None, []
-    for n in range(1, longest + 1):
-        frequent = _frequent(keyed, n, shorter, least, bits)
-        found.append(frequent)
-        if n < longest:
-            shorter = bitmap_of(frequent.filter("n > 0").select("fp"))
-    pointers = found[0]
-    for frequent in found[1:]:
-        pointers = pointers.unionByName(frequent)
+    # Words first, then pairs of frequent words, then whatever consists of frequent pairs.
+    plan = [(1,), (2,), tuple(range(3, longest + 1))]
+    bitmap, pointers = None, None
+    for at, orders in enumerate(o for o in plan if o and o[0] <= longest):
+        frequent = _frequent(keyed, orders, bitmap, at, least, bits)
+        pointers = frequent if pointers is None else pointers.unionByName(frequent)
+        if orders[-1] < longest:
+            bitmap = bitmap_of(frequent.filter("n > 0").select("fp"))
     phrases = _cut_out(keyed, pointers, bits).groupBy("lang", "phrase", "n").agg(F.sum("c").alias("f"))
     return cut_lineage(phrases.filter(f"f >= {int(least)} or n = 0"))
 
