@@ -1 +1,8 @@
-"""Distributed classifiers that produce one probability array per row."""
+"""Classifiers."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Worker functions travel with their helpers, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

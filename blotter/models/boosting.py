@@ -1,36 +1,52 @@
-"""Softmax gradient boosting on MLlib regression trees.
+"""Softmax gradient boosting on histograms.
 
-Every round fits one tree per class to the Newton target -g/h with weight h,
-then sets the leaf values from the gradient sums of all rows in a leaf, with
-the L1 and L2 penalties. The class trees of a round are independent and are
-fitted from a small driver thread pool.
+Features are binned once. A level of all class trees of a round is one job: every task adds up gradients and hessians by
+(class tree, node, bin) over its blocks, the sums of a node meet in one place, and the best split by the penalised gain
+comes back - one short row per node, whatever the data. Leaf values are read off the same sums. So a round takes as many
+jobs as trees have levels, however many classes there are. Gradients are summed as integers (fixed point), hence the
+trees do not depend on how rows are dealt out.
 
-Approximations, because MLlib's split search is used as it is: the penalties
-act on leaf values, not on the choice of splits, and ``gamma`` is passed as
-the minimum impurity decrease, whose scale differs.
+Where the rows of all nodes asked for fit into ``GATHERED`` bytes, they are brought together by node instead and the rest of
+the tree below is grown there from the same sums by the same rule: one job in place of a level each, with equal results.
+
+``max_leaves`` grows leaf by leaf, best gain first: the splits of all leaves that may come next are asked for in one job,
+and the order is settled from the gains. ``early_stopping`` keeps a share of the rows back and stops when their loss has
+not improved for some rounds.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
 import random
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-from pyspark import inheritable_thread_target
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import VectorSlicer
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blotter.functions.probability import mapped, number, numbers, softmax, terms
-from blotter.models.mllib import allowed_depth
+from blotter.functions.probability import softmax
+from blotter.models import binned
+from blotter.models.nodes import SCHEMA, SENT_BYTES, Walker, summed, summed_by_join
 from blotter.models.prior import class_counts
-from blotter.session import bounded_rows, cut_lineage
+from blotter.session import scratch_path
 
 MIN_HESSIAN = 1e-16
-SAMPLE_SLOTS = 1_000_000
+MIN_GAIN = 1e-6
+#: Cells of a task's sums; levels with more are done in several jobs.
+CELLS = 1 << 24
+#: Cells of sums that one task puts together.
+REDUCED = 1 << 18
+#: Bytes of rows that a job may bring together to grow whole subtrees.
+GATHERED = 64 << 20
+#: Above so many rows ``early_stopping="auto"`` stops early.
+AUTO_ROWS = 10_000
+PATIENCE, TOLERANCE, HELD_SHARE = 10, 1e-7, 0.1
+LOSS = -1  # stands for a class tree in rows that carry the loss of kept-back rows
 
 
 def leaf_value(g: float, h: float, alpha: float, lam: float) -> float:
@@ -39,11 +55,156 @@ def leaf_value(g: float, h: float, alpha: float, lam: float) -> float:
     return -pulled / (h + lam) if h + lam > 0 else 0.0
 
 
+def score_of(g: np.ndarray, h: np.ndarray, alpha: float, lam: float) -> np.ndarray:
+    """What a node's Newton step takes off the loss, doubled."""
+    pulled = np.maximum(np.abs(g) - alpha, 0.0)
+    return np.divide(pulled * pulled, h + lam, out=np.zeros_like(pulled), where=h + lam > 0)
+
+
+@dataclass
+class Split:
+    feature: int
+    bin: int
+    gain: float
+    left: tuple[float, float, float]
+    right: tuple[float, float, float]
+
+
+@dataclass
+class Known:
+    """What a job found out about a node: its sums, its best split, and the places of its children in the answer (or None)."""
+
+    total: tuple[float, float, float]
+    split: Split | None
+    children: tuple[int, int] | None = None
+
+
+@dataclass
+class Rule:
+    """How splits are chosen: the settings, and where the bins of each feature begin."""
+
+    offsets: np.ndarray
+    scale: float
+    alpha: float
+    lam: float
+    gamma: float
+    least: float
+    min_leaf: int
+
+    def best(self, part: np.ndarray, take: list[int] | None) -> Known:
+        """From the sums (gradients, hessians, rows) of a node by bin."""
+        offsets, scale = self.offsets, self.scale
+        total = part[:, : offsets[1]].sum(axis=1)
+        # Sums up to each bin, feature by feature.
+        upto = np.cumsum(part, axis=1)
+        upto -= np.repeat((upto - part)[:, offsets[:-1]], np.diff(offsets), axis=1)
+        gl, hl = upto[0] / scale, upto[1] / scale
+        gr, hr = (total[0] - upto[0]) / scale, (total[1] - upto[1]) / scale
+        g, h, n = total[0] / scale, total[1] / scale, float(total[2])
+        gain = score_of(gl, hl, self.alpha, self.lam) + score_of(gr, hr, self.alpha, self.lam) - score_of(np.array([g]), np.array([h]), self.alpha, self.lam)
+        least = max(self.least, 1e-300)
+        may = (hl >= least) & (hr >= least) & (upto[2] >= self.min_leaf) & (total[2] - upto[2] >= self.min_leaf)
+        if take is not None:
+            chosen = np.zeros(len(offsets) - 1, bool)
+            chosen[take] = True
+            may &= np.repeat(chosen, np.diff(offsets))
+        if not may.any():
+            return Known((g, h, n), None)
+        gain = np.where(may, gain, -np.inf)
+        # Equal gains go to the first feature and bin, also when they differ in the last digits.
+        best = int(np.argmax(gain >= gain.max() - 1e-12 * abs(gain.max())))
+        if gain[best] <= MIN_GAIN or gain[best] < self.gamma:
+            return Known((g, h, n), None)
+        f = int(np.searchsorted(offsets, best, "right")) - 1
+        sides = [(float(a[best]), float(b[best]), float(c)) for a, b, c in ((gl, hl, upto[2][best]), (gr, hr, total[2] - upto[2][best]))]
+        return Known((g, h, n), Split(f, best - int(offsets[f]), float(gain[best]), *sides))
+
+    def sums(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, slot: np.ndarray | int = 0, slots: int = 1) -> np.ndarray:
+        """(3, slots, bins) sums of rows; exact, since a block's whole numbers fit into doubles."""
+        cells = int(self.offsets[-1])
+        at = (x + self.offsets[:-1, None] + slot * cells).ravel()
+        out = np.empty((3, slots, cells), np.int64)
+        for channel, weight in enumerate((g, h)):
+            out[channel] = np.bincount(at, np.broadcast_to(weight, x.shape).ravel(), slots * cells).astype(np.int64).reshape(slots, cells)
+        out[2] = np.bincount(at, minlength=slots * cells).reshape(slots, cells)
+        return out
+
+    def subtree(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, take: list[int] | None, depth: int | None, leaves: int | None) -> list[Known]:
+        """The tree below a node whose rows are all here, the best gain first when the number of leaves is bounded."""
+
+        def whole(rows: np.ndarray) -> np.ndarray:
+            # Few enough rows at a time for exact sums in doubles.
+            return sum(self.sums(x[:, part], g[part], h[part])[:, 0] for part in np.array_split(rows, len(rows) // binned.BLOCK_ROWS + 1))
+
+        rows = np.arange(x.shape[1])
+        part = whole(rows)
+        out = [self.best(part, take)]
+        heap = [(0.0 if leaves is None else -out[0].split.gain, 0, 0, rows, part)] if out[0].split else []
+        grown = 1
+        while heap and (leaves is None or grown < leaves):
+            _, place, level, rows, part = heapq.heappop(heap)
+            if depth is not None and level >= depth:
+                continue
+            split = out[place].split
+            goes = x[split.feature, rows] <= split.bin
+            sides = [rows[goes], rows[~goes]]
+            small = int(len(sides[1]) < len(sides[0]))
+            sums = [None, None]
+            sums[small] = whole(sides[small])
+            sums[1 - small] = part - sums[small]
+            out[place].children = (len(out), len(out) + 1)
+            grown += 1
+            for side in (0, 1):
+                found = self.best(sums[side], take)
+                if found.split:
+                    heapq.heappush(heap, (float(len(out)) if leaves is None else -found.split.gain, len(out), level + 1, sides[side], sums[side]))
+                out.append(found)
+        return out
+
+
+@dataclass
+class Tree:
+    """A class tree while it grows: parallel lists by node, and the splits known for leaves."""
+
+    feature: list[int] = field(default_factory=lambda: [-1])
+    bin: list[int] = field(default_factory=lambda: [0])
+    left: list[int] = field(default_factory=lambda: [0])
+    right: list[int] = field(default_factory=lambda: [0])
+    sums: list[tuple[float, float, int] | None] = field(default_factory=lambda: [None])
+    gain: list[float] = field(default_factory=lambda: [0.0])
+    value: list[float] = field(default_factory=lambda: [0.0])
+
+    def split(self, node: int, s: Split) -> None:
+        self.feature[node], self.bin[node], self.gain[node] = s.feature, s.bin, s.gain
+        self.left[node], self.right[node] = len(self.feature), len(self.feature) + 1
+        for sums in (s.left, s.right):
+            for column, empty in ((self.feature, -1), (self.bin, 0), (self.left, 0), (self.right, 0), (self.gain, 0.0), (self.value, 0.0)):
+                column.append(empty)
+            self.sums.append(sums)
+
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return np.array(self.feature, np.int16), np.array(self.bin, np.uint8), np.array(self.left, np.int32), np.array(self.right, np.int32), np.array(self.value)
+
+
+def walk(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Node of each row of a binned block."""
+    feature, bins, left, right, _ = tree
+    at, rows = np.zeros(x.shape[1], np.int32), np.arange(x.shape[1])
+    while True:
+        f = feature[at]
+        inner = f >= 0
+        if not inner.any():
+            return at
+        at = np.where(inner, np.where(x[np.maximum(f, 0), rows] <= bins[at], left[at], right[at]), at)
+
+
 class SoftmaxBoosting(Estimator):
+    """``prior_start`` begins with the logs of the class shares instead of equal margins; ``hessian`` scales p (1 - p)."""
+
     def __init__(
         self,
         rounds: int = 300,
-        depth: int = 6,
+        depth: int | None = 6,
         eta: float = 0.1,
         subsample: float = 1.0,
         colsample: float = 1.0,
@@ -51,160 +212,342 @@ class SoftmaxBoosting(Estimator):
         alpha: float = 0.0,
         lam: float = 1.0,
         gamma: float = 0.0,
-        max_bins: int = 256,
+        max_bins: int = binned.MAX_BINS,
         seed: int = 12345,
         features_col: str = "features",
         label_col: str = "label",
-        parallelism: int = 8,
-        checkpoint_every: int = 5,
+        checkpoint_every: int = 10,
         min_leaf: int = 1,
-        depth_limit: int | None = None,
+        max_leaves: int | None = None,
+        early_stopping: bool | str = False,
+        prior_start: bool = False,
+        hessian: float = 2.0,
     ):
         super().__init__()
-        self.rounds, self.depth, self.eta = rounds, allowed_depth(depth, depth_limit), eta
-        self.min_leaf = min_leaf
+        if depth is None and max_leaves is None:
+            raise ValueError("trees need a depth or a number of leaves")
+        self.rounds, self.depth, self.eta, self.min_leaf, self.max_leaves = rounds, depth, eta, min_leaf, max_leaves
         self.subsample, self.colsample, self.min_child_weight = subsample, colsample, min_child_weight
         self.alpha, self.lam, self.gamma, self.max_bins, self.seed = alpha, lam, gamma, max_bins, seed
-        self.features_col, self.label_col = features_col, label_col
-        self.parallelism, self.checkpoint_every = parallelism, checkpoint_every
+        self.features_col, self.label_col, self.checkpoint_every = features_col, label_col, checkpoint_every
+        self.early_stopping, self.prior_start, self.hessian = early_stopping, prior_start, hessian
+
+    @classmethod
+    def histogram(cls, rounds: int = 200, eta: float = 0.1, max_leaves: int = 31, lam: float = 0.0, seed: int = 12345, **options) -> "SoftmaxBoosting":
+        """Leaf-wise boosting with early stopping above ``AUTO_ROWS`` rows."""
+        settings = dict(depth=None, min_child_weight=1e-3, min_leaf=20, early_stopping="auto", prior_start=True, hessian=1.0)
+        return cls(rounds, eta=eta, lam=lam, seed=seed, max_leaves=max_leaves, **{**settings, **options})
 
     def _fit(self, dataset: DataFrame) -> "SoftmaxBoostingModel":
         counts = class_counts(dataset, self.label_col)
-        n = max(counts) + 1
+        rows, n = sum(counts.values()), max(counts) + 1
+        array = binned.as_array(dataset, self.features_col)
+        width = dataset.select(F.size(array)).first()[0]
+        edges = binned.learn_edges(dataset, self.features_col, width, self.max_bins)
         others = [c for c in dataset.columns if c != self.features_col]
-        # Write the inputs once: the rounds must not rerun the feature plan, and a
-        # lost executor must find the same rows again.
-        state = cut_lineage(
-            dataset.hint("rebalance").select(
-                F.col(self.features_col).alias("features"),
-                F.col(self.label_col).cast("int").alias("label"),
-                F.xxhash64(*others, self.features_col).alias("row"),
-                F.expr(numbers([0.0] * n)).alias("margin"),
-            )
-        )
-        width = state.select("features").first()[0].size
-        rng = random.Random(self.seed)
-        ensemble = []
-        held = None
-        for r in range(self.rounds):
-            grown, state, held = self._round(r, state, held, n, width, rng)
-            ensemble.append(grown)
-        if held is not None:
-            held.unpersist()
-        return SoftmaxBoostingModel(n, width, ensemble, self.features_col)
-
-    def _round(self, r, state, held, n, width, rng):
-        scored = softmax(state, n, "margin", "_p")
-        g = terms("_p[{i}] - cast(label = {i} as double)", n, ", ")
-        h = mapped("_p", n, "greatest(2 * {x} * (1 - {x}), " + number(MIN_HESSIAN) + ")")
-        graded = scored.select("features", "label", "row", "margin", F.expr(f"array({g})").alias("g"), h.alias("h"))
-        drawn = F.pmod(F.xxhash64("row", F.lit(self.seed), F.lit(r)), F.lit(SAMPLE_SLOTS)) < int(self.subsample * SAMPLE_SLOTS)
-        graded = graded.withColumn("drawn", drawn if self.subsample < 1 else F.lit(True)).persist()
-        sums = graded.filter("drawn").agg(*[F.sum(F.col("h")[k]).alias(f"h{k}") for k in range(n)]).first()
-        if held is not None:
-            held.unpersist()
-
-        picks = [
-            sorted(rng.sample(range(width), max(1, math.ceil(self.colsample * width)))) if self.colsample < 1 else None
-            for _ in range(n)
-        ]
-
-        def grow(k):
-            rows = graded.filter("drawn").select(
-                "features", (-F.col("g")[k] / F.col("h")[k]).alias("target"), F.col("h")[k].alias("weight")
-            )
-            column = "features"
-            if picks[k] is not None:
-                rows = VectorSlicer(inputCol="features", outputCol="sliced", indices=picks[k]).transform(rows)
-                column = "sliced"
-            share = self.min_child_weight / sums[f"h{k}"] if sums[f"h{k}"] else 0.0
-            # Two children can't both hold more than half of the weight: such a tree is one leaf.
-            fraction, depth = (share, self.depth) if share < 0.5 else (0.0, 0)
-            return DecisionTreeRegressor(
-                featuresCol=column,
-                labelCol="target",
-                weightCol="weight",
-                maxDepth=depth,
-                minInstancesPerNode=self.min_leaf,
-                maxBins=self.max_bins,
-                minInfoGain=self.gamma,
-                minWeightFractionPerNode=fraction,
-                seed=self.seed,
-            ).fit(rows)
-
-        with ThreadPoolExecutor(self.parallelism) as pool:
-            trees = list(pool.map(inheritable_thread_target(graded.sparkSession)(grow), range(n)))
-
-        placed = graded
+        key = F.xxhash64(*others, self.features_col)
+        data = binned.blocks(dataset, self.features_col, self.label_col, key, edges, rows, n)
+        return _Fit(self, data.persist(), edges, counts, n, rows, dataset.sparkSession).run()
+
+
+class _Fit:
+    """The state of one fit on the driver: the trees since the margins were last written, and nothing that grows with rows."""
+
+    def __init__(self, settings: SoftmaxBoosting, data: DataFrame, edges: list[np.ndarray], counts: dict[int, int], classes: int, rows: int, spark: SparkSession):
+        self.s, self.data, self.edges, self.classes = settings, data, edges, classes
+        self.sizes = np.array([len(e) + 1 for e in edges])
+        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
+        # Sums of so many whole numbers stay exact in 64 bits, and those of a block in a double.
+        self.scale = 2.0 ** min(36, 61 - math.ceil(math.log2(rows + 1)))
+        self.stopping = settings.early_stopping is True or (settings.early_stopping == "auto" and rows > AUTO_ROWS)
+        base = np.zeros(classes)
+        if settings.prior_start:
+            shares = np.log([max(counts.get(k, 0), 0.5) / rows for k in range(classes)])
+            base = shares - shares.mean()
+        self.base, self.recent, self.grown, self.rows = base, [], [], rows
+        self.spark, self.jobs = spark, 0
+
+    def run(self) -> "SoftmaxBoostingModel":
+        losses, rng = [], random.Random(self.s.seed)
+        width = len(self.edges)
+        try:
+            for r in range(self.s.rounds + self.stopping):
+                take = [sorted(rng.sample(range(width), max(1, math.ceil(self.s.colsample * width)))) if self.s.colsample < 1 else None for _ in range(self.classes)]
+                trees = [Tree() for _ in range(self.classes)]
+                found, loss = self._look(r, trees, [(k, 0) for k in range(self.classes)], take, 0, r == 0, self.rows * self.classes)
+                if self.stopping:
+                    losses.append(loss)
+                    if r == self.s.rounds or (len(losses) > PATIENCE and not min(losses[-PATIENCE:]) < losses[-PATIENCE - 1] - TOLERANCE):
+                        break
+                trees = [_in_order(tree) for tree in self._grow(r, trees, found, take)]
+                for tree in trees:
+                    tree.value = [0.0 if f >= 0 else self.s.eta * leaf_value(t[0], t[1], self.s.alpha, self.s.lam) for f, t in zip(tree.feature, tree.sums)]
+                self.grown.append(trees)
+                self.recent.append([t.arrays() for t in trees])
+                if len(self.recent) >= self.s.checkpoint_every and r + 1 < self.s.rounds:
+                    self._settle()
+        finally:
+            self.data.unpersist()
+        return SoftmaxBoostingModel(self.classes, len(self.edges), self._table(), self.s.features_col, self.base.tolist(), len(self.grown))
+
+    def _grow(self, r: int, trees: list[Tree], found: dict[tuple[int, int], list[Known]], take: list) -> list[Tree]:
+        s = self.s
+        known: list[dict[int, Known]] = [{} for _ in trees]
+        level = [{0: 0} for _ in trees]
+
+        def graft(k: int, node: int, answer: list[Known], place: int) -> None:
+            tree, entry = trees[k], answer[place]
+            known[k][node], tree.sums[node] = entry, entry.total
+            if entry.split and s.depth is not None and level[k][node] >= s.depth:
+                entry.split = None
+            if entry.split and (entry.children or s.max_leaves is None):
+                tree.split(node, entry.split)
+                for side, child in enumerate((tree.left[node], tree.right[node])):
+                    level[k][child] = level[k][node] + 1
+                    if entry.children:
+                        graft(k, child, answer, entry.children[side])
+
+        while True:
+            for (k, node), answer in found.items():
+                graft(k, node, answer, 0)
+            asked = []
+            for k, tree in enumerate(trees):
+                if s.max_leaves is None:
+                    ends = [node for node, f in enumerate(tree.feature) if f < 0]
+                else:
+                    # Leaf by leaf: trees hold every split asked for so far, more than they will keep.
+                    _, missing = _best_first(tree, known[k], s.max_leaves)
+                    for node in missing:
+                        if tree.feature[node] < 0:
+                            tree.split(node, known[k][node].split)
+                            level[k].update({c: level[k][node] + 1 for c in (tree.left[node], tree.right[node])})
+                    ends = [c for node in missing for c in (tree.left[node], tree.right[node])]
+                asked += [(k, node) for node in ends if node not in known[k] and (s.depth is None or level[k][node] < s.depth)]
+            if not asked:
+                break
+            rows = sum(trees[k].sums[node][2] for k, node in asked)
+            found, _ = self._look(r, trees, asked, take, min(level[k][node] for k, node in asked), False, rows)
+        if s.max_leaves is None:
+            return trees
+        return [_pruned(tree, known[k], _best_first(tree, known[k], s.max_leaves)[0]) for k, tree in enumerate(trees)]
+
+    def _look(self, r: int, trees: list[Tree], asked: list[tuple[int, int]], take: list, level: int, loss: bool, rows: float):
+        """What is known of the nodes asked for: from their rows where those are few, else one job for as many as ``CELLS`` allow."""
+        found, held = {}, None
+        arrays = [t.arrays() for t in trees]
+        loss = (loss or (level == 0)) and self.stopping
+        if rows * (len(self.edges) + 16) <= GATHERED:
+            return self._job(r, arrays, asked, take, loss, None if self.s.depth is None else self.s.depth - level, True)
+        per = max(1, CELLS // (int(self.offsets[-1]) * 3))
+        for at in range(0, len(asked), per):
+            some, lost = self._job(r, arrays, asked[at : at + per], take, loss and at == 0, None, False)
+            found.update(some)
+            held = held if lost is None else lost
+        return found, held
+
+    def _job(self, r: int, trees: list, asked: list[tuple[int, int]], take: list, with_loss: bool, depth: int | None, gather: bool):
+        self.jobs += 1
+        s, classes, scale, base, recent, stopping = self.s, self.classes, self.scale, self.base, self.recent, self.stopping
+        rule = Rule(self.offsets, scale, s.alpha, s.lam, s.gamma, s.min_child_weight, s.min_leaf)
+        width, cells, subsample, seed, hessian, leaves = len(self.edges), int(self.offsets[-1]), s.subsample, s.seed, s.hessian, s.max_leaves
+        nodes = [[node for k, node in asked if k == c] for c in range(classes)]
+        take = [take[k] for k in range(classes)]
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = [np.zeros((3, len(own), cells), np.int64) for own in nodes] if not gather else []
+            lost = np.zeros(2, np.int64)
+
+            def rows_of(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], ["k", "node", "cell"])
+
+            for block in binned.each(batches):
+                margin = margins(block, base, recent)
+                margin -= margin.max(axis=0)
+                p = np.exp(margin)
+                p /= p.sum(axis=0)
+                used = np.ones(block.n, bool)
+                if stopping:
+                    kept = held_back(block.hash, seed)
+                    used &= ~kept
+                    if with_loss:
+                        own = p[block.label[kept], np.flatnonzero(kept)]
+                        lost += [int(np.rint(-np.log(np.maximum(own, 1e-300)) * 2.0**24).sum()), len(own)]
+                if subsample < 1:
+                    used &= binned.uniform(binned.keyed(block.hash, seed, r)) < subsample
+                for k, own in enumerate(nodes):
+                    if not own:
+                        continue
+                    place = np.full(len(trees[k][0]), -1)
+                    place[own] = np.arange(len(own))
+                    slot = place[walk(block.x, trees[k])]
+                    rows = np.flatnonzero(used & (slot >= 0))
+                    g = np.rint((p[k, rows] - (block.label[rows] == k)) * scale)
+                    h = np.rint(np.maximum(hessian * p[k, rows] * (1 - p[k, rows]), MIN_HESSIAN) * scale)
+                    if not gather:
+                        sums[k] += rule.sums(block.x[:, rows], g, h, slot[rows], len(own))
+                        continue
+                    for i, node in enumerate(own):
+                        mine = slot[rows] == i
+                        yield rows_of([(k, node, np.int64(mine.sum()).tobytes() + block.x[:, rows[mine]].tobytes() + g[mine].tobytes() + h[mine].tobytes())])
+            out = [] if gather else [(k, node, sums[k][:, i].tobytes()) for k, own in enumerate(nodes) for i, node in enumerate(own)]
+            if with_loss:
+                out.append((LOSS, 0, lost.tobytes()))
+            yield rows_of(out)
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[int, int], list[np.ndarray] | np.ndarray] = {}
+            for batch in batches:
+                for k, node, cell in zip(*(batch.column(i) for i in range(3))):
+                    name, data = (k.as_py(), node.as_py()), cell.as_buffer()
+                    if gather and name[0] != LOSS:
+                        held.setdefault(name, []).append(cell.as_py())
+                    else:
+                        part = np.frombuffer(data, np.int64)
+                        held[name] = held[name] + part if name in held else part
+            rows = []
+            for (k, node), part in held.items():
+                if k == LOSS:
+                    rows.append((k, node, 0, -1, 0, 0.0, [float(part[0]) / 2.0**24, float(part[1])], -1, -1))
+                    continue
+                if gather:
+                    pieces = []
+                    for cell in part:
+                        n = int(np.frombuffer(cell, np.int64, 1)[0])
+                        x = np.frombuffer(cell, np.uint8, n * width, 8).reshape(width, n)
+                        pieces.append((x, *(np.frombuffer(cell, np.float64, n, 8 + n * (width + 8 * j)) for j in range(2))))
+                    answer = rule.subtree(*(np.concatenate([p[j] for p in pieces], axis=-1) for j in range(3)), take[k], depth, leaves)
+                else:
+                    answer = [rule.best(part.reshape(3, cells), take[k])]
+                for i, known in enumerate(answer):
+                    f, b, gain, sides = (known.split.feature, known.split.bin, known.split.gain, [*known.split.left, *known.split.right]) if known.split else (-1, 0, 0.0, [])
+                    rows.append((k, node, i, f, b, gain, [*known.total, *sides], *(known.children or (-1, -1))))
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.int32(), pa.int32())
+            columns = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["k", "node", "i", "f", "b", "gain", "sums", "l", "r"])
+
+        partial = self.data.mapInArrow(add, "k int, node int, cell binary")
+        most = self.data.sparkSession.sparkContext.defaultParallelism
+        reducers = min(most, len(asked)) if gather else min(most, len(asked) * cells // REDUCED + 1)
+        # One short row for each node that was looked at comes back.
+        answers = partial.repartition(reducers, "k", "node").mapInArrow(choose, "k int, node int, i int, f int, b int, gain double, sums array<double>, l int, r int").collect()
+        found, lost = {}, None
+        for k, node, i, f, b, gain, sums, left, right in sorted(answers):
+            if k == LOSS:
+                lost = sums[0] / max(sums[1], 1.0)
+            else:
+                split = Split(f, b, gain, tuple(sums[3:6]), tuple(sums[6:9])) if f >= 0 else None
+                found.setdefault((k, node), []).append(Known(tuple(sums[:3]), split, (left, right) if left >= 0 else None))
+        return found, lost
+
+    def _settle(self) -> None:
+        """Write the margins, so that later jobs walk only the trees since."""
+        base, recent = self.base, self.recent
+
+        def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cells = [(margins(binned.Block(batch, i), base, recent) - base[:, None]).tobytes() for i in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(4)), pa.array(cells, pa.binary())], batch.schema.names)
+
+        path = scratch_path(self.spark, "margins")
+        self.data.mapInArrow(moved, self.data.schema).write.parquet(path)
+        self.data.unpersist()
+        self.data = self.data.sparkSession.read.parquet(path).persist()
+        self.recent = []
+
+    def _table(self) -> pa.Table:
+        rows = []
+        for r, trees in enumerate(self.grown):
+            for k, t in enumerate(trees):
+                for node, f in enumerate(t.feature):
+                    cut = float(self.edges[f][t.bin[node]]) if f >= 0 else 0.0
+                    left, right = (t.left[node], t.right[node]) if f >= 0 else (-1, -1)
+                    rows.append((r, k, node, f, cut, left, right, t.gain[node], t.sums[node][1] if t.sums[node] else 0.0, [t.value[node]]))
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
+        names = [part.split()[0] for part in SCHEMA.split(", ")]
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(kinds), kinds)], names=names)
+
+
+def margins(block: binned.Block, base: np.ndarray, recent: list) -> np.ndarray:
+    out = block.margin + base[:, None]
+    for trees in recent:
         for k, tree in enumerate(trees):
-            placed = _leaf(placed, tree, picks[k], "features", f"_leaf{k}")
-        leaves = terms("named_struct('k', {i}, 'leaf', _leaf{i}, 'g', g[{i}], 'h', h[{i}])", n, ", ")
-        stats = (
-            placed.filter("drawn")
-            .select(F.expr(f"explode(array({leaves}))").alias("e"))
-            .groupBy("e.k", "e.leaf")
-            .agg(F.sum("e.g").alias("g"), F.sum("e.h").alias("h"))
-        )
-        # One row per leaf, and the leaves of a round are limited by the tree depth.
-        leaf_count = sum(t.numNodes // 2 + 1 for t in trees)
-        values = [[0.0] * (t.numNodes // 2 + 1) for t in trees]
-        for row in bounded_rows(stats, leaf_count, "leaves"):
-            values[row["k"]][row["leaf"]] = self.eta * leaf_value(row["g"], row["h"], self.alpha, self.lam)
-        grown = [(tree, picks[k], values[k]) for k, tree in enumerate(trees)]
-
-        following = placed.select("features", "label", "row", _stepped(values).alias("margin"))
-        if (r + 1) % self.checkpoint_every == 0 and r + 1 < self.rounds:
-            following = cut_lineage(following)
-        return grown, following, graded
-
-
-def _leaf(df: DataFrame, tree, indices, features_col: str, name: str) -> DataFrame:
-    """Adds the leaf number a row ends in."""
-    column, frame = features_col, df
-    if indices is not None:
-        column = f"{name}_in"
-        frame = VectorSlicer(inputCol=features_col, outputCol=column, indices=indices).transform(df)
-    tree = tree.copy().setFeaturesCol(column).setPredictionCol("").setLeafCol(name)
-    frame = tree.transform(frame)
-    frame = frame.withColumn(name, F.col(name).cast("int"))
-    return frame.drop(column) if indices is not None else frame
-
-
-def _stepped(values: list[list[float]]) -> Column:
-    """The margins moved by the value of the leaf each class tree put the row in."""
-    cells = [f"margin[{k}] + element_at({numbers(v)}, _leaf{k} + 1)" for k, v in enumerate(values)]
-    return F.expr(f"array({', '.join(cells)})")
+            out[k] += tree[4][walk(block.x, tree)]
+    return out
+
+
+def held_back(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """The rows that only measure the loss."""
+    return binned.uniform(binned.keyed(hashes, seed, -1)) < HELD_SHARE
+
+
+def _best_first(tree: Tree, known: dict[int, Known], most: int) -> tuple[set[int], list[int]]:
+    """Nodes split by best-first growth, and those among them whose children are not known yet."""
+    splits = lambda node: node in known and known[node].split is not None
+    heap = [(-known[0].split.gain, 0)] if splits(0) else []
+    kept, missing, leaves = set(), [], 1
+    while heap and leaves < most:
+        _, node = heapq.heappop(heap)
+        kept.add(node)
+        leaves += 1
+        children = (tree.left[node], tree.right[node]) if tree.feature[node] >= 0 else ()
+        if leaves < most and (not children or any(c not in known for c in children)):
+            missing.append(node)
+        for child in children:
+            if splits(child):
+                heapq.heappush(heap, (-known[child].split.gain, child))
+    return kept, missing
+
+
+def _in_order(tree: Tree) -> Tree:
+    """The same tree with nodes numbered level by level, whichever jobs it came from."""
+    out, queue = Tree(), [(0, 0)]
+    out.sums = [tree.sums[0]]
+    for old, new in queue:
+        if tree.feature[old] >= 0:
+            left, right = tree.left[old], tree.right[old]
+            out.split(new, Split(tree.feature[old], tree.bin[old], tree.gain[old], tree.sums[left], tree.sums[right]))
+            queue += [(left, out.left[new]), (right, out.right[new])]
+    return out
+
+
+def _pruned(tree: Tree, known: dict[int, Known], kept: set[int]) -> Tree:
+    """The tree with the splits in ``kept`` only, nodes numbered anew."""
+    out = Tree()
+    out.sums = [tree.sums[0]]
+    queue = [(0, 0)]
+    for old, new in queue:
+        if old in kept:
+            out.split(new, known[old].split)
+            if tree.feature[old] >= 0:
+                queue += [(tree.left[old], out.left[new]), (tree.right[old], out.right[new])]
+    return out
 
 
 class SoftmaxBoostingModel(Model, MLWritable, MLReadable):
-    """``ensemble`` holds per round and class a tree, its feature indices and leaf values."""
-
-    PLAN_ROUNDS = 50  # rounds scored in one plan before the margins are written
+    """``table`` is the node table (see ``nodes``), ``base`` the margins before the first round."""
 
-    def __init__(self, classes=0, width=0, ensemble=(), features_col="features"):
+    def __init__(self, classes=0, width=0, table: pa.Table | None = None, features_col="features", base=(), rounds=0):
         super().__init__()
-        self.classes, self.width, self.ensemble = classes, width, list(ensemble)
-        self.features_col = features_col
+        self.classes, self.width, self.table, self.features_col = classes, width, table, features_col
+        self.base, self.rounds = list(base) or [0.0] * classes, rounds
+        self._walker = None
 
-    @property
-    def rounds(self) -> int:
-        return len(self.ensemble)
+    def nodes(self, spark: SparkSession) -> DataFrame:
+        """The node table."""
+        return spark.createDataFrame(self.table).to(spark.createDataFrame([], SCHEMA).schema)
 
     def margins(self, dataset: DataFrame) -> DataFrame:
-        n = self.classes
-        frame = dataset.withColumn("margin", F.expr(numbers([0.0] * n)))
-        for r, trees in enumerate(self.ensemble):
-            for k, (tree, indices, _) in enumerate(trees):
-                frame = _leaf(frame, tree, indices, self.features_col, f"_leaf{k}")
-            steps = _stepped([values for _, _, values in trees])
-            frame = frame.withColumn("margin", steps).drop(*[f"_leaf{k}" for k in range(n)])
-            if (r + 1) % self.PLAN_ROUNDS == 0 and r + 1 < self.rounds:
-                frame = cut_lineage(frame)
-        return frame
+        self._walker = self._walker or Walker(self.table)
+        spark = dataset.sparkSession
+        if self._walker.bytes <= SENT_BYTES:
+            scored = dataset.withColumn("margin", summed(spark, self._walker, self.classes, binned.as_array(dataset, self.features_col)))
+        else:
+            scored = summed_by_join(dataset, self.nodes(spark), self.classes, self.features_col, "margin")
+        start = F.array(*[F.lit(b) for b in self.base])
+        return scored.withColumn("margin", F.zip_with("margin", start, lambda a, b: a + b)) if any(self.base) else scored
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        frame = self.margins(dataset)
-        return softmax(frame, self.classes, "margin").drop("margin")
+        return softmax(self.margins(dataset), self.classes, "margin").drop("margin")
 
     def write(self):
         return _Writer(self)
@@ -220,18 +563,10 @@ class _Writer(MLWriter):
         self.model = model
 
     def saveImpl(self, path):
-        m = self.model
-        fitted = {
-            "classes": m.classes,
-            "width": m.width,
-            "features_col": m.features_col,
-            "trees": [[{"indices": i, "values": v} for _, i, v in trees] for trees in m.ensemble],
-        }
-        spark = SparkSession.active()
+        m, spark = self.model, SparkSession.active()
+        fitted = {"classes": m.classes, "width": m.width, "features_col": m.features_col, "base": m.base, "rounds": m.rounds}
         DefaultParamsWriter.saveMetadata(m, path, spark, extraMetadata={"fitted": json.dumps(fitted)})
-        jobs = [(r, k, t[0]) for r, trees in enumerate(m.ensemble) for k, t in enumerate(trees)]
-        with ThreadPoolExecutor(8) as pool:
-            list(pool.map(lambda j: j[2].write().overwrite().save(f"{path}/trees/round={j[0]}/class={j[1]}"), jobs))
+        m.nodes(spark).write.parquet(f"{path}/nodes")
 
 
 class _Reader(MLReader):
@@ -240,16 +575,10 @@ class _Reader(MLReader):
         self.cls = cls
 
     def load(self, path):
+        spark = SparkSession.active()
         name = self.cls.__module__ + "." + self.cls.__name__
-        metadata = DefaultParamsReader.loadMetadata(path, SparkSession.active(), name)
-        fitted = json.loads(metadata["fitted"])
-        ensemble = [
-            [
-                (DecisionTreeRegressionModel.load(f"{path}/trees/round={r}/class={k}"), t["indices"], t["values"])
-                for k, t in enumerate(trees)
-            ]
-            for r, trees in enumerate(fitted["trees"])
-        ]
-        model = self.cls(fitted["classes"], fitted["width"], ensemble, fitted["features_col"])
+        metadata = DefaultParamsReader.loadMetadata(path, spark, name)
+        f = json.loads(metadata["fitted"])
+        model = self.cls(f["classes"], f["width"], spark.read.parquet(f"{path}/nodes").toArrow(), f["features_col"], f["base"], f["rounds"])
         model._resetUid(metadata["uid"])
         return model

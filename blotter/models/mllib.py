@@ -1,26 +1,16 @@
-"""Logistic regression and forests from MLlib, with the reference settings mapped."""
+"""Logistic regression from MLlib, with the reference settings mapped."""
 
 from __future__ import annotations
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, functions as F
 
 from blotter.models.prior import class_counts
 
-MAX_DEPTH = 30  # the deepest tree MLlib grows
 WEIGHT = "_weight"
 
 
-def allowed_depth(depth: int | None, limit: int | None) -> int:
-    """The depth to grow: the one asked for, or the limit the caller names for deeper trees."""
-    if depth is not None and depth <= MAX_DEPTH:
-        return depth if limit is None else min(depth, limit)
-    if limit is None or limit > MAX_DEPTH:
-        raise ValueError(f"depth {depth} is beyond {MAX_DEPTH}, the deepest tree here; set depth_limit to accept less")
-    return limit
-
-
 def balanced_weights(counts: dict[int, int]) -> dict[int, float]:
     rows = sum(counts.values())
     return {k: rows / (len(counts) * n) for k, n in counts.items() if n}
@@ -61,59 +51,3 @@ class MultinomialLogistic(Estimator):
             dataset = with_weight(dataset, balanced_weights(counts), self.label_col)
             estimator = estimator.setWeightCol(WEIGHT)
         return estimator.fit(dataset)
-
-
-def _subset(max_features) -> str:
-    if max_features is None:
-        return "all"
-    return max_features if isinstance(max_features, str) else str(float(max_features))
-
-
-class Forest(Estimator):
-    """Random forest; ``log_loss`` is the entropy criterion.
-
-    MLlib has no minimum split size and grows no tree deeper than 30. Deeper or
-    unlimited trees raise unless ``depth_limit`` says which depth to use instead;
-    ``depth_used`` records it.
-    """
-
-    def __init__(
-        self,
-        trees=200,
-        criterion="log_loss",
-        max_depth=24,
-        min_leaf=5,
-        max_features="sqrt",
-        bootstrap=True,
-        class_weight=None,
-        seed=12345,
-        max_bins=256,
-        label_col="label",
-        features_col="features",
-        depth_limit=None,
-    ):
-        super().__init__()
-        self.depth_used = allowed_depth(max_depth, depth_limit)
-        self.trees, self.criterion, self.max_depth, self.min_leaf = trees, criterion, max_depth, min_leaf
-        self.max_features, self.bootstrap, self.class_weight = max_features, bootstrap, class_weight
-        self.seed, self.max_bins, self.label_col, self.features_col = seed, max_bins, label_col, features_col
-
-    def _fit(self, dataset: DataFrame):
-        estimator = RandomForestClassifier(
-            featuresCol=self.features_col,
-            labelCol=self.label_col,
-            numTrees=self.trees,
-            impurity="gini" if self.criterion == "gini" else "entropy",
-            maxDepth=self.depth_used,
-            minInstancesPerNode=self.min_leaf,
-            featureSubsetStrategy=_subset(self.max_features),
-            bootstrap=self.bootstrap,
-            seed=self.seed,
-            maxBins=self.max_bins,
-            cacheNodeIds=True,
-        )
-        if self.class_weight in ("balanced", "balanced_subsample"):
-            weights = balanced_weights(class_counts(dataset, self.label_col))
-            dataset = with_weight(dataset, weights, self.label_col)
-            estimator = estimator.setWeightCol(WEIGHT)
-        return estimator.fit(dataset)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from blotter.functions.probability import number
 from blotter.operators.splits import HASH_RANGE, row_hash
@@ -29,44 +29,14 @@ def reproducible_sample(df: DataFrame, key: str, size: int = SAMPLE_SIZE, seed:
     return hashed.filter(F.col("_h") < bound).orderBy("_h", key).limit(size).drop("_h")
 
 
-def forest_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """Inner nodes of a saved MLlib forest: feature index, gain and rows."""
-    nodes = spark.read.parquet(f"{path}/data")
-    if "nodeData" in nodes.columns:
-        nodes = nodes.select("nodeData.*")
-    return nodes.filter("leftChild >= 0").select(
-        F.col("split.featureIndex").alias("feature_index"), "gain", F.col("rawCount").alias("cover")
-    )
-
-
-def boosted_nodes(spark: SparkSession, path: str, indices: dict | None = None) -> DataFrame:
-    """Inner nodes of all trees of a saved boosting model.
-
-    ``indices`` maps (round, class) to the sampled feature indices of a tree.
-    """
-    nodes = spark.read.option("basePath", f"{path}/trees").parquet(f"{path}/trees/round=*/class=*/data")
-    inner = nodes.filter("leftChild >= 0").select(
-        "round", "class", F.col("split.featureIndex").alias("feature_index"), "gain", F.col("rawCount").alias("cover")
-    )
-    picked = {k: v for k, v in (indices or {}).items() if v is not None}
-    if picked:
-        table = F.create_map(
-            *[x for (r, k), v in picked.items() for x in (F.lit(f"{r}:{k}"), F.array(*[F.lit(i) for i in v]))]
-        )
-        local = table[F.concat_ws(":", F.col("round"), F.col("class"))]
-        inner = inner.withColumn("feature_index", F.element_at(local, F.col("feature_index") + 1))
-    return inner.drop("round", "class")
-
-
 def tree_importance(nodes: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Split count, mean gain and mean rows per feature; ``f{i}`` without names."""
-    index = F.col("feature_index")
-    name = F.concat(F.lit("f"), index.cast("string"))
-    if names:
-        name = F.element_at(F.array(*[F.lit(n) for n in names]), index + 1)
-    return nodes.groupBy(name.alias("feature")).agg(
-        F.count("*").alias("weight"), F.avg("gain").alias("gain"), F.avg("cover").alias("cover")
-    )
+    """Split count, mean gain and mean cover per feature of a node table; ``f{i}`` without names."""
+    inner = nodes.filter("feature >= 0").select(F.col("feature").alias("i"), "gain", "cover")
+    sums = inner.groupBy("i").agg(F.count("*").alias("weight"), F.avg("gain").alias("gain"), F.avg("cover").alias("cover"))
+    if not names:
+        return sums.select(F.concat(F.lit("f"), F.col("i").cast("string")).alias("feature"), "weight", "gain", "cover")
+    table = nodes.sparkSession.createDataFrame(list(enumerate(names)), "i int, feature string")
+    return sums.join(table, "i").select("feature", "weight", "gain", "cover")
 
 
 def top_features(importance: DataFrame, kind: str = "gain", top: int = 20) -> DataFrame:

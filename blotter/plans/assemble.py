@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from blotter.models.bayes import CategoricalBayes
 from blotter.models.boosting import SoftmaxBoosting
-from blotter.models.mllib import Forest, MultinomialLogistic
+from blotter.models.forest import Forest
+from blotter.models.mllib import MultinomialLogistic
 from blotter.models.prior import ClassPrior
 from blotter.operators.encoding import ColumnEncoder
 from blotter.operators.geo import N_INIT, GeoEncoder
@@ -61,11 +62,8 @@ def transform_stages(config: ExperimentConfig, skip=CARRIED) -> list:
     raise ValueError(f"no transform for model {config.model_name!r}")
 
 
-def model_stage(config: ExperimentConfig, skip=CARRIED, depth_limit: int | None = None):
-    """The estimator of a model name; unknown names raise.
-
-    ``depth_limit`` is the depth to use for trees deeper than MLlib grows; without it they raise.
-    """
+def model_stage(config: ExperimentConfig, skip=CARRIED):
+    """The estimator of a model name; unknown names raise."""
     config.validate()
     c = config
     builders = {
@@ -83,12 +81,10 @@ def model_stage(config: ExperimentConfig, skip=CARRIED, depth_limit: int | None
             c.forest_bootstrap,
             c.forest_class_weight,
             c.random_state,
-            depth_limit=depth_limit,
+            min_split=c.forest_min_samples_split,
         ),
-        # Split thresholds are searched, not drawn at random: an approximation.
-        "extra_trees": lambda: Forest(300, "gini", None, 2, "sqrt", False, None, c.random_state, depth_limit=depth_limit),
-        # Depth 5 allows up to 32 leaves, the nearest to a limit of 31.
-        "hist_gradient_boosting": lambda: SoftmaxBoosting(200, 5, 0.1, min_child_weight=1e-3, lam=0.0, seed=c.random_state, min_leaf=20),
+        "extra_trees": lambda: Forest.extra(300, 2, c.random_state),
+        "hist_gradient_boosting": lambda: SoftmaxBoosting.histogram(200, 0.1, 31, 0.0, c.random_state),
         "xgboost": lambda: SoftmaxBoosting(
             c.xgb_n_estimators,
             c.xgb_max_depth,
@@ -100,7 +96,6 @@ def model_stage(config: ExperimentConfig, skip=CARRIED, depth_limit: int | None
             c.xgb_reg_lambda,
             c.xgb_gamma,
             seed=c.random_state,
-            depth_limit=depth_limit,
         ),
     }
     if c.model_name not in builders:
@@ -108,8 +103,8 @@ def model_stage(config: ExperimentConfig, skip=CARRIED, depth_limit: int | None
     return builders[c.model_name]()
 
 
-def full_pipeline(config: ExperimentConfig, skip=CARRIED, depth_limit: int | None = None) -> Pipeline:
-    return Pipeline(stages=[*transform_stages(config, skip), model_stage(config, skip, depth_limit)])
+def full_pipeline(config: ExperimentConfig, skip=CARRIED) -> Pipeline:
+    return Pipeline(stages=[*transform_stages(config, skip), model_stage(config, skip)])
 
 
 def iterations(model: PipelineModel, model_name: str | None = None) -> int | None:

@@ -7,7 +7,6 @@ from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import functions as F
 
 from blotter.models.boosting import SoftmaxBoosting
-from blotter.models.mllib import Forest, allowed_depth
 from blotter.operators import attribution, lookup, splits
 from blotter.operators.encoding import ColumnEncoder
 from blotter.operators.geo import N_INIT, GeoEncoder
@@ -24,20 +23,7 @@ def two_classes(spark, rows=180):
 @pytest.mark.parametrize(("weight", "nodes"), [(1.0, 3), (1e6, 1)])
 def test_child_weight_beyond_half_gives_one_leaf(spark, weight, nodes):
     model = SoftmaxBoosting(rounds=1, depth=1, min_child_weight=weight).fit(two_classes(spark))
-    assert {tree.numNodes for tree, _, _ in model.ensemble[0]} == {nodes}
-
-
-def test_depth_beyond_the_deepest_tree():
-    for depth in (31, 32, None):
-        with pytest.raises(ValueError, match="depth_limit"):
-            Forest(max_depth=depth)
-    assert Forest(max_depth=32, depth_limit=30).depth_used == 30
-    assert allowed_depth(24, None) == 24 and allowed_depth(24, 12) == 12
-    with pytest.raises(ValueError):
-        SoftmaxBoosting(depth=31)
-    with pytest.raises(ValueError):
-        assemble.model_stage(config.random_forest_baseline().but(forest_max_depth=32))
-    assert assemble.model_stage(config.random_forest_baseline().but(forest_max_depth=32), depth_limit=30).depth_used == 30
+    assert {r["count"] for r in model.nodes(spark).groupBy("round", "class").count().collect()} == {nodes}
 
 
 def test_starts_of_k_means():

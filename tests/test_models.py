@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from blotter.models.bayes import CategoricalBayes
 from blotter.models.boosting import SoftmaxBoosting, leaf_value
-from blotter.models.mllib import Forest, MultinomialLogistic
+from blotter.models.forest import Forest
+from blotter.models.mllib import MultinomialLogistic
 from blotter.models.prior import ClassPrior
 from blotter.operators import attribution, metrics
 from blotter.operators.encoding import ColumnEncoder
@@ -93,7 +94,7 @@ def test_planted_signal(spark, split, tmp_path):
         {r["incident_id"]: r["probability"] for r in m.transform(held).collect()} for m in (booster, again)
     )
     assert a == b
-    importance = attribution.tree_importance(attribution.boosted_nodes(spark, path, {(i, k): t[1] for i, ts in enumerate(again.ensemble) for k, t in enumerate(ts)}))
+    importance = attribution.tree_importance(again.nodes(spark))
     assert importance.orderBy(F.desc("weight")).first()["feature"] in ("f0", "f1")
 
 
@@ -116,7 +117,7 @@ def test_shapley_adds_up(spark, split):
     sample = cut_lineage(sample)
 
     def scorer(df):
-        return forest.transform(df).withColumn("probability", vector_to_array("probability"))
+        return forest.transform(df)
 
     phi = attribution.sampled_shapley(sample, "incident_id", scorer, 6, len(CLASSES), permutations=3)
     assert phi.count() == 40 * 6 * len(CLASSES)

@@ -3,36 +3,14 @@
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from blotter.models.boosting import SoftmaxBoosting
-from blotter.models.mllib import Forest
+from blotter.models.forest import Forest
 from blotter.operators import attribution
-from blotter.session import scratch_path
 from blotter.sources import fixtures
 from workload.base import d, modeling, modeling_query, modeling_sql, query, r, rounded, with_sql
 from workload.frames import HASH
 from workload.modelling import CLASSES, K, fitted, small_rows
 
 
-@query("x01_forest_importance")
-def x01(spark, sf):
-    model, _ = fitted(spark, sf, Forest(trees=10, max_depth=6))
-    path = scratch_path(spark, "forest")
-    model.stages[-1].write().overwrite().save(path)
-    names = model.stages[0].slot_names()
-    return rounded(attribution.tree_importance(attribution.forest_nodes(spark, path), names))
-
-
-@query("x01_boosting_importance")
-def x01_boosting(spark, sf):
-    model, _ = fitted(spark, sf, SoftmaxBoosting(rounds=1, depth=3, eta=0.3, colsample=0.7))
-    path = scratch_path(spark, "boosting")
-    booster = model.stages[-1]
-    booster.write().overwrite().save(path)
-    picked = {(i, k): t[1] for i, trees in enumerate(booster.ensemble) for k, t in enumerate(trees)}
-    nodes = attribution.boosted_nodes(spark, path, picked)
-    return rounded(attribution.top_features(attribution.tree_importance(nodes, model.stages[0].slot_names()), "weight"))
-
-
 @query(
     "x02_reproducible_sample",
     modeling_query(f"SELECT incident_id, target FROM modeling ORDER BY {HASH}, incident_id LIMIT 2000"),
@@ -100,8 +78,7 @@ def x03_sampled(spark, sf):
     )
 
     def scorer(df):
-        scored = forest.transform(df)
-        return scored.withColumn("probability", vector_to_array("probability")).drop("features", "rawPrediction", "prediction")
+        return forest.transform(df).drop("features")
 
     phi = attribution.sampled_shapley(sample, "incident_id", scorer, encoder.width(), K, permutations=4)
     return rounded(attribution.global_importance(phi))

@@ -1,12 +1,10 @@
 """Classifiers: the prior and naive Bayes against SQL, the iterative ones by rows."""
 
 from pyspark.ml import Pipeline
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from blotter.models.bayes import CategoricalBayes
-from blotter.models.boosting import SoftmaxBoosting
-from blotter.models.mllib import Forest, MultinomialLogistic
+from blotter.models.mllib import MultinomialLogistic
 from blotter.models.prior import ClassPrior
 from blotter.operators import features
 from blotter.operators.encoding import ColumnEncoder
@@ -122,38 +120,32 @@ def m02(spark, sf):
     return spread(scored, "incident_id")
 
 
-@query("m02_logistic_embeddings")
-def m02_embeddings(spark, sf):
-    rows = fixtures.table(spark, sf, "embeddings").select(
-        "vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
-    )
-    model = MultinomialLogistic(c=1.0, max_iter=30).fit(rows)
-    return model.transform(rows).select("vec_id", "label", "prediction")
+def preset_fit(spark, sf, config):
+    """A preset whole: its features, its transform and its model, fitted on the development rows, scored on the frozen ones."""
+    rows = features.from_config(modeling(spark, sf), config, keep=("incident_id", "target", TS))
+    with cached(assemble.with_label(rows.filter(EARLY).drop(TS), CLASSES)) as train:
+        model = assemble.full_pipeline(config).fit(train)
+    return spread(assemble.score(model, rows.filter(~F.expr(EARLY)).drop(TS)), "incident_id")
 
 
 @query("m04_random_forest")
 def m04(spark, sf):
-    _, scored = fitted(spark, sf, Forest(trees=10, max_depth=8, min_leaf=5))
-    return spread(scored, "incident_id")
+    return preset_fit(spark, sf, presets.random_forest_baseline())
 
 
 @query("m05_extra_trees")
 def m05(spark, sf):
-    _, scored = fitted(spark, sf, Forest(10, "gini", 8, 2, "sqrt", False))
-    return spread(scored, "incident_id")
+    return preset_fit(spark, sf, presets.tree_baseline("extra_trees"))
 
 
 @query("m06_hist_boosting")
 def m06(spark, sf):
-    _, scored = fitted(spark, sf, SoftmaxBoosting(rounds=2, depth=5, eta=0.1, lam=0.0, min_child_weight=1e-3))
-    return spread(scored, "incident_id")
+    return preset_fit(spark, sf, presets.tree_baseline("hist_gradient_boosting"))
 
 
 @query("m07_softmax_boosting")
 def m07(spark, sf):
-    boosting = SoftmaxBoosting(rounds=3, depth=4, eta=0.3, subsample=0.8, colsample=0.7, min_child_weight=5, lam=12.0)
-    _, scored = fitted(spark, sf, boosting)
-    return spread(scored, "incident_id")
+    return preset_fit(spark, sf, presets.xgboost_baseline())
 
 
 SMALL_FOREST = presets.random_forest_baseline().but(
@@ -163,10 +155,7 @@ SMALL_FOREST = presets.random_forest_baseline().but(
 
 @query("m08_full_fit_and_score")
 def m08(spark, sf):
-    rows = features.from_config(modeling(spark, sf), SMALL_FOREST, keep=("incident_id", "target", TS))
-    with cached(assemble.with_label(rows.filter(EARLY).drop(TS), CLASSES)) as train:
-        model = assemble.full_pipeline(SMALL_FOREST).fit(train)
-    return spread(assemble.score(model, rows.filter(~F.expr(EARLY)).drop(TS)), "incident_id")
+    return preset_fit(spark, sf, SMALL_FOREST)
 
 
 @query("m10_final_fit")
