@@ -4,6 +4,8 @@ A sentence ends after ``.``, ``!`` or ``?`` before white space, and at line brea
 ``words`` words, or two sentences and ``PAIR_WORDS`` words, or ``LONE_WORDS`` words in any number of sentences. From each
 sentence the shortest run that starts there and the shortest that ends there are taken, so a repeated passage of whole
 sentences that is a run itself is covered from end to end. Runs compare case-folded with single blanks.
+A run is only repeated if all its sentences are, so sentences are counted first, by hash, and only runs of sentences met
+twice are hashed and shuffled.
 Occurrences are ordered by document identifier, then position. Every sentence that a non-first occurrence of a repeated
 run covers is removed.
 
@@ -14,15 +16,18 @@ identifier and equal text are one document: they get the same result and do not
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blotter.llm.common import fresh_name, quoted
-from blotter.session import cut_lineage
+from blotter.llm.phrases import bitmap_of, has
+from blotter.session import cut_lineage, scratch_path
 
 SENTENCES = 3
 WORDS = 12
@@ -50,35 +55,66 @@ def floors(sentences: int, words: int) -> list[tuple[int, int]]:
     return sorted(f for f in wanted if not any(g != f and g[0] <= f[0] and g[1] <= f[1] for g in wanted))
 
 
-def runs(text: str, sentences: int, words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(first sentence, number of sentences, folded text) of every run, each once."""
-    folded = [text[s:e].casefold().split() for s, e in pieces(text)]
+def ranges(sizes: list[int], sentences: int, words: int) -> list[tuple[int, int]]:
+    """(first sentence, end) of every run, each once, from the words of each sentence."""
     found = set()
     for least, load in floors(sentences, words):
         end = held = 0
-        for start in range(len(folded)):
-            while end < len(folded) and (end - start < least or held < load):
-                held += len(folded[end])
+        for start in range(len(sizes)):
+            while end < len(sizes) and (end - start < least or held < load):
+                held += sizes[end]
                 end += 1
             if end - start < least or held < load:
                 break
             found.add((start, end))
-            held -= len(folded[start])
+            held -= sizes[start]
         start = held = 0
-        for end in range(1, len(folded) + 1):
-            held += len(folded[end - 1])
-            while end - start > least and held - len(folded[start]) >= load:
-                held -= len(folded[start])
+        for end in range(1, len(sizes) + 1):
+            held += sizes[end - 1]
+            while end - start > least and held - sizes[start] >= load:
+                held -= sizes[start]
                 start += 1
             if end - start >= least and held >= load:
                 found.add((start, end))
-    lines = [" ".join(w) for w in folded]
-    for start, end in sorted(found):
-        yield start, end - start, "\n".join(lines[start:end]).encode("utf-8", "replace")
+    return sorted(found)
+
+
+def lines(text: str) -> tuple[list[bytes], list[int]]:
+    """Every sentence case-folded with single blanks, and its number of words."""
+    folded = [text[s:e].casefold().split() for s, e in pieces(text)]
+    return [" ".join(w).encode("utf-8", "replace") for w in folded], [len(w) for w in folded]
+
+
+def runs(text: str, sentences: int, words: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first sentence, number of sentences, folded text) of every run, each once."""
+    folded, sizes = lines(text)
+    for start, end in ranges(sizes, sentences, words):
+        yield start, end - start, b"\n".join(folded[start:end])
+
+
+def _met(docs: DataFrame) -> DataFrame:
+    """``fp``: hashes of the sentences that stand in several places; a row of ``docs`` (``_t``) counts on its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                found = Counter()
+                for text in whole.column(0).slice(at, BATCH_ROWS):
+                    found.update(map(xxhash.xxh3_64_intdigest, lines(text.as_py())[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array(list(found.values()), pa.int64())], ["fp", "c"])
+
+    counted = docs.select("_t").mapInArrow(run, "fp long, c long").groupBy("fp").agg(F.sum("c").alias("c"))
+    return counted.filter("c > 1").select("fp")
 
 
 def _hashed(docs: DataFrame, sentences: int, words: int) -> DataFrame:
-    """A row for each run of each row of ``docs`` (``_d``, ``_h``, ``_t``)."""
+    """A row for each run of each row of ``docs`` (``_d``, ``_h``, ``_t``) whose sentences all stand in several places.
+
+    Other runs can't be repeated. The sentences are looked up in a bitmap of fixed size, whose false hits only cost rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(_met(docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -88,12 +124,18 @@ def _hashed(docs: DataFrame, sentences: int, words: int) -> DataFrame:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
                 rows, span, starts, counts = [], [], [], []
-                for i, text in enumerate(batch.column(2).to_pylist()):
-                    for start, n, content in runs(text, sentences, words):
-                        rows.append(i)
-                        span.append(digest(content))
-                        starts.append(start)
-                        counts.append(n)
+                for i, text in enumerate(batch.column(2)):
+                    folded, sizes = lines(text.as_py())
+                    usual = has(shared.value, np.array([xxhash.xxh3_64_intdigest(x) for x in folded], np.uint64))
+                    if not usual.any():
+                        continue
+                    upto = np.concatenate([[0], np.cumsum(usual)]).tolist()
+                    for start, end in ranges(sizes, sentences, words):
+                        if upto[end] - upto[start] == end - start:
+                            rows.append(i)
+                            span.append(digest(b"\n".join(folded[start:end])))
+                            starts.append(start)
+                            counts.append(end - start)
                 take = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array(span, pa.binary()), pa.array(starts, pa.int32()), pa.array(counts, pa.int32())],
@@ -105,7 +147,10 @@ def _hashed(docs: DataFrame, sentences: int, words: int) -> DataFrame:
     found = docs.mapInArrow(run, T.StructType(fields))
     # Two longs shuffle in less room than a binary.
     half = lambda i: F.conv(F.hex(F.substring("span", i, 8)), 16, -10).cast("long")
-    return found.select("_d", "_h", half(1).alias("s1"), half(9).alias("s2"), "start", "n")
+    # Written once: the first occurrences and the join back both read it.
+    path = scratch_path(docs.sparkSession, "runs")
+    found.select("_d", "_h", half(1).alias("s1"), half(9).alias("s2"), "start", "n").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def repeated(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
