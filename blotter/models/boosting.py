@@ -42,7 +42,7 @@ CELLS = 1 << 24
 #: Cells of sums that one task puts together.
 REDUCED = 1 << 18
 #: Bytes of rows that a job may bring together to grow whole subtrees.
-GATHERED = 64 << 20
+GATHERED = 128 << 20
 #: Above so many rows ``early_stopping="auto"`` stops early.
 AUTO_ROWS = 10_000
 PATIENCE, TOLERANCE, HELD_SHARE = 10, 1e-7, 0.1

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from blotter.functions.probability import number
+from blotter.operators.quantiles import grouped_quantiles
 from blotter.operators.splits import HASH_RANGE, row_hash
 
 SAMPLE_SIZE = 2000
@@ -69,8 +70,10 @@ def sampled_shapley(
     classes: int,
     permutations: int = 8,
     seed: int = 12345,
+    names: list[str] | None = None,
+    limit: int = 100 * SAMPLE_SIZE,
 ) -> DataFrame:
-    """Permutation-sampling Shapley values of any scorer.
+    """Permutation-sampling Shapley values of any scorer; ``names`` are those of the features (``f{i}`` without).
 
     ``sample`` has ``key`` and ``x`` (array of ``width`` feature values); its size
     is what bounds the work. For each row and permutation another sampled row is
@@ -78,7 +81,11 @@ def sampled_shapley(
     the hybrids are scored in one batch, and every hybrid adds to the feature
     just switched and subtracts from the one switched next.
     """
-    # Positions come from a window over the sample, whose size the caller fixed.
+    if names is not None and len(names) != width:
+        raise ValueError(f"{len(names)} names for {width} features")
+    if sample.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} rows are no sample")
+    # Positions come from a window over the sample, whose size was checked.
     order = Window.partitionBy(F.lit(0)).orderBy("_h", key)
     everyone = Window.partitionBy(F.lit(0))
     placed = (
@@ -115,9 +122,10 @@ def sampled_shapley(
         *[(F.sum(F.col("e.sign") * F.col("probability")[k]) / permutations).alias(f"phi{k}") for k in range(classes)]
     )
     out = F.array(*[F.struct(F.lit(k).alias("class_id"), F.col(f"phi{k}").alias("phi")) for k in range(classes)])
-    return sums.select(
-        key, F.concat(F.lit("f"), F.col("feature_index").cast("string")).alias("feature"), F.explode(out).alias("c")
-    ).select(key, "feature", "c.class_id", "c.phi")
+    name = F.concat(F.lit("f"), F.col("feature_index").cast("string"))
+    if names is not None:
+        name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("feature_index") + 1)
+    return sums.select(key, name.alias("feature"), F.explode(out).alias("c")).select(key, "feature", "c.class_id", "c.phi")
 
 
 def global_importance(contributions: DataFrame) -> DataFrame:
@@ -141,17 +149,12 @@ def class_id_of(name: str, classes: list[str]) -> int:
 
 
 def distribution(one_class: DataFrame, probs=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Spread of the contributions per feature.
-
-    Equal values are counted first, so a quantile sees one row per distinct value.
-    """
-    counted = one_class.groupBy("feature", "phi").agg(F.count("*").alias("n"))
-    spread = counted.groupBy("feature").agg(
-        F.sum("n").alias("rows"),
-        F.min("phi").alias("low"),
-        F.max("phi").alias("high"),
-        (F.sum(F.abs("phi") * F.col("n")) / F.sum("n")).alias("mean_abs"),
-        F.percentile("phi", F.array(*[F.lit(p) for p in probs]), F.col("n")).alias("q"),
+    """Spread of the contributions per feature; quantiles are exact, and no feature is gathered in one task."""
+    spread = one_class.groupBy("feature").agg(
+        F.count("*").alias("rows"), F.min("phi").alias("low"), F.max("phi").alias("high"), F.avg(F.abs("phi")).alias("mean_abs")
     )
+    found = grouped_quantiles(one_class, "feature", "phi", probs)
     names = [f"q{round(p * 100)}" for p in probs]
-    return spread.select("feature", "rows", "low", "high", "mean_abs", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    schema = T.StructType([one_class.schema["feature"], *(T.StructField(n, T.DoubleType()) for n in names)])
+    table = one_class.sparkSession.createDataFrame([(f, *q) for f, q in found.items()], schema)
+    return spread.join(F.broadcast(table), "feature").select("feature", "rows", "low", "high", "mean_abs", *names)

@@ -6,9 +6,8 @@ import json
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Levels with at least this share of the training rows are "hot": there can be
-# no more than 1 / HOT_SHARE of them, so they always fit a broadcast.
-HOT_SHARE = 1 / 5000
+# So many of the most frequent keys of the rows that are looked up are served by a broadcast.
+HOT_KEYS = 5000
 
 
 def attach(
@@ -22,11 +21,12 @@ def attach(
 ) -> DataFrame:
     """Add ``name`` = value of the row's level, or ``default`` when it has none.
 
-    ``levels`` has unique ``level`` values, their ``share`` of the training rows
-    and a ``value`` column. ``small`` says that its size was checked and fits a
-    broadcast. Otherwise hot levels are broadcast, and the rows they serve
-    join the remaining levels under a spread-out dummy key, so that no task
-    receives a hot level.
+    ``levels`` has unique ``level`` values and a ``value`` column. ``small`` says
+    that its size was checked and fits a broadcast. Otherwise the keys of ``df``
+    itself are counted, partly before the shuffle; the most frequent ones, with
+    their value or without, are broadcast, and the rows they serve join the
+    remaining levels under a spread-out dummy key. So no task receives a hot key,
+    also when it was rare in training or is no level at all.
     """
     fallback = default if isinstance(default, Column) else F.lit(default)
     keyed = df.withColumn("_key", key)
@@ -35,10 +35,10 @@ def attach(
         joined = keyed.join(F.broadcast(side), F.col("_key").eqNullSafe(F.col("_level")), "left")
         return joined.withColumn(name, F.coalesce("_value", fallback)).drop("_key", "_level", "_value")
 
-    hot = levels.filter(F.col("share") >= HOT_SHARE).select(
-        F.col("level").alias("_hot"), F.col(value).alias("_hot_value")
-    )
-    cold = levels.filter(F.col("share") < HOT_SHARE).select(
+    often = df.groupBy(key.alias("_hot")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_hot").limit(HOT_KEYS).drop("_n")
+    known = levels.select(F.col("level").alias("_level"), F.col(value).alias("_hot_value"))
+    hot = often.join(known, F.col("_hot").eqNullSafe(F.col("_level")), "left").drop("_level")
+    cold = levels.select(
         F.col("level").alias("_level"), F.lit(0).cast("bigint").alias("_cold_salt"), F.col(value).alias("_value")
     )
     joined = keyed.join(F.broadcast(hot.withColumn("_is_hot", F.lit(True))), F.col("_key").eqNullSafe(F.col("_hot")), "left")

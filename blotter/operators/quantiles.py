@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from blotter.operators.lookup import literal
+from blotter.session import bounded_rows
 
 FEW_VALUES = 1_000_000
 SLICES = 1024
@@ -160,6 +161,48 @@ def exact_quantiles(
     }
 
 
+def grouped_quantiles(df: DataFrame, group: str, value: str, probs, limit: int = 100_000) -> dict:
+    """Linear quantiles of ``value`` per group, ``{group: [quantile, ...]}``; no group is gathered or sorted.
+
+    Every wanted rank of every group has a bracket; a pass counts rows in slices of all brackets at once. Null and NaN are
+    missing, a group without values is left out, infinite values raise. At most ``limit`` groups, whose brackets are
+    broadcast.
+    """
+    rows = df.select(F.col(group).alias("g"), F.expr(known(value)).alias("v")).filter("v is not null")
+    stats = bounded_rows(rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")), limit, "groups")
+    if any(math.isinf(s["low"]) or math.isinf(s["high"]) for s in stats):
+        raise ValueError(f"infinite values in {value}")
+    ranks = {s["g"]: [wanted_ranks(s["n"], p, "linear") for p in probs] for s in stats}
+    found, open_ = {}, {}
+    for s in stats:
+        for rank in {k for r in ranks[s["g"]] for k in r[:2]}:
+            if s["low"] == s["high"]:
+                found[s["g"], rank] = s["low"]
+            else:
+                open_[s["g"], rank] = (s["low"], s["high"], rank)
+    schema = T.StructType([T.StructField("g", rows.schema["g"].dataType), *(T.StructField(n, t) for n, t in (("i", T.IntegerType()), ("low", T.DoubleType()), ("high", T.DoubleType()), ("rank", T.LongType())))])
+    while open_:
+        keys = list(open_)
+        table = df.sparkSession.createDataFrame([(g, i, *open_[g, k]) for i, (g, k) in enumerate(keys)], schema)
+        # Halves keep the widest bracket finite; narrow ones are taken as they are.
+        part = F.expr("if(greatest(abs(low), abs(high)) > 1e300, (v / 2 - low / 2) / (high / 2 - low / 2), (v - low) / (high - low))")
+        slot = F.least(F.floor(part * SLICES), F.lit(SLICES - 1)).cast("int")
+        held = rows.join(F.broadcast(table), rows["g"].eqNullSafe(table["g"])).filter("v >= low and v <= high")
+        counts = held.groupBy("i", "rank", slot.alias("slot")).agg(F.count("*").alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
+        upto = F.sum("n").over(Window.partitionBy("i").orderBy("slot"))
+        hit = counts.withColumn("left", F.col("rank") - (upto - F.col("n"))).filter("left >= 0 and left < n")
+        for r in hit.select("i", "first", "last", "left").collect():  # one row per open rank
+            key = keys[r["i"]]
+            if r["first"] == r["last"]:
+                found[key] = r["first"]
+                del open_[key]
+            elif (r["first"], r["last"]) == open_[key][:2] and r["left"] == open_[key][2]:
+                raise ArithmeticError(f"no slice of {open_[key][:2]} is narrower")
+            else:
+                open_[key] = (r["first"], r["last"], r["left"])
+    return {g: [_mix({k: found[g, k] for k in r[:2]}, r) for r in wanted] for g, wanted in ranks.items()}
+
+
 def medians(df: DataFrame, columns) -> dict[str, float | None]:
     return {c: q[0] if q else None for c, q in exact_quantiles(df, columns, [0.5]).items()}
 

@@ -51,8 +51,9 @@ def evaluate_frozen(
     Classes are those of *all* rows; a class without training rows gets 0.
     """
     facts = fold_facts(data, [], test_start)  # raises when either period is empty
-    development = data.filter(in_period(end=test_start))
-    frozen = data.filter(in_period(start=test_start))
+    year = "incident_year" if "incident_year" in data.columns else None
+    development = data.filter(in_period(end=test_start, year_column=year))
+    frozen = data.filter(in_period(start=test_start, year_column=year))
     with cached(_prepare(development, config)) as train:
         model, _, predictions = fit_and_score(
             train, _prepare(frozen, config), config, facts.classes, facts.all_classes, "uniform"

@@ -80,7 +80,7 @@ def x03_sampled(spark, sf):
     def scorer(df):
         return forest.transform(df).drop("features")
 
-    phi = attribution.sampled_shapley(sample, "incident_id", scorer, encoder.width(), K, permutations=4)
+    phi = attribution.sampled_shapley(sample, "incident_id", scorer, encoder.width(), K, permutations=4, names=encoder.slot_names())
     return rounded(attribution.global_importance(phi))
 
 
