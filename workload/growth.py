@@ -41,27 +41,36 @@ def named(nodes):
     return nodes.withColumn("feature", name).withColumn("node", F.expr("cast(node % 4294967296 as int)"))
 
 
+def round_rows(nodes):
+    return named(nodes).select(
+        F.col("class").alias("class_id"), "node", "feature", "threshold", F.round("gain", 6).alias("gain"), F.round("cover", 6).alias("cover"), F.round(F.col("value")[0], 7).alias("value")
+    )
+
+
 # --- boosting: the first round, where every class has the same margin ---------
 
-_GAIN = "power({g}, 2) / ({h} + " + d(LAM) + ")"
 
 
-def _boosted_level(n, rows):
-    """CTEs ``best{n}`` (the split of each class and node) from rows (k, node, incident_id)."""
-    g = lambda rows, hits: f"(CAST({rows} AS DOUBLE) / {K} - {hits})"
-    h = lambda rows: f"(CAST({rows} AS DOUBLE) * 2 * {K - 1} / {K * K})"
+def _boosted_level(n, rows, p=f"(CAST(1 AS DOUBLE) / {K})", factor=2, lam=LAM, least=LEAST, min_leaf=1):
+    """CTEs ``best{n}`` (the split of each class and node) from rows (k, node, incident_id); ``p`` is a class's probability."""
+    g = lambda rows, hits: f"({rows} * {p} - {hits})"
+    h = lambda rows: f"({rows} * {factor} * {p} * (1 - {p}))"
+    worth = lambda g, h: f"power({g}, 2) / ({h} + {d(lam)})"
     below, whole, above = (g("nl", "hl"), h("nl")), (g("nt", "ht"), h("nt")), (g("(nt - nl)", "(ht - hl)"), h("(nt - nl)"))
-    gain = f"{_GAIN.format(g=below[0], h=below[1])} + {_GAIN.format(g=above[0], h=above[1])} - {_GAIN.format(g=whole[0], h=whole[1])}"
+    gain = f"{worth(*below)} + {worth(*above)} - {worth(*whole)}"
+    may = f"nl >= {min_leaf} AND nt - nl >= {min_leaf} AND {below[1]} >= {d(least)} AND {above[1]} >= {d(least)}"
     return f"""
 vals{n} AS (SELECT k, node, feature, v, count(*) AS n, count(*) FILTER (WHERE y = k) AS hits FROM {rows} JOIN long USING (incident_id) GROUP BY ALL),
 cuts{n} AS (SELECT k, node, feature, v, sum(n) OVER w AS nl, sum(hits) OVER w AS hl, sum(n) OVER p AS nt, sum(hits) OVER p AS ht
   FROM vals{n} WINDOW w AS (PARTITION BY k, node, feature ORDER BY v), p AS (PARTITION BY k, node, feature)),
-sums{n} AS (SELECT k, node, any_value({whole[0]}) AS g, any_value({whole[1]}) AS h FROM cuts{n} WHERE feature = 0 GROUP BY ALL),
-best{n} AS (SELECT * FROM (SELECT k, node, feature, v, {gain} AS gain FROM cuts{n} WHERE nl < nt AND {below[1]} >= {d(LEAST)} AND {above[1]} >= {d(LEAST)})
+sums{n} AS (SELECT k, node, any_value({whole[0]}) AS g, any_value({whole[1]}) AS h FROM cuts{n} LEFT JOIN shares USING (k) WHERE feature = 0 GROUP BY ALL),
+best{n} AS (SELECT * FROM (SELECT k, node, feature, v, {gain} AS gain FROM cuts{n} LEFT JOIN shares USING (k) WHERE nl < nt AND {may})
   WHERE gain > 1e-6 QUALIFY row_number() OVER (PARTITION BY k, node ORDER BY round(gain, 9) DESC, feature, v) = 1)"""
 
 
-_ROUND = f"""{_FIT}, {_LONG},
+_START = f"{_FIT}, {_LONG},\nshares AS (SELECT y AS k, count(*) / CAST((SELECT count(*) FROM fit) AS DOUBLE) AS share FROM fit GROUP BY y),"
+
+_ROUND = f"""{_START}
 rows1 AS (SELECT k, 0 AS node, incident_id FROM fit, (SELECT unnest(range({K})) AS k)), {_boosted_level(1, "rows1")},
 rows2 AS (SELECT b.k, CASE WHEN l.v <= b.v THEN 1 ELSE 2 END AS node, l.incident_id FROM best1 b JOIN long l USING (feature)), {_boosted_level(2, "rows2")},
 turn AS (SELECT k, node, row_number() OVER (PARTITION BY k ORDER BY node) AS turn FROM best2),
@@ -73,10 +82,38 @@ nodes AS (
   SELECT s.*, NULL, NULL, NULL FROM sums3 s)"""
 _ROUND_ROWS = (
     f"SELECT CAST(k AS INTEGER) AS class_id, CAST(node AS INTEGER) AS node, {_NAMES} AS feature, coalesce(v, 0) AS threshold, {r('coalesce(gain, 0)', 'gain', 6)}, {r('h', 'cover', 6)}, "
-    f"round(CASE WHEN feature IS NULL THEN -{d(ETA)} * g / (h + {d(LAM)}) ELSE 0 END, 9) AS value FROM nodes"
+    f"round(CASE WHEN feature IS NULL THEN -{d(ETA)} * g / (h + {d(LAM)}) ELSE 0 END, 7) AS value FROM nodes"
 )
 
 
+# Leaf by leaf to three leaves: the root, then the better of its children.
+_LEAFWISE = dict(p="share", factor=1, lam=0.0, least=1e-3, min_leaf=20)
+_LEAVES = f"""{_START}
+rows1 AS (SELECT k, 0 AS node, incident_id FROM fit, (SELECT unnest(range({K})) AS k)), {_boosted_level(1, "rows1", **_LEAFWISE)},
+rows2 AS (SELECT b.k, CASE WHEN l.v <= b.v THEN 1 ELSE 2 END AS node, l.incident_id FROM best1 b JOIN long l USING (feature)), {_boosted_level(2, "rows2", **_LEAFWISE)},
+chosen AS (SELECT * FROM best2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY gain DESC, node) = 1),
+rows3 AS (SELECT b.k, CASE WHEN l.v <= b.v THEN 3 ELSE 4 END AS node, r.incident_id
+  FROM chosen b JOIN rows2 r USING (k, node) JOIN long l ON l.incident_id = r.incident_id AND l.feature = b.feature), {_boosted_level(3, "rows3", **_LEAFWISE)},
+nodes AS (
+  SELECT s.*, b.feature, b.v, b.gain FROM sums1 s LEFT JOIN best1 b USING (k, node) UNION ALL
+  SELECT s.*, b.feature, b.v, b.gain FROM sums2 s LEFT JOIN chosen b USING (k, node) UNION ALL
+  SELECT s.*, NULL, NULL, NULL FROM sums3 s)"""
+
+
+@query(
+    "m06_leafwise_round",
+    with_sql(
+        f"{modeling_sql()},\n{_LEAVES}",
+        f"SELECT CAST(k AS INTEGER) AS class_id, CAST(node AS INTEGER) AS node, {_NAMES} AS feature, coalesce(v, 0) AS threshold, {r('coalesce(gain, 0)', 'gain', 6)}, {r('h', 'cover', 6)}, "
+        f"round(CASE WHEN feature IS NULL THEN -{d(0.1)} * g / h ELSE 0 END, 7) AS value FROM nodes",
+    ),
+)
+def m06_round(spark, sf):
+    with cached(training(spark, sf)) as rows:
+        model = SoftmaxBoosting.histogram(rounds=1, max_leaves=3, early_stopping=False).fit(rows)
+    return round_rows(model.nodes(spark))
+
+
 def one_round(spark, sf):
     with cached(training(spark, sf)) as rows:
         return SoftmaxBoosting(rounds=1, depth=2, eta=ETA, lam=LAM, min_child_weight=LEAST).fit(rows).nodes(spark)
@@ -84,10 +121,7 @@ def one_round(spark, sf):
 
 @query("m07_boosting_round", with_sql(f"{modeling_sql()},\n{_ROUND}", _ROUND_ROWS))
 def m07_round(spark, sf):
-    nodes = named(one_round(spark, sf))
-    return nodes.select(
-        F.col("class").alias("class_id"), "node", "feature", "threshold", F.round("gain", 6).alias("gain"), F.round("cover", 6).alias("cover"), F.round(F.col("value")[0], 9).alias("value")
-    )
+    return round_rows(one_round(spark, sf))
 
 
 @query(

@@ -1,6 +1,7 @@
 """Classifiers: the prior and naive Bayes against SQL, the iterative ones by rows."""
 
 from pyspark.ml import Pipeline
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from blotter.models.bayes import CategoricalBayes
@@ -120,6 +121,16 @@ def m02(spark, sf):
     return spread(scored, "incident_id")
 
 
+@query("m02_logistic_embeddings")
+def m02_embeddings(spark, sf):
+    """Fitted on four fifths of the vectors, predicting all."""
+    rows = fixtures.table(spark, sf, "embeddings").select(
+        "vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+    )
+    model = MultinomialLogistic(c=1.0, max_iter=30).fit(rows.filter("vec_id % 5 > 0"))
+    return model.transform(rows).select("vec_id", "label", "prediction")
+
+
 def preset_fit(spark, sf, config):
     """A preset whole: its features, its transform and its model, fitted on the development rows, scored on the frozen ones."""
     rows = features.from_config(modeling(spark, sf), config, keep=("incident_id", "target", TS))
