@@ -15,6 +15,10 @@ from blotter.plans.config import ExperimentConfig
 from blotter.plans.experiments import fit_and_score
 from blotter.schema import ROW_KEYS
 from blotter.session import bounded_rows, cached, cut_lineage
+from blotter.sources import results
+
+
+TOP_CLASSES = 15
 
 
 def _prepare(data: DataFrame, config: ExperimentConfig) -> DataFrame:
@@ -40,8 +44,17 @@ class FrozenEvaluation:
             "per_class_metrics": metrics.ranked(per_class),
             "calibration_bins": metrics.calibration_table(self.predictions, n).orderBy("bin"),
             "calibration_summary": metrics.calibration_summary(self.predictions, n),
+            "confusion_matrix": metrics.confusion(self.predictions, n),
+            "top_class_confusion": metrics.top_confusion(self.predictions, n, min(TOP_CLASSES, n)),
+            "leaderboard": metrics.leaderboard(per_class),
+            "reliability": metrics.reliability(metrics.calibration_table(self.predictions, n)),
+            "confidence_histogram": metrics.confidence_histogram(self.predictions),
         }
 
+    def export(self, folder: str) -> dict[str, str]:
+        """All tables as CSV below ``folder``; gives their places."""
+        return results.export_all(self.tables(), folder)
+
 
 def evaluate_frozen(
     config: ExperimentConfig, data: DataFrame, test_start: str = "2014-01-01", materialise: bool = True

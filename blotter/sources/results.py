@@ -74,8 +74,14 @@ def rebuild_master(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return masters[0], masters[1]
 
 
-def export_table(df: DataFrame, path: str, single: bool = True) -> None:
-    """CSV with header. Result tables are small, so one file is the default."""
+#: Tables up to so many rows are exported as one file.
+ONE_FILE_ROWS = 1_000_000
+
+
+def export_table(df: DataFrame, path: str, single: bool | None = None) -> None:
+    """CSV with header; one file unless the table is too long for one task (None: that is counted)."""
+    if single is None:
+        single = df.limit(ONE_FILE_ROWS + 1).count() <= ONE_FILE_ROWS
     frame = df.coalesce(1) if single else df
     frame.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

@@ -182,3 +182,7 @@ def test_final_model(spark, small, tmp_path):
     found = finals.evaluate_frozen(chosen, data, fixtures.TEST_START)
     tables = found.tables()
     assert tables["calibration_bins"].count() == 10 and tables["per_class_metrics"].count() == 7
+    places = found.export(str(tmp_path / "report"))
+    assert len(places) == 9
+    for name, place in places.items():
+        assert spark.read.option("header", True).csv(place).count() == tables[name].count(), name

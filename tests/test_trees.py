@@ -55,7 +55,7 @@ def test_boosting_by_levels_and_by_rows(spark, frame, make, monkeypatch):
     """The same trees from histograms of whole levels, from gathered rows, and from other partitions."""
     gathered = listed(make().fit(frame), spark)
     monkeypatch.setattr(boosting, "GATHERED", 0)
-    monkeypatch.setattr(boosting, "CELLS", 700)
+    monkeypatch.setattr(boosting, "CELLS", 30_000)
     assert listed(make().fit(frame.repartition(16)), spark) == gathered
     monkeypatch.setattr(binned, "TASK_ROWS", 300)
     assert listed(make().fit(frame.repartition(3, "id")), spark) == gathered
