@@ -46,28 +46,64 @@ KINDS = (
 )
 BASE = sum(not k.weak for k in KINDS)
 SCOPE = 400
+#: Matches whose spans are listed one after the other.
+STRETCH = 256
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
 def _located(text: Column, kind: Kind, index: int) -> Column:
-    """Spans of a kind: the pieces between matches and the matches themselves, laid end to end."""
+    """Spans of a kind: the pieces between matches and the matches themselves, laid end to end.
+
+    Lists only grow within stretches of ``STRETCH`` matches, whose own starts are added afterwards, so the time does not
+    grow with the square of the matches.
+    """
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    laid = F.zip_with(F.split(text, kind.pattern, -1), matches, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+    laid = F.zip_with(F.split(text, kind.pattern, -1), matches, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(hit), F.lit(0)).alias("size"), _good(hit, kind).alias("good")))
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        good = x["hit"].isNotNull()
-        for needed in kind.valid:
-            good = good & x["hit"].rlike(needed)
+        end = start + x["size"]
         span = F.array(F.struct(start.alias("start"), F.lit(index).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(good, F.concat(state["out"], span)).otherwise(state["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(x["good"], F.concat(state["out"], span)).otherwise(state["out"]).alias("out"))
 
     none = F.array().cast(SPAN)
-    found = F.aggregate(laid, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+    stretch = lambda part: F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+    # Bound to a lambda's variable, the list is made once and not for each stretch.
+    cut = lambda whole: F.transform(F.sequence(F.lit(1), F.greatest(F.size(whole), F.lit(1)), F.lit(STRETCH)), lambda i: stretch(F.slice(whole, i, STRETCH)))
+    parts = F.get(F.transform(F.array(laid), cut), F.lit(0))
+
+    def moved(state: Column, part: Column) -> Column:
+        at = state["at"]
+        shifted = F.transform(part["out"], lambda s: F.struct((s["start"] + at).alias("start"), s["kind"].alias("kind"), (s["end"] + at).alias("end")))
+        return F.struct((at + part["at"]).alias("at"), F.concat(state["out"], F.array(shifted)).alias("out"))
+
+    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), moved, lambda s: F.flatten(s["out"]))
     return F.when(text.rlike(kind.pattern), found).otherwise(none)
 
 
+def _good(hit: Column, kind: Kind) -> Column:
+    good = hit.isNotNull()
+    for needed in kind.valid:
+        good = good & hit.rlike(needed)
+    return good
+
+
+def _same(left: str, right: str) -> Column:
+    return F.col(f"{left}._d").eqNullSafe(F.col(f"{right}._d")) & (F.col(f"{left}._h") == F.col(f"{right}._h"))
+
+
+def _free(rows: DataFrame, scope: int) -> DataFrame:
+    """The weak parts (``_d``, ``_h``, ``p``) of ``rows`` that overlap no base span, compared within stretches of ``scope``."""
+    touched = lambda p: F.explode(F.sequence(F.floor(F.col(f"{p}.start") / scope), F.floor((F.col(f"{p}.end") - 1) / scope))).alias("bucket")
+    weak = rows.filter(F.size("weak") > 0).select("_d", "_h", F.explode("weak").alias("p"))
+    base = rows.filter((F.size("weak") > 0) & (F.size("base") > 0)).select("_d", "_h", F.explode("base").alias("b"))
+    # Base spans of a kind don't overlap, so a stretch holds a bounded number of them.
+    held = base.select("_d", "_h", "b", touched("b")).groupBy("_d", "_h", "bucket").agg(F.collect_list("b").alias("held"))
+    met = weak.select("_d", "_h", "p", touched("p")).alias("w").join(held.alias("b"), _same("w", "b") & (F.col("w.bucket") == F.col("b.bucket")))
+    met = met.filter(F.exists("held", lambda b: (b["start"] < F.col("p.end")) & (F.col("p.start") < b["end"]))).select("w._d", "w._h", "p")
+    return weak.alias("w").join(met.distinct().alias("m"), _same("w", "m") & (F.col("w.p") == F.col("m.p")), "left_anti")
+
+
 def spans(docs: DataFrame, scope: int = SCOPE, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, out: str = "spans") -> DataFrame:
     """Columns ``keep`` of ``docs`` (default: all) with ``out``, each row's spans ordered by start, kind and end.
 
@@ -78,13 +114,10 @@ def spans(docs: DataFrame, scope: int = SCOPE, text: str = "text", doc_id: str =
     base, weak = (F.concat(*(_located(F.col("_t"), k, i) for i, k in enumerate(KINDS) if k.weak == side)) for side in (False, True))
     key = docs.select(F.col(quoted(doc_id)).alias("_d"), text_or_empty(quoted(text)).alias("_t"))
     rows = key.select("_d", F.xxhash64("_t").alias("_h"), base.alias("base"), weak.alias("weak"))
-    rows = rows.filter((F.size("base") > 0) | (F.size("weak") > 0)).withColumn(
-        "weak", F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    )
-    rows = cut_lineage(rows.distinct())
+    rows = cut_lineage(rows.filter((F.size("base") > 0) | (F.size("weak") > 0)).distinct())
 
     role = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (i, k.role)))[F.col("p.kind")]
-    parts = rows.filter(F.size("weak") > 0).select("_d", "_h", F.explode(F.concat("base", "weak")).alias("p"))
+    parts = rows.filter(F.size("weak") > 0).select("_d", "_h", F.explode("base").alias("p")).unionByName(_free(rows, scope))
     parts = parts.select("_d", "_h", "p", role.alias("role"), F.col("p.start").alias("at"), F.floor(F.col("p.start") / scope).alias("bucket"))
     ends = parts.groupBy("_d", "_h", "bucket").agg(
         *(f(F.when(F.col("role") == r, F.col("at"))).alias(f"{r}_{n}") for r in ("id", "secret") for f, n in ((F.min, "first"), (F.max, "last")))

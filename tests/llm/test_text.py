@@ -225,6 +225,22 @@ def test_secret_digest(spark, documents):
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
 
 
+def test_secrets_of_many_matches(spark):
+    """200,000 assignments in one text, and as many weak parts in another, each in well under a minute."""
+    import time
+
+    n = 200_000
+    strong, mixed = "token=abcdefgh1 ", "token=abcdefgh1 login: someone pass=abcdefg "
+    docs = spark.createDataFrame([(1, strong * n), (2, mixed * (n // 2))], "doc_id long, text string")
+    started = time.time()
+    found = secrets.spans(docs, keep=["doc_id"]).select("doc_id", F.size("spans").alias("n"), F.element_at("spans", 1).alias("first"), F.element_at("spans", -1).alias("last")).collect()
+    assert time.time() - started < 120
+    by_id = {r["doc_id"]: r for r in found}
+    assert by_id[1]["n"] == n and by_id[1]["last"]["end"] == len(strong) * n - 1
+    assert by_id[2]["n"] == 3 * (n // 2) and by_id[2]["last"]["end"] == len(mixed) * (n // 2) - 1
+    assert by_id[2]["first"]["start"] == 0
+
+
 def test_secrets_odd_rows(spark, odd, empty):
     assert secrets.spans(odd).count() == odd.count() and secrets.spans(odd).columns[-1] == "_spans"
     assert secrets.spans(empty).count() == 0
@@ -302,4 +318,4 @@ def test_query_names_agree():
     from blotter.llm import queries
 
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
-    assert {n for n in queries.SQL} == {"op1_warc", "op2_licenses", "op3_secrets"} and query_licenses
+    assert {n for n in queries.SQL} == {"op1_warc", "op2_licenses", "op3_secrets", "op12_collocations", "op13_lexical_search"} and query_licenses
