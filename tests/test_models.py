@@ -17,7 +17,7 @@ from blotter.models.prior import ClassPrior
 from blotter.operators import attribution, metrics
 from blotter.operators.encoding import ColumnEncoder
 from blotter.operators.geo import GeoEncoder
-from blotter.plans import assemble, config, experiments, finals
+from blotter.plans import assemble, config, experiments, explanation, finals
 from blotter.session import cut_lineage
 from blotter.sources import fixtures, results
 from workload.base import modeling
@@ -186,3 +186,22 @@ def test_final_model(spark, small, tmp_path):
     assert len(places) == 9
     for name, place in places.items():
         assert spark.read.option("header", True).csv(place).count() == tables[name].count(), name
+
+
+def test_explanation(spark, small, tmp_path):
+    """One plan: names instead of slots, trees' importances, and attributions that add up between prediction and background."""
+    data = modeling(spark, small)
+    chosen = config.random_forest_baseline().but(experiment_name="explained", geo_mode="raw", forest_n_estimators=3, forest_max_depth=4, add_cyclical=False)
+    found = explanation.explain(chosen, data, size=60, permutations=3)
+    tables = found.tables()
+    names = {r["feature"] for r in tables["shap_global_importance"].collect()}
+    assert names == set(found.names) and {"incident_hour", "pd_district"} < names
+    importance = {r["feature"]: r for r in tables["tree_importance"].collect()}
+    assert set(importance) <= names and all(r["weight"] > 0 and r["cover"] > 0 for r in importance.values())
+    assert tables["top_gain"].count() == min(20, len(importance))
+    sums = found.attributions.groupBy("incident_id").agg(F.sum("phi").alias("s")).agg(F.max(F.abs("s"))).first()[0]
+    assert sums < 1e-9  # probabilities of all classes add up to one on both sides
+    assert found.of_class("C2").select("class_id").distinct().first()[0] == 2
+    assert len(found.export(str(tmp_path / "explained"))) == 5
+    with pytest.raises(ValueError, match="no encoded features"):
+        explanation.explain(config.dummy_baseline(), data)

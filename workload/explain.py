@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from blotter.models.forest import Forest
 from blotter.operators import attribution
+from blotter.plans import explanation
 from blotter.sources import fixtures
 from workload.base import d, modeling, modeling_query, modeling_sql, query, r, rounded, with_sql
 from workload.frames import HASH
-from workload.modelling import CLASSES, K, fitted, small_rows
+from workload.modelling import CLASSES, K, SMALL_FOREST, fitted, small_rows
 
 
 @query(
@@ -84,6 +85,14 @@ def x03_sampled(spark, sf):
     return rounded(attribution.global_importance(phi))
 
 
+@query("x08_explanation")
+def x08(spark, sf):
+    """Fit on all rows, then names, split counts and sampled attributions of one plan, side by side."""
+    found = explanation.explain(SMALL_FOREST, modeling(spark, sf), permutations=2).tables()
+    both = found["shap_global_importance"].join(found["tree_importance"], "feature", "left")
+    return rounded(both)
+
+
 _CELLS = " UNION ALL ".join(
     f"SELECT o_orderkey AS row_id, 'f{f}' AS feature, {c} AS class_id, "
     f"CAST((o_orderkey*{f + 3} + {17 * c}) % 101 - 50 AS DOUBLE) / {d(100)} AS phi FROM orders"
