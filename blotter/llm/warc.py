@@ -20,6 +20,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 import pyarrow.fs
@@ -91,21 +92,40 @@ def _roles(pages: DataFrame, payload: str, page_id: str, url: str, least: int) -
 
 
 def _shards(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """``rows`` with their ``shard``: page ranges of about ``shard_bytes``; a range too full is cut by hash."""
-    low, high = rows.agg(F.min("page"), F.max("page")).first()
-    width = max(1, -(-(high - low + 1) // SLICES)) if low is not None else 1
-    piece = F.when(F.col("page").isNull(), F.lit(-1)).otherwise(F.floor((F.col("page") - F.lit(low if low is not None else 0)) / width)).cast("long")
-    rows = rows.withColumn("slice", piece)
-    sizes = rows.groupBy("slice").agg(F.sum(F.coalesce(F.length("payload"), F.lit(0)) + HEADER_BYTES).alias("bytes")).collect()
+    """``rows`` with their ``shard``: page ranges of about ``shard_bytes``.
+
+    Ranges are narrowed by counts: one that is too full is divided between its smallest and largest page, until it is small
+    enough or a single page, and only rows of one page are dealt by hash. So shards are in page order whatever the gaps.
+    """
+    spark = rows.sparkSession
+    load = F.sum(F.coalesce(F.length("payload"), F.lit(0)) + HEADER_BYTES)
+    rows = rows.withColumn("slice", F.when(F.col("page").isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long"))
+    settled, fresh, divided = [], -1, 1
+    while True:
+        # At most a few rows per shard come back, and only of the ranges divided last.
+        found = rows.filter(F.col("slice") >= fresh).groupBy("slice").agg(load.alias("bytes"), F.min("page"), F.max("page")).collect()
+        table, fresh = [], divided
+        for s, size, low, high in sorted(found):
+            if s >= 0 and low < high and (size > shard_bytes or s == 0):
+                parts = max(SLICES if s == 0 else 2, 4 * -(-size // shard_bytes))
+                table.append((s, Decimal(low), Decimal(-(-(high - low + 1) // parts)), divided))
+                divided += parts
+            else:
+                settled.append((low if s >= 0 else None, s, size))
+        if not table:
+            break
+        borders = spark.createDataFrame(table, "slice long, low decimal(20,0), width decimal(20,0), first long")
+        place = F.expr("first + (cast(page as decimal(20,0)) - low) div width")
+        rows = rows.join(F.broadcast(borders), "slice", "left").withColumn("slice", F.coalesce(place, F.col("slice"))).drop("low", "width", "first")
     plan, shard, filled = [], 0, 0
-    for s, size in sorted((r["slice"], r["bytes"]) for r in sizes):
+    for _, s, size in sorted(settled, key=lambda x: (x[0] is not None, x[0] or 0)):
         if filled and filled + size > shard_bytes:
             shard, filled = shard + 1, 0
         parts = max(1, round(size / shard_bytes))
         plan.append((s, shard, parts))
         shard, filled = (shard + parts, 0) if parts > 1 else (shard, filled + size)
     table = pa.table({"slice": pa.array([p[0] for p in plan], pa.int64()), "first": pa.array([p[1] for p in plan], pa.int32()), "parts": pa.array([p[2] for p in plan], pa.int32())})
-    borders = F.broadcast(rows.sparkSession.createDataFrame(table))  # at most SLICES + 1 rows
+    borders = F.broadcast(spark.createDataFrame(table))  # a few rows per shard, and SLICES
     part = F.pmod(F.xxhash64("page", "url", "sha"), F.col("parts").cast("long"))
     return rows.join(borders, "slice").withColumn("shard", (F.col("first") + part).cast("int")).drop("slice", "first", "parts"), shard + 1
 

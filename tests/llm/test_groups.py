@@ -355,6 +355,23 @@ def test_archive_round_trip(spark):
     assert all((r["refers_to"] is None) == (r["record_type"] == "response") for r in got)
 
 
+@pytest.mark.parametrize("kind", ["far", "extreme", "one"])
+def test_archive_shards_in_page_order(spark, kind):
+    """One far identifier, the two ends of the range, many rows of one page: shards stay ranges of pages, no row is lost."""
+    pages = {"far": [*range(1, 1500), 10**15], "extreme": [-(2**63), 2**63 - 1, *range(-300, 300)], "one": [7] * 400 + [*range(10, 400)]}[kind]
+    rows = [(p, f"http://a/{i}", f"<p>{p} {i}" + "x" * 200) for i, p in enumerate(pages)]
+    docs = pages_of(spark, rows).withColumn("shard", F.lit("x")).withColumn("slice", F.lit(1)).withColumn("size", F.lit(None))
+    folder = scratch_path(spark, "archive")
+    manifest = {r["name"]: r["shard"] for r in warc.write(docs, folder, shard_bytes=40_000).collect()}
+    got = warc.read(spark, folder).collect()
+    assert sorted(int(r["page_id"]) for r in got) == sorted(pages)
+    spans = {}
+    for r in got:
+        spans.setdefault(next(shard for name, shard in manifest.items() if r["file"].endswith(name)), []).append(int(r["page_id"]))
+    edges = [(min(v), max(v)) for _, v in sorted(spans.items())]
+    assert len(edges) > 5 and all(a[1] < b[0] or (kind == "one" and a[1] == b[0] == 7) for a, b in zip(edges, edges[1:]))
+
+
 def test_archive_least_and_empty(spark):
     rows = [(1, "a", "x"), (2, "b", "x"), (3, "c", "yy"), (4, "d", "yy")]
     folder = scratch_path(spark, "archive")
