@@ -43,7 +43,7 @@ def named(nodes):
 
 def round_rows(nodes):
     return named(nodes).select(
-        F.col("class").alias("class_id"), "node", "feature", "threshold", F.round("gain", 6).alias("gain"), F.round("cover", 6).alias("cover"), F.round(F.col("value")[0], 7).alias("value")
+        F.col("class").alias("class_id"), "node", "feature", "threshold", F.round("gain", 4).alias("gain"), F.round("cover", 4).alias("cover"), F.round(F.col("value")[0], 7).alias("value")
     )
 
 
@@ -81,7 +81,7 @@ nodes AS (
   SELECT s.*, b.feature, b.v, b.gain FROM sums2 s LEFT JOIN best2 b USING (k, node) UNION ALL
   SELECT s.*, NULL, NULL, NULL FROM sums3 s)"""
 _ROUND_ROWS = (
-    f"SELECT CAST(k AS INTEGER) AS class_id, CAST(node AS INTEGER) AS node, {_NAMES} AS feature, coalesce(v, 0) AS threshold, {r('coalesce(gain, 0)', 'gain', 6)}, {r('h', 'cover', 6)}, "
+    f"SELECT CAST(k AS INTEGER) AS class_id, CAST(node AS INTEGER) AS node, {_NAMES} AS feature, coalesce(v, 0) AS threshold, {r('coalesce(gain, 0)', 'gain', 4)}, {r('h', 'cover', 4)}, "
     f"round(CASE WHEN feature IS NULL THEN -{d(ETA)} * g / (h + {d(LAM)}) ELSE 0 END, 7) AS value FROM nodes"
 )
 
@@ -104,7 +104,7 @@ nodes AS (
     "m06_leafwise_round",
     with_sql(
         f"{modeling_sql()},\n{_LEAVES}",
-        f"SELECT CAST(k AS INTEGER) AS class_id, CAST(node AS INTEGER) AS node, {_NAMES} AS feature, coalesce(v, 0) AS threshold, {r('coalesce(gain, 0)', 'gain', 6)}, {r('h', 'cover', 6)}, "
+        f"SELECT CAST(k AS INTEGER) AS class_id, CAST(node AS INTEGER) AS node, {_NAMES} AS feature, coalesce(v, 0) AS threshold, {r('coalesce(gain, 0)', 'gain', 4)}, {r('h', 'cover', 4)}, "
         f"round(CASE WHEN feature IS NULL THEN -{d(0.1)} * g / h ELSE 0 END, 7) AS value FROM nodes",
     ),
 )
