@@ -317,5 +317,5 @@ def test_leaks_odd_rows(spark, odd, empty):
 def test_query_names_agree():
     from blotter.llm import queries
 
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert {n for n in queries.SQL} == {"op1_warc", "op2_licenses", "op3_secrets", "op12_collocations", "op13_lexical_search"} and query_licenses
