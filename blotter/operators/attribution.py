@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from blotter.functions.probability import number
 from blotter.operators.quantiles import grouped_quantiles
 from blotter.operators.splits import HASH_RANGE, row_hash
+from blotter.session import cut_lineage
 
 SAMPLE_SIZE = 2000
 
@@ -149,11 +150,16 @@ def class_id_of(name: str, classes: list[str]) -> int:
 
 
 def distribution(one_class: DataFrame, probs=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Spread of the contributions per feature; quantiles are exact, and no feature is gathered in one task."""
-    spread = one_class.groupBy("feature").agg(
-        F.count("*").alias("rows"), F.min("phi").alias("low"), F.max("phi").alias("high"), F.avg(F.abs("phi")).alias("mean_abs")
+    """Spread of the contributions per feature; quantiles are exact, and no feature is gathered in one task.
+
+    The contributions are read once, into counts by value; all passes go over those.
+    """
+    counted = cut_lineage(one_class.groupBy("feature", "phi").agg(F.count("*").alias("n")))
+    known = F.sum(F.when(F.col("phi").isNotNull(), F.col("n")))
+    spread = counted.groupBy("feature").agg(
+        F.sum("n").alias("rows"), F.min("phi").alias("low"), F.max("phi").alias("high"), (F.sum(F.abs("phi") * F.col("n")) / known).alias("mean_abs")
     )
-    found = grouped_quantiles(one_class, "feature", "phi", probs)
+    found = grouped_quantiles(counted, "feature", "phi", probs, weight="n")
     names = [f"q{round(p * 100)}" for p in probs]
     schema = T.StructType([one_class.schema["feature"], *(T.StructField(n, T.DoubleType()) for n in names)])
     table = one_class.sparkSession.createDataFrame([(f, *q) for f, q in found.items()], schema)

@@ -161,15 +161,16 @@ def exact_quantiles(
     }
 
 
-def grouped_quantiles(df: DataFrame, group: str, value: str, probs, limit: int = 100_000) -> dict:
+def grouped_quantiles(df: DataFrame, group: str, value: str, probs, limit: int = 100_000, weight: str | None = None) -> dict:
     """Linear quantiles of ``value`` per group, ``{group: [quantile, ...]}``; no group is gathered or sorted.
 
     Every wanted rank of every group has a bracket; a pass counts rows in slices of all brackets at once. Null and NaN are
     missing, a group without values is left out, infinite values raise. At most ``limit`` groups, whose brackets are
-    broadcast.
+    broadcast. ``weight`` names the number of times a row counts.
     """
-    rows = df.select(F.col(group).alias("g"), F.expr(known(value)).alias("v")).filter("v is not null")
-    stats = bounded_rows(rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")), limit, "groups")
+    times = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    rows = df.select(F.col(group).alias("g"), F.expr(known(value)).alias("v"), times.alias("w")).filter("v is not null")
+    stats = bounded_rows(rows.groupBy("g").agg(F.sum("w").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")), limit, "groups")
     if any(math.isinf(s["low"]) or math.isinf(s["high"]) for s in stats):
         raise ValueError(f"infinite values in {value}")
     ranks = {s["g"]: [wanted_ranks(s["n"], p, "linear") for p in probs] for s in stats}
@@ -188,7 +189,7 @@ def grouped_quantiles(df: DataFrame, group: str, value: str, probs, limit: int =
         part = F.expr("if(greatest(abs(low), abs(high)) > 1e300, (v / 2 - low / 2) / (high / 2 - low / 2), (v - low) / (high - low))")
         slot = F.least(F.floor(part * SLICES), F.lit(SLICES - 1)).cast("int")
         held = rows.join(F.broadcast(table), rows["g"].eqNullSafe(table["g"])).filter("v >= low and v <= high")
-        counts = held.groupBy("i", "rank", slot.alias("slot")).agg(F.count("*").alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
+        counts = held.groupBy("i", "rank", slot.alias("slot")).agg(F.sum("w").alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
         upto = F.sum("n").over(Window.partitionBy("i").orderBy("slot"))
         hit = counts.withColumn("left", F.col("rank") - (upto - F.col("n"))).filter("left >= 0 and left < n")
         for r in hit.select("i", "first", "last", "left").collect():  # one row per open rank
