@@ -123,8 +123,10 @@ def profile(df: DataFrame, columns) -> dict[str, dict]:
         "mean": "avg",
         "var": "var_pop",
     }
-    stats = lambda c: ", ".join(f"'{k}', {f}({known(c)})" for k, f in kinds.items())
-    row = df.agg(F.count("*").alias("rows"), *[F.expr(f"named_struct({stats(c)})").alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    stats = lambda c: ", ".join(f"'{k}', {f}({c})" for k, f in kinds.items())
+    # A column is read once for all its aggregates.
+    read = df.select(*[F.expr(known(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    row = read.agg(F.count("*").alias("rows"), *[F.expr(f"named_struct({stats(f'c{i}')})").alias(f"c{i}") for i in range(len(columns))]).first()
     endless = [c for i, c in enumerate(columns) if {row[f"c{i}"]["low"], row[f"c{i}"]["high"]} & {math.inf, -math.inf}]
     if endless:
         raise ValueError(f"infinite values in {endless}")
