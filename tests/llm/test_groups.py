@@ -224,6 +224,29 @@ def test_substrings(spark, options):
     assert got == repeats_of([(d, (t or "").encode()) for d, t in rows], 40)
 
 
+def test_substrings_near_copies(spark, monkeypatch):
+    """Contents of a crowded leader are cut into blocks of many windows; only blocks that hold a difference are cut further."""
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choices("abcdefgh", k=6))
+    base, rows, cut = [word() for _ in range(40)], [], []
+    for i in range(60):
+        text = list(base)
+        text[draw.randrange(40)] = word()
+        rows.append((i, " ".join(text)))
+    whole = substrings._blocks
+
+    def counted(hot, *rest):
+        windows = hot.agg(F.sum("n")).first()[0]
+        out = whole(hot, *rest)
+        cut.append((out.count(), windows, rest[-1]))
+        return out
+
+    monkeypatch.setattr(substrings, "_blocks", counted)
+    got = Counter(tuple(r) for r in query_substrings.digest(spark.createDataFrame(rows, "doc_id long, text string"), length=100, gram=20, hot=16).collect())
+    assert got == repeats_of([(d, t.encode()) for d, t in rows], 100)
+    assert cut and cut[0][0] < cut[0][1] / 8 and sum(n for n, _, _ in cut) < cut[0][1] / 3
+
+
 def test_substrings_chunks(spark, monkeypatch):
     data = bytes(random.Random(1).choices(b"ab", k=5000))
     whole = {a + i for _, a, n in substrings.stretches(data, 40, 12) for i in range(n)}
