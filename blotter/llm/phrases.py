@@ -35,6 +35,8 @@ UNKNOWN = "und"
 SLICES = 64
 #: Words a chunk holds.
 CHUNK = 2_000_000
+#: Shares of a chunk's fingerprints that are sorted one after the other, and places whose fingerprints are computed at once.
+SHARES, STEP = 8, 1 << 16
 #: Bits of the bitmap of frequent fingerprints; 16 MiB.
 BITMAP = 1 << 27
 #: Odd multipliers of the polynomials.
@@ -93,28 +95,42 @@ class _Chunk:
         ends = np.cumsum(sizes)
         which = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         # The number of a word within its document counts words only.
-        real = np.cumsum(ids != 0)
+        real = np.cumsum(ids != 0, dtype=np.int32)
         before = np.concatenate([[0], real])[ends - sizes]
         lang = np.array([p[3] for p in self.parts], np.int64)
         docs, firsts, known = (np.array([p[j] for p in self.parts], np.int64) for j in (1, 2, 4))
+        self.parts = []
         lists = list(self.ids)
         hashed, again = (np.array([xxhash.xxh64_intdigest(w, seed) for w in lists], np.uint64) for seed in (42, 43))
         tongue = np.array([xxhash.xxh64_intdigest(t.encode(), 7) for t in self.langs], np.uint64)
-        powers, back = _powers(BASE, size + 1), _powers(pow(BASE, -1, 1 << 64), size + 1)
+        powers = _powers(BASE, size)
+        powers *= hashed[ids]
         prefix = np.zeros(size + 1, np.uint64)
-        np.cumsum(hashed[ids] * powers[:size], out=prefix[1:])
+        np.cumsum(powers, out=prefix[1:])
         del powers
+        back = _powers(pow(BASE, -1, 1 << 64), size + 1)
         # Breaks, and the ends of stretches, lie ahead at this distance.
-        stops = np.where(ids == 0, np.arange(size), size)
-        room = np.minimum(np.minimum.accumulate(stops[::-1])[::-1], ends[which]) - np.arange(size)
+        places = np.arange(size, dtype=np.int32)
+        room = np.where(ids == 0, places, np.int32(size))
+        room = np.minimum.accumulate(room[::-1])[::-1]
+        room = np.minimum(room, ends.astype(np.int32)[which])
+        room -= places
+        del places
         low = np.uint64(MASK >> (64 - bits))
 
-        def fingerprints(at: np.ndarray, m: int) -> np.ndarray:
-            poly = (prefix[at + m] - prefix[at]) * back[at] + tongue[lang[which[at]]] * np.uint64(2 * m + 1)
-            poly ^= poly >> np.uint64(29)
-            poly *= np.uint64(OTHER)
-            poly ^= poly >> np.uint64(32)
-            return poly & low
+        def fingerprints(places: np.ndarray, m: int) -> np.ndarray:
+            out = np.empty(len(places), np.uint64)
+            for start in range(0, len(places), STEP):
+                at = places[start : start + STEP]
+                poly = (prefix[at + m] - prefix[at]) * back[at] + tongue[lang[which[at]]] * np.uint64(2 * m + 1)
+                poly ^= poly >> np.uint64(29)
+                poly *= np.uint64(OTHER)
+                poly ^= poly >> np.uint64(32)
+                out[start : start + STEP] = poly & low
+            return out
+
+        def starts(n: int) -> np.ndarray:
+            return np.flatnonzero(room >= n).astype(np.int32)
 
         if orders[0] == 1:
             # One row per language counts all its words; its place is -1, its n is 0.
@@ -125,39 +141,42 @@ class _Chunk:
         if pairs is not None:
             # The shorter n-gram at each place is looked up once, then a longer one needs a run of them.
             usual = np.zeros(size + 1, np.int32)
-            at = np.flatnonzero(room >= shorter)
+            at = starts(shorter)
             usual[at[has(pairs, fingerprints(at, shorter))] + 1] = 1
-            usual = np.cumsum(usual)
+            usual = np.cumsum(usual, dtype=np.int32)
         for n in orders:
-            at = np.flatnonzero(room >= n)
-            at = at[at + n > (ends - sizes + known)[which[at]]]
+            at = starts(n)
+            at = at[at + n > (ends - sizes + known).astype(np.int32)[which[at]]]
             if pairs is not None:
                 span = n - shorter + 1
                 at = at[usual[at + span] - usual[at] == span]
-            if not len(at):
-                continue
-            fp = fingerprints(at, n)
-            order = np.argsort(fp, kind="stable")
-            fp, at = fp[order], at[order]
-            first = np.concatenate([[True], fp[1:] != fp[:-1]])
-            group = np.cumsum(first) - 1
-            same = lang[which[at]] == lang[which[at[first]]][group]
-            for j in range(n):
-                same &= ids[at + j] == ids[at[first] + j][group]
-            if not same.all():
-                # Fingerprints that several phrases of the chunk share: sort those by the words.
-                keys = np.column_stack([group, lang[which[at]], *(ids[at + j] for j in range(n))])
-                order = np.lexsort(keys.T[::-1])
-                keys, fp, at = keys[order], fp[order], at[order]
-                first = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
-            start = np.flatnonzero(first)
-            at, fp = at[start], fp[start]
-            second = tongue[lang[which[at]]].copy()
-            for j in range(n):
-                second = (second ^ again[ids[at + j]]) * np.uint64(OTHER)
-                second ^= second >> np.uint64(31)
-            place = real[at] - 1 - before[which[at]] + firsts[which[at]]
-            yield fp, second >> np.uint64(32) | np.uint64(n << 32), np.diff(np.append(start, len(first))), docs[which[at]], place
+            every, numbers = at, fingerprints(at, n)
+            for share in range(SHARES):
+                mine = numbers % np.uint64(SHARES) == share
+                at, fp = every[mine], numbers[mine]
+                if not len(at):
+                    continue
+                order = np.argsort(fp, kind="stable")
+                fp, at = fp[order], at[order]
+                first = np.concatenate([[True], fp[1:] != fp[:-1]])
+                group = np.cumsum(first) - 1
+                same = lang[which[at]] == lang[which[at[first]]][group]
+                for j in range(n):
+                    same &= ids[at + j] == ids[at[first] + j][group]
+                if not same.all():
+                    # Fingerprints that several phrases of the chunk share: sort those by the words.
+                    keys = np.column_stack([group, lang[which[at]], *(ids[at + j] for j in range(n))])
+                    order = np.lexsort(keys.T[::-1])
+                    keys, fp, at = keys[order], fp[order], at[order]
+                    first = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
+                start = np.flatnonzero(first)
+                at, fp = at[start], fp[start]
+                second = tongue[lang[which[at]]].copy()
+                for j in range(n):
+                    second = (second ^ again[ids[at + j]]) * np.uint64(OTHER)
+                    second ^= second >> np.uint64(31)
+                place = real[at] - 1 - before[which[at]] + firsts[which[at]]
+                yield fp, second >> np.uint64(32) | np.uint64(n << 32), np.diff(np.append(start, len(first))), docs[which[at]], place
 
 
 def fingerprint(found: list[bytes], lang: str, bits: int = 64) -> int:

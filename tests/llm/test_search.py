@@ -135,6 +135,22 @@ def test_collisions_and_stretches_change_nothing(noise, bits, monkeypatch):
     assert collocated(docs, 40, least=5, bits=bits) == plain and len(plain) > 80
 
 
+def test_chunks_take_little_memory():
+    """A chunk's n-grams are computed and sorted piece by piece: all of it together took more than 70 bytes a word."""
+    import tracemalloc
+
+    chunk, draw, size = phrases._Chunk(), np.random.default_rng(3), 400_000
+    numbers = [chunk.ids[b"w%d" % i] for i in range(5000)]
+    chunk.add(draw.choice(np.array(numbers, np.int32), size), 0, 0, "en", 0)
+    tracemalloc.start()
+    try:
+        found = sum(int(count.sum()) for _, _, count, _, _ in chunk.grams((2,), None, 0, 64))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == size - 1 and peak < 70 * size
+
+
 def test_collocations_of_nothing(noise, empty):
     assert phrases.collocations(phrases.counts(empty)).count() == 0
     assert collocated(noise[1], least=10_000) == []
