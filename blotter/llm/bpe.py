@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import base64
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -24,7 +27,7 @@ from blotter.llm.common import fresh_name, map_arrow
 #: Letters that stand for the bytes 0 to 255.
 FIRST_LETTER = 0x100
 #: Distinct pre-tokens a worker remembers before it starts anew; only speed depends on it.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Rows an output batch holds at most.
 BATCH_ROWS = 256
 
@@ -42,8 +45,12 @@ def read_ranks(path: str) -> list[bytes]:
     return [ranks[i] for i in range(len(ranks))]
 
 
+#: The letter of every byte, by the character of its number.
+LETTERS = {b: FIRST_LETTER + b for b in range(256)}
+
+
 def letters(data: bytes) -> str:
-    return "".join(chr(FIRST_LETTER + b) for b in data)
+    return data.decode("latin-1").translate(LETTERS)
 
 
 def _varint(n: int) -> bytes:
@@ -89,32 +96,38 @@ class Encoder:
         self.piece = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.find = regex.compile(pattern).findall
         self.rank = {t: i for i, t in enumerate(tokens)}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The identifiers as 32-bit numbers in a row."""
+        # A text may hold several groups in its pattern; findall gives strings as long as there is none.
         parts = self.find(text)
+        try:
+            return b"".join(map(self.known.__getitem__, parts))
+        except KeyError:
+            self._learn(set(parts))
+            return b"".join(map(self.known.__getitem__, parts))
+
+    def _learn(self, parts: set[str]) -> None:
         known = self.known
-        # A text may hold several groups in its pattern; findall gives strings as long as there is none.
-        new = [p for p in set(parts) if p not in known]
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(set(parts))
-            rest = []
-            for part in new:
-                data = part.encode()
-                whole = self.rank.get(data)
-                if whole is None:
-                    rest.append((part, letters(data)))
-                else:
-                    known[part] = [whole]
-            if rest:
-                for (part, _), ids in zip(rest, self.piece.encode([x for _, x in rest], out_type=int, num_threads=1)):
-                    known[part] = ids
-        out: list[int] = []
-        for part in parts:
-            out += known[part]
-        return out
+        new = [p for p in parts if p not in known]
+        if len(known) > REMEMBERED:
+            known.clear()
+            new = list(parts)
+        rest = []
+        for part in new:
+            data = part.encode()
+            whole = self.rank.get(data)
+            if whole is None:
+                rest.append((part, letters(data)))
+            else:
+                known[part] = whole.to_bytes(4, sys.byteorder)
+        if rest:
+            for (part, _), ids in zip(rest, self.piece.encode([x for _, x in rest], out_type=int, num_threads=1)):
+                known[part] = array("i", ids).tobytes()
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -138,8 +151,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
         for whole in batches:
             for batch in _slices(whole):
                 encoder = encoder or Encoder(*shared.value)
-                ids = [encoder.encode(t or "") for t in batch.column(where).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, name])
+                packed = [encoder.packed(t or "") for t in batch.column(where).to_pylist()]
+                ends = np.cumsum([0, *map(len, packed)]) // 4
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, name])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
     return map_arrow(docs, run, schema)
@@ -152,17 +167,16 @@ def decode(encoded: DataFrame, path: str, ids: str = "token_ids", out: str = "de
     name = fresh_name(encoded, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = pa.array(shared.value, pa.binary())
         for whole in batches:
-            piece = shared.value.__getitem__
             for batch in _slices(whole):
                 column = batch.column(where)
-                # Numbers leave the batch in one piece; null lists are empty stretches.
-                flat, sizes = column.flatten().to_numpy(zero_copy_only=False).tolist(), pc.fill_null(pc.list_value_length(column), 0).to_pylist()
-                texts, at = [], 0
-                for size in sizes:
-                    texts.append(b"".join(map(piece, flat[at : at + size])))
-                    at += size
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, name])
+                # Tokens are taken in one piece and cut where lists end; null lists are empty.
+                sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                _, bounds, data = tokens.take(column.flatten()).buffers()
+                bounds = np.frombuffer(bounds, np.int32)[np.cumsum([0, *sizes])]
+                texts = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds), data or pa.py_buffer(b"")])
+                yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, name])
 
     schema = T.StructType([*encoded.schema.fields, T.StructField(name, T.BinaryType())])
     return map_arrow(encoded, run, schema)

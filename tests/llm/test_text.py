@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +40,16 @@ def test_bpe_random_texts(reference):
         assert b"".join(tokens[i] for i in encoder.encode(text)).decode() == text
 
 
+def test_bpe_packed_identifiers(reference, monkeypatch):
+    """Identifiers are kept and joined as bytes, also when what is remembered starts anew within a text's words."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    tokens = bpe.read_ranks(PATH)
+    encoder, text = bpe.Encoder(tokens, bpe.serialise(tokens), public_tokenizers.PATTERN), "aé zq\x00 the the qzxv don't \U0001f600 "
+    for t in ("", text, text * 3, text[::-1], text):
+        packed = encoder.packed(t)
+        assert isinstance(packed, bytes) and np.frombuffer(packed, np.int32).tolist() == encoder.encode(t) == reference.encode_ordinary(t)
+
+
 def test_bpe_odd_rows(odd, empty, reference):
     encoded = bpe.encode(odd, PATH, public_tokenizers.PATTERN)
     assert encoded.columns == [*odd.columns, "_token_ids"]
