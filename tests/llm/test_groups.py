@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,51 @@ def test_queues_spill():
     assert out == list(range(1, 5000, 2)) and scratch.number > 0
 
 
+def test_queues_together():
+    """Stretches that wait in memory come as one, in their order; those on disk come one by one."""
+    scratch = induced.Scratch()
+    queues = induced.Queues(scratch, 10_000)
+    for i in range(5):
+        n = np.arange(1000) + 1000 * i
+        queues.push(n % 2, n.astype(np.int32), n.astype(np.int32))
+    assert queues.take(1)[0].tolist() == list(range(1, 5000, 2)) and queues.take(1) is None
+    assert queues.held == 2500 and scratch.number == 0
+    scratch.close()
+
+
+def shard_of(contents, length, gram):
+    batch = pa.RecordBatch.from_pylist([{"s1": i, "s2": 0, "n": len(d) - length + 1, "data": d} for i, d in enumerate(contents)])
+    return sorted((r["s1"], r["low"], r["high"]) for out in substrings._shard(iter([batch]), length, gram) for r in out.to_pylist())
+
+
+def test_shard_sorts_what_may_repeat(monkeypatch):
+    """Contents that share no side of their leader with another one are not sorted; what repeats is found all the same."""
+    draw = random.Random(3)
+    make = lambda n: bytes(draw.choices(b"abcdefgh", k=n))
+    sizes, whole = [], substrings.suffix_order
+    monkeypatch.setattr(substrings, "suffix_order", lambda text, *rest, **more: sizes.append(len(text)) or whole(text, *rest, **more))
+    for length, gram in ((100, 20), (101, 20)):
+        half, met = -(-(length - gram) // 2), 0
+        for _ in range(30):
+            base = make(5 * length)
+            place = draw.randrange(len(base))
+            changed = base[:place] + b"z" + base[place + 1 :]
+            first, second = ({lead: t[a : a + n + length - 1] for lead, a, n in substrings.stretches(t, length, gram)} for t in (base, changed))
+            for lead in first.keys() & second.keys():
+                sizes.clear()
+                pair = first[lead], second[lead]
+                if pair[0] == pair[1]:
+                    continue
+                windows = [[d[a : a + length] for a in range(len(d) - length + 1)] for d in pair]
+                got = shard_of([*pair, *(make(length) for _ in range(20))], length, gram)
+                expected = [(i, a) for i in (0, 1) for a, w in enumerate(windows[i]) if w in windows[1 - i]]
+                assert [(i, a) for i, low, high in got for a in range(low, high)] == expected
+                assert sum(sizes) <= sum(map(len, pair)) + 3
+                assert all(s is None or len(s) == gram + half for d in pair for s in substrings.sides(d, length, gram))
+                met += bool(expected)
+        assert met > 5
+
+
 def repeats_of(rows, length):
     windows = Counter(t[a : a + length] for _, t in rows for a in range(len(t) - length + 1))
     out = []
