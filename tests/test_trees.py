@@ -191,6 +191,48 @@ def test_scores_by_joins_and_after_saving(spark, frame, estimator, tmp_path, mon
     assert scores(type(model).load(str(tmp_path / "m"))) == walked
 
 
+def test_roots_share_a_copy_of_the_rows(spark, frame, monkeypatch):
+    """Without bootstrap a copy of the rows serves several trees; the trees are those that are grown from copies of their own."""
+    copies, whole = [], forest._Growth._gather
+
+    def counted(growth, packs):
+        copies.append(([len(pack) for pack in packs], growth.rule.bootstrap))
+        return whole(growth, packs)
+
+    monkeypatch.setattr(forest._Growth, "_gather", counted)
+    trees = 9 * spark.sparkContext.defaultParallelism
+    shared = listed(Forest.extra(trees, max_depth=2).fit(frame), spark)
+    assert sum(sum(sizes) for sizes, _ in copies) == trees and sum(len(sizes) for sizes, _ in copies) <= 4 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(forest._Growth, "_packs", lambda growth: [[e] for e in sorted(growth.ends)])
+    assert listed(Forest.extra(trees, max_depth=2).fit(frame), spark) == shared
+    monkeypatch.undo()
+    monkeypatch.setattr(forest._Growth, "_gather", counted)
+    copies.clear()
+    Forest(3, max_depth=2).fit(frame)
+    assert [sizes for sizes, _ in copies] == [[1, 1, 1]]
+
+
+def test_scores_by_shards(spark, frame, monkeypatch):
+    """A model too large to be sent whole meets the rows once, not level by level, in any number of shards and slices."""
+    model = Forest.extra(5).fit(frame)
+    some = frame.filter("id < 40")
+    some = cut_lineage(some.unionByName(some.filter("id = 7")))
+    scores = lambda: sorted((r["id"], [round(p, 12) for p in r["probability"]]) for r in model.transform(some).collect())
+    walked, levels = scores(), []
+    model._walker = None
+    monkeypatch.setattr(forest, "SENT_BYTES", 0)
+    monkeypatch.setattr(nodes, "SHARD_BYTES", 1)
+    monkeypatch.setattr(nodes, "SLICE_BYTES", 500)
+    monkeypatch.setattr(nodes, "cut_lineage", lambda df: levels.append(1) or df)
+    assert scores() == walked and len(walked) == 41 and not levels
+    # A tree too large for one place is walked by joins.
+    shallow = Forest.extra(2, max_depth=2).fit(frame)
+    expected = sorted((r["id"], [round(p, 12) for p in r["probability"]]) for r in shallow.transform(some).collect())
+    monkeypatch.setattr(nodes, "SENT_BYTES", 0)
+    joined = sorted((r["id"], [round(p, 12) for p in r["probability"]]) for r in shallow.transform(some).collect())
+    assert joined == expected and levels
+
+
 def test_edges(spark):
     data = spark.createDataFrame([(float(i % 5), float(i), None if i % 2 else float("nan")) for i in range(1000)], "a double, b double, c double")
     few, many, none = binned.learn_edges(data.select(F.array("a", "b", "c").alias("x")), "x", 3, 16)
