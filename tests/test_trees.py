@@ -246,3 +246,30 @@ def test_poisson_weights():
     w = made.weights(hashes, 3)
     assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)
     assert (w != made.weights(hashes, 4)).any() and (w == made.weights(hashes, 3)).all()
+
+
+@pytest.mark.parametrize("make", [lambda: SoftmaxBoosting(12, 4, 0.3), lambda: SoftmaxBoosting(3, 4, 0.3, subsample=0.8, colsample=0.7, min_child_weight=2.0, alpha=0.1, lam=2.0, gamma=0.5, checkpoint_every=2), lambda: SoftmaxBoosting.histogram(3, max_leaves=9, early_stopping=True)])
+def test_boosting_on_sent_rows(spark, frame, make, monkeypatch):
+    """A round is one job over rows that are sent once: the trees of rounds that take a job for each level."""
+    jobs, run = [], boosting._Fit._table
+    monkeypatch.setattr(boosting._Fit, "_table", lambda self: jobs.append((type(self), self.jobs - len(self.grown))) or run(self))
+    sent = listed(make().fit(frame), spark)
+    monkeypatch.setattr(boosting, "EXACT_ROWS", 700)
+    assert listed(make().fit(frame.repartition(5)), spark) == sent
+    assert all(kind is boosting._SentFit and more <= 1 for kind, more in jobs)
+    monkeypatch.setattr(boosting, "GATHERED", 0)
+    assert listed(make().fit(frame), spark) == sent and jobs[-1][0] is boosting._Fit
+
+
+def test_values_of_small_trees(monkeypatch):
+    """Leaf by leaf and node by node: the same values, for rows of any place in the tree."""
+    rng = np.random.default_rng(3)
+    x, tree = rng.integers(0, 200, (4, 5000)).astype(np.uint8), boosting.Tree()
+    for _ in range(60):
+        node = int(rng.choice(np.flatnonzero(np.array(tree.feature) < 0)))
+        tree.split(node, boosting.Split(int(rng.integers(4)), int(rng.integers(200)), 1.0, (0, 0, 0), (0, 0, 0)))
+    tree.value = rng.normal(size=len(tree.feature)).tolist()
+    fast = boosting.leaf_values(x, tree.arrays())
+    assert np.array_equal(fast, tree.arrays()[4][boosting.walk(x, tree.arrays())])
+    monkeypatch.setattr(boosting, "SMALL_TREE", 1)
+    assert np.array_equal(boosting.leaf_values(x, tree.arrays()), fast)
