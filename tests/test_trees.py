@@ -273,3 +273,30 @@ def test_values_of_small_trees(monkeypatch):
     assert np.array_equal(fast, tree.arrays()[4][boosting.walk(x, tree.arrays())])
     monkeypatch.setattr(boosting, "SMALL_TREE", 1)
     assert np.array_equal(boosting.leaf_values(x, tree.arrays()), fast)
+
+
+@pytest.mark.parametrize("make", [lambda: Forest(4, max_depth=6, class_weight="balanced"), lambda: Forest.extra(4), lambda: Forest.extra(2, 5, max_depth=5, bootstrap=True)])
+def test_forest_on_sent_rows(spark, frame, make, monkeypatch):
+    """Trees from rows that are sent once are those from rows brought together, with values or with their places."""
+    ways, grown = [], forest._Growth._grown
+    monkeypatch.setattr(forest._Growth, "_grown", lambda self, packs: ways.append(self.rule.values) or grown(self, packs))
+    sent = listed(make().fit(frame), spark)
+    assert [v is not None for v in ways] == [make().drawn]
+    monkeypatch.setattr(forest, "LISTED_VALUES", 10)
+    assert listed(make().fit(frame.repartition(5)), spark) == sent and len(ways) == 2 and ways[1] is None
+    monkeypatch.setattr(forest._Growth, "__init__", lambda self, *a, start=forest._Growth.__init__: start(self, *a[:-1]))
+    assert listed(make().fit(frame), spark) == sent and len(ways) == 2
+
+
+@pytest.mark.parametrize("entropy", [True, False])
+def test_cuts_by_packed_counts(entropy, monkeypatch):
+    """Few classes share numbers while they are counted; the cuts are those of running sums for any number of classes."""
+    rng = np.random.default_rng(4)
+    rule = forest.Rule(4, np.array([1.0, 2.5, 0.5, 1.0]), entropy, None, 2, 3, 3, True, 1, [np.arange(255.0)])
+    seg = np.sort(rng.integers(0, 90, 4000))
+    v, label, weight = rng.integers(0, 30, 4000).astype(np.uint8), rng.integers(0, 4, 4000), rng.integers(1, 6, 4000)
+    totals = np.bincount(seg * 4 + label, weights=weight, minlength=360).reshape(90, 4)
+    packed = forest._packed_cuts(rule, v, seg, label, weight, totals)
+    monkeypatch.setattr(forest, "FEW_CLASSES", 0)
+    plain = forest._sorted_cuts(rule, v, seg, label, weight, totals)
+    assert np.allclose(packed[0], plain[0]) and np.array_equal(packed[1], plain[1]) and np.array_equal(packed[2], plain[2])
